@@ -20,6 +20,16 @@ MAX_ROWS = 60_000
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the capitals from U+00C0 to U+00DE in lower case; no byte moves."""
+    low = LOWER[data]
+    if len(low) > 1:
+        second = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
+        low[second] += 0x20
+    return low
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -29,7 +39,7 @@ NOT_WORD = np.ones(256, dtype=bool)
 NOT_WORD[48:58] = NOT_WORD[65:91] = NOT_WORD[97:123] = NOT_WORD[128:] = False
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = MAX_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of runs of texts with about ``limit`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -46,7 +56,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
     row = 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
-        end = min(n, max(row + 1, end), row + MAX_ROWS)
+        end = min(n, max(row + 1, end), row + rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
