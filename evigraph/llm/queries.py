@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import decontaminate, langid, packing, secret_scan
+from evigraph.llm import decontaminate, langid, ngram_join, packing, secret_scan
 from evigraph.llm._spark import read_table
 
 
@@ -16,6 +16,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
