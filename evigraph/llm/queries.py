@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import decontaminate, langid, ngram_join, packing, secret_scan
+from evigraph.llm import decontaminate, langid, ngram_join, packing, repeats, secret_scan
 from evigraph.llm._spark import read_table
 
 
@@ -24,6 +24,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
+    "op9_repeats": op9_repeats,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL = {
