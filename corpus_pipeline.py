@@ -1,18 +1,49 @@
-"""The corpus pipeline (training-data subpackage): documents through five stages."""
+"""The corpus pipeline (training-data subpackage): documents through five stages.
+
+Each stage takes what its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import secret_scan
+from evigraph.llm import decontaminate, langid, ngram_join, packing, secret_scan
 from evigraph.llm._spark import read_table, stored
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters go; a missing lang is filled with the prediction."""
+    found = langid.annotate(docs, langid.train(docs)).where(f"lang_pred <> '{langid.UNKNOWN}'")
+    return found.selectExpr(*["coalesce(lang, lang_pred) AS lang" if c == "lang" else f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays, that of the least doc_id."""
+    return ngram_join.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs)
+    """Secrets are replaced by a mark; n_chars follows the text."""
+    return secret_scan.redact(docs).selectExpr(*["CAST(length(text) AS BIGINT) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs)
 
 
-STAGES = [("secret scans", secrets)]
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Learned models and packing by a tokenizer are beyond SQL; the tests hold the stages against brute force.
+#: A learned model and a tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
