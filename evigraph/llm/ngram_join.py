@@ -1,13 +1,14 @@
 """Jaccard self-join on word shingles with a token-group matrix.
 
 A document is its set of shingles. Documents with equal sets are one class. Of each class the first shingles in a global order
-(rare before frequent) are exchanged; two classes that link share one of them. Then:
+(rare before frequent) are exchanged, so many that two classes that link share a tenth of the smaller one there. Then:
 
 1. Each class is verified against one leader, the class with which it shares most of them. What links so is a group of similar
    documents.
 2. The token-group matrix has a row for each exchanged shingle and group that holds it. A class is a query to every other group
-   in the rows of its own shingles, if the sizes allow a link. Groups are dealt in parts of bounded size; a part keeps the union of
-   its members' shingles, and only a part whose union holds enough of the query is opened and its members compared, until one links.
+   that has enough of its shingles in the matrix, if the sizes allow a link. Groups are dealt in parts of bounded size; a part keeps
+   the union of its members' shingles, and only a part whose union holds enough of the query is opened and its members compared,
+   until one links.
 
 Every pair of classes that links is in one group after step 1 or is compared in step 2, so the components are exact. The order of
 shingles affects only the speed. Hashes of shingles have 48 bits.
@@ -56,6 +57,11 @@ def _least(n: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def _shared(n: np.ndarray | int):
+    """Exchanged shingles that a set of n shares with a linked one that is no smaller, at least."""
+    return -(-n // 10)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, n, cid): set size and class of each row."""
 
@@ -100,7 +106,7 @@ def first_shingles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     at = np.minimum(np.searchsorted(often, tok), len(often) - 1)
                     place = np.where(often[at] == tok, U64(1 << TOKEN_BITS) + rank[at], tok)
                 key = np.sort((owner.astype(U64) << U64(TOKEN_BITS + 1)) | place)
-                take = np.arange(len(key)) - before[owner] < (n - _least(n) + 1)[owner]
+                take = np.arange(len(key)) - before[owner] < (n - _least(n) + _shared(n))[owner]
                 key, owner = key[take] & U64((1 << (TOKEN_BITS + 1)) - 1), owner[take]
                 own = cid[owner]
                 if len(often):
@@ -202,7 +208,9 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = stored(profiles(docs))
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     entries = stored(shared_shingles(first_shingles(docs, frequent_shingles(docs))))
-    classes = stored(classes.join(entries.select("cid").distinct(), "cid", "left_semi"))
+    # a linked set may be smaller, and share less
+    several = entries.groupBy("cid").agg(F.count("*").alias("have"))
+    classes = stored(classes.join(several, "cid").where(f"have >= ceil(ceil({percent} * n / 100) / 10)").select("cid", "rep", "n"))
     if not classes.isEmpty():
         labels = _labels(docs, entries, classes, percent)
         best = labels.join(classes, labels["node"] == classes["cid"]).groupBy("comp").agg(F.min("rep").alias("least"))
@@ -221,7 +229,9 @@ def _labels(docs: DataFrame, entries: DataFrame, classes: DataFrame, percent: in
     entries = entries.join(size, "cid")
     toks = stored(_tokens_of(docs, classes))
     # 1: one leader for each class
-    led = entries.where("cid <> leader").groupBy("cid", "leader").count().groupBy("cid").agg(F.max_by("leader", F.struct("count", "leader")).alias("grp"))
+    led = entries.where("cid <> leader").groupBy("cid", "leader").agg(F.count("*").alias("count"), F.min("n").alias("n"))
+    # a class that shares too little is left to step 2
+    led = led.where("count * 30 >= n").groupBy("cid").agg(F.max_by("leader", F.struct("count", "leader")).alias("grp"))
     # leaders of one shingle's salts follow the least of them
     tops = entries.groupBy("tok", "leader").agg(F.count("*").alias("have")).withColumn("top", F.min("leader").over(W.partitionBy("tok")))
     tops = tops.where("leader <> top").groupBy("leader", "top").agg(F.sum("have").alias("have"))
@@ -238,7 +248,10 @@ def _labels(docs: DataFrame, entries: DataFrame, classes: DataFrame, percent: in
     several = matrix.groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1").select("tok")
     matrix = matrix.join(several, "tok", "left_semi").select("tok", F.col("grp").alias("other"), "least", "most")
     asked = named.join(matrix, "tok").where(F.col("grp") > F.col("other")).where(f"100 * most >= {percent} * n AND 100 * n >= {percent} * least")
-    queries = stored(asked.select(F.col("other").alias("grp"), "cid").distinct())
+    # exchanged shingles of the query in the group's rows bound what it shares with any member
+    asked = asked.groupBy("other", "cid").agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("least").alias("least"))
+    enough = f"shared >= least(ceil(n / 10), ceil(greatest(ceil({percent} * n / 100), least) / 10))"
+    queries = stored(asked.where(enough).select(F.col("other").alias("grp"), "cid"))
     members = named.select("grp", "cid").distinct().join(queries.select("grp").distinct(), "grp", "left_semi")
     more = _open_groups(_with_parts(members, queries, toks), percent)
     return connected_components(links.unionByName(more))
