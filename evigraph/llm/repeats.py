@@ -10,7 +10,7 @@ have equal anchors at equal places. Then, as in prefix doubling:
    The pairs are sorted in buckets; for each of the windows that hold the anchor the least doc_id of equal ones comes out. The
    strings are as long as the threshold then, and ranking ends.
 
-Texts are packed in blocks of a few megabytes, and anchors are exchanged as packed arrays. What a block holds several times it
+Texts are packed in blocks of about a megabyte, and anchors are exchanged as packed arrays. What a block holds several times it
 sends once, with its least doc_id, so a string that stands everywhere sends one entry a block.
 
 Defined results: null is an empty text; texts shorter than a span lose nothing; a null doc_id comes after all others; rows with
@@ -35,10 +35,12 @@ SPAN = 50
 HALF = SPAN // 2
 #: Places of a window that holds an anchor.
 PLACES = SPAN - HALF + 1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 KEY_BITS = 48
 #: Entries in a bucket, about.
-BUCKET = 1 << 19
+BUCKET = 1 << 18
+#: Entries whose windows are compared at once, about.
+RUN = 1 << 14
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -46,7 +48,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """(ids, known, ends, body): runs of documents, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for r0, r1, data, off in text_chunks(b.column(1), BLOCK_BYTES):
                 own = b.column(0).slice(r0, r1 - r0)
@@ -207,9 +209,16 @@ def shared_ranks(ranks: DataFrame, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches, 3):
             own = [_unpack_keys(r[2]) for r in rows]
-            every = np.sort(np.concatenate(own))
-            twice = every[1:][every[1:] == every[:-1]]
-            out = [(r[1], _pack_keys(k[np.isin(k, twice)])) for r, k in zip(rows, own)]
+            every = np.concatenate(own)
+            order = np.argsort(every)
+            key = every[order]
+            twice = np.zeros(len(key), bool)
+            twice[1:] = key[1:] == key[:-1]
+            twice[:-1] |= twice[1:]
+            keep = np.zeros(len(key), bool)
+            keep[order[twice]] = True
+            ends = np.cumsum([len(k) for k in own])
+            out = [(r[1], _pack_keys(k[keep[z - len(k) : z]])) for r, k, z in zip(rows, own, ends)]
             out = [x for x in out if x[1]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["block", "keys"])
@@ -221,8 +230,8 @@ def _all_keys(parts: list[bytes] | None) -> np.ndarray:
     return np.concatenate([_unpack_keys(p) for p in parts]) if parts else np.zeros(0, U64)
 
 
-#: An entry without its context: key, identity, least doc_id, bytes before and after.
-ENTRY = np.dtype([("key", "<u8"), ("ident", "<u8"), ("doc", "<i8"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", 2 * HALF)])
+#: Key, least doc_id, how many bytes before and after, and those bytes.
+ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", 2 * HALF)])
 
 
 def second_ranks(packed: DataFrame, n_buckets: int) -> DataFrame:
@@ -236,14 +245,14 @@ def second_ranks(packed: DataFrame, n_buckets: int) -> DataFrame:
                 x.only(_all_keys(keys))
                 if not len(x.pos):
                     continue
-                _, at, ident, doc, around = x.entries()
+                _, at, _, doc, around = x.entries()
                 order = np.argsort(x.key[at], kind="stable")
-                at, ident, doc, around = at[order], ident[order], doc[order], around[order]
+                at, doc, around = at[order], doc[order], around[order]
                 key = x.key[at]
                 rows = []
                 for k, s in _split(_bucket(key, n_buckets)):
                     # by columns, which compress better
-                    cols = [_pack_keys(key[s]), ident[s].tobytes(), doc[s].tobytes(), x.left[at[s]].astype(np.uint8).tobytes(), x.right[at[s]].astype(np.uint8).tobytes(), around[s].tobytes()]
+                    cols = [_pack_keys(key[s]), doc[s].tobytes(), x.left[at[s]].astype(np.uint8).tobytes(), x.right[at[s]].astype(np.uint8).tobytes(), around[s].tobytes()]
                     rows.append((k, block, s.stop - s.start, pack.compress(b"".join(cols))))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "n", "entries"])
 
@@ -254,11 +263,10 @@ def _entries_of(n: int, raw: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(raw)
     out = np.zeros(n, ENTRY)
     out["key"] = _unpack_keys(raw[: 6 * n])
-    out["ident"] = np.frombuffer(raw, U64, n, 6 * n)
-    out["doc"] = np.frombuffer(raw, np.int64, n, 14 * n)
-    out["left"] = np.frombuffer(raw, np.uint8, n, 22 * n)
-    out["right"] = np.frombuffer(raw, np.uint8, n, 23 * n)
-    out["bytes"] = np.frombuffer(raw, np.uint8, 2 * HALF * n, 24 * n).reshape(n, 2 * HALF)
+    out["doc"] = np.frombuffer(raw, np.int64, n, 6 * n)
+    out["left"] = np.frombuffer(raw, np.uint8, n, 14 * n)
+    out["right"] = np.frombuffer(raw, np.uint8, n, 15 * n)
+    out["bytes"] = np.frombuffer(raw, np.uint8, 2 * HALF * n, 16 * n).reshape(n, 2 * HALF)
     return out
 
 
@@ -302,14 +310,20 @@ def repeated_windows(ranks: DataFrame, partitions: int) -> DataFrame:
             again = np.zeros(len(key), bool)
             again[1:] = key[1:] == key[:-1]
             again[:-1] |= again[1:]
-            some = np.sort(order[again])
+            some, key = order[again], key[again]
+            # runs of whole keys, so that the work for a run stays small
+            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            cuts = [*cuts[np.unique(cuts // RUN, return_index=True)[1]].tolist(), len(key)]
+            found = [(some[a:z][m > 0], m[m > 0]) for a, z in zip(cuts[:-1], cuts[1:]) for m in [earlier_windows(every[some[a:z]])]]
             out = []
-            if len(some):
-                mask = earlier_windows(every[some])
-                some, mask = some[mask > 0], mask[mask > 0]
-                for r in np.unique(owner[some]):
-                    own = owner[some] == r
-                    out.append((rows[r][1], pack.compress(every["ident"][some[own]].tobytes() + mask[own].tobytes())))
+            if found:
+                some, mask = (np.concatenate(x) for x in zip(*found))
+                e = every[some]
+                ident = _identity(e["key"], e["bytes"][:, :HALF], e["bytes"][:, HALF:], e["left"], e["right"])
+                turn = np.argsort(owner[some], kind="stable")
+                some, mask, ident = some[turn], mask[turn], ident[turn]
+                for r, s in _split(owner[some]):
+                    out.append((rows[r][1], pack.compress(ident[s].tobytes() + mask[s].tobytes())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["block", "hits"])
 
