@@ -119,10 +119,10 @@ def marker_label(c: Column | str) -> Column:
 
 
 def severity_pairs(c: Column | str) -> Column:
-    """array<struct<count, grade>> of notations such as ``2c,1d``; grades a to e are 1 to 5."""
-    p = F.lit(r"(\d+)\s*([a-e])")
+    """array<struct<count, grade>> of notations such as ``2c,1d``; a to d are 1 to 4, p (present) is 0."""
+    p = F.lit(r"(\d+)\s*([a-dp])")
     pairs = F.arrays_zip(F.regexp_extract_all(col(c), p, F.lit(1)).alias("n"), F.regexp_extract_all(col(c), p, F.lit(2)).alias("g"))
-    return F.transform(pairs, lambda x: F.struct(x["n"].cast("int").alias("count"), (F.ascii(x["g"]) - 96).alias("grade")))
+    return F.transform(pairs, lambda x: F.struct(x["n"].cast("int").alias("count"), F.when(x["g"] == "p", 0).otherwise(F.ascii(x["g"]) - 96).alias("grade")))
 
 
 def incidence(c: Column | str) -> Column:
@@ -133,15 +133,15 @@ def most_severe(c: Column | str) -> Column:
     return F.array_max(F.transform(severity_pairs(c), lambda x: x["grade"]))
 
 
-def parameter_cycle(c: Column | str) -> tuple[Column, Column]:
-    """(parameter, cycle) of ``ALT Cycle 2``; rows of a recovery period have the cycle Recovery."""
+def parameter_cycle(c: Column | str, recovered: str = "Alanine Aminotransferase") -> tuple[Column, Column]:
+    """(parameter, cycle) of ``ALT Cycle 2``; a row of the recovery period is of ``recovered`` in the cycle Recovery."""
     t = F.trim(col(c))
-    p = r"(?i)^(.+?)\s+Cycle\s+(\d+)"
+    p = r"^(.+?)\s+Cycle\s+(\d+)"
     name, cycle = F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2)
-    recovery = F.lower(t).contains("recovery")
+    recovery = F.contains(t, F.lit("Recovery"))
     return (
-        F.when(name != "", name).when(recovery, F.trim(F.regexp_replace(t, "(?i)recovery", ""))).otherwise(t),
-        F.when(cycle != "", F.concat(F.lit("Cycle "), cycle)).when(recovery, F.lit("Recovery")).otherwise(""),
+        F.when(name != "", F.trim(name)).when(recovery, F.lit(recovered)).otherwise(t),
+        F.when(cycle != "", cycle).when(recovery, F.lit("Recovery")).otherwise(""),
     )
 
 

@@ -218,12 +218,12 @@ def sig_marker_parse(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", C.marker_value(mark).alias("value"), C.marker_label(mark).alias("label"))
 
 
-_SEV = "(p_size % 5)::VARCHAR || substr('abcde', p_size % 5 + 1, 1) || ',' || (p_size % 3 + 1)::VARCHAR || ' c'"
+_SEV = "(p_size % 5)::VARCHAR || substr('abcdp', p_size % 5 + 1, 1) || ',' || (p_size % 3 + 1)::VARCHAR || ' c'"
 
 
-@query(f"SELECT p_partkey, p_size % 5 + p_size % 3 + 1 AS incidence, greatest(p_size % 5 + 1, 3) AS severity, len(regexp_extract_all({_SEV}, '([0-9]+) *([a-e])', 1))::INT AS n FROM part")
+@query(f"SELECT p_partkey, p_size % 5 + p_size % 3 + 1 AS incidence, greatest(CASE WHEN p_size % 5 = 4 THEN 0 ELSE p_size % 5 + 1 END, 3) AS severity, len(regexp_extract_all({_SEV}, '([0-9]+) *([a-dp])', 1))::INT AS n FROM part")
 def severity_parse(t: Tables) -> DataFrame:
-    s = F.concat((F.col("p_size") % 5).cast("string"), F.substring(F.lit("abcde"), F.col("p_size") % 5 + 1, F.lit(1)), F.lit(","), (F.col("p_size") % 3 + 1).cast("string"), F.lit(" c"))
+    s = F.concat((F.col("p_size") % 5).cast("string"), F.substring(F.lit("abcdp"), F.col("p_size") % 5 + 1, F.lit(1)), F.lit(","), (F.col("p_size") % 3 + 1).cast("string"), F.lit(" c"))
     return t.part.select("p_partkey", C.incidence(s).alias("incidence"), C.most_severe(s).alias("severity"), F.size(C.severity_pairs(s)).alias("n"))
 
 
