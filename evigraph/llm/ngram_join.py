@@ -36,7 +36,9 @@ PERCENT = 75
 #: A document's place in a chunk and a shingle's place in the order share 64 bits.
 ROWS = 1 << 15
 #: Shingles in the list of frequent ones at most; beyond it the rest count as rare, which affects only the speed.
-MOST_FREQUENT = 1 << 17
+MOST_FREQUENT = 1 << 18
+#: Groups in a row of the matrix beyond which it is left out where that loses no link.
+CROWD = 8
 #: A part of a group has about so many members.
 PART = 128
 MASK = (1 << TOKEN_BITS) - 1
@@ -81,12 +83,12 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             parts = [tok for _, _, _, tok, _ in _sets(b.column(0))]
             if parts:
                 tok, count = np.unique(np.concatenate(parts), return_counts=True)
-                often = count >= 4
+                often = count >= 3
                 yield pa.RecordBatch.from_arrays([pa.array(tok[often].view(np.int64)), pa.array(count[often])], ["tok", "count"])
 
-    seen = docs.select("text").mapInArrow(run, "tok long, count long").groupBy("tok").agg(F.sum("count").alias("count")).where("count >= 16")
-    rows = seen.orderBy(F.desc("count"), "tok").limit(MOST_FREQUENT).collect()
-    return np.array([r[0] for r in reversed(rows)], dtype=np.int64).view(U64)
+    seen = docs.select("text").mapInArrow(run, "tok long, count long").groupBy("tok").agg(F.sum("count").alias("count")).where("count >= 12")
+    most = seen.orderBy(F.desc("count"), "tok").limit(MOST_FREQUENT).toArrow()
+    return most["tok"].to_numpy()[::-1].copy().view(U64)
 
 
 def first_shingles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -239,22 +241,51 @@ def _labels(docs: DataFrame, entries: DataFrame, classes: DataFrame, percent: in
     led = stored(led.unionByName(tops.select(*led.columns)).distinct())
     leaders = led.select("grp").distinct().select("grp", F.col("grp").alias("cid"))
     tried = _open_groups(_led_rows(leaders, led, toks), percent)
-    links = stored(tried)
-    groups = connected_components(links)
-    # 2: queries to the groups in the rows of the matrix
-    named = entries.join(groups, F.col("cid") == F.col("node"), "left").select("tok", "cid", "n", F.coalesce("comp", "cid").alias("grp"))
-    named = stored(named)
+    groups = connected_components(stored(tried))
+    # 2: queries to the groups in the rows of the matrix, first to the leading one only, which leaves few groups for the rest
+    for ask in (_leading, _leading, _queries):
+        named = stored(entries.join(groups, F.col("cid") == F.col("node"), "left").select("tok", "cid", "n", F.coalesce("comp", "cid").alias("grp")))
+        queries = stored(ask(named, percent))
+        if queries.isEmpty():
+            continue
+        group_of = named.select("cid", "grp").distinct()
+        members = group_of.join(queries.select("grp").distinct(), "grp", "left_semi")
+        found = _open_groups(_with_parts(members, queries.select("grp", "cid"), toks), percent)
+        # members of a group reach each other, so links between groups are enough
+        between = found.join(group_of.selectExpr("cid AS a", "grp AS ga"), "a").join(group_of.selectExpr("cid AS b", "grp AS gb"), "b")
+        joined = connected_components(stored(between.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()))
+        every = groups.unionByName(joined.join(groups, "node", "left_anti"))
+        groups = stored(every.join(joined.selectExpr("node AS comp", "comp AS last"), "comp", "left").select("node", F.coalesce("last", "comp").alias("comp")))
+    return groups
+
+
+def _leading(named: DataFrame, percent: int) -> DataFrame:
+    """(grp, cid): for each class the one other group that most of its rows have as their largest."""
+    sizes = named.groupBy("tok", "grp").agg(F.count("*").alias("many"))
+    lead = sizes.groupBy("tok").agg(F.max_by("grp", F.struct("many", "grp")).alias("lead"), F.count("*").alias("groups")).where("groups > 1").select("tok", "lead")
+    pairs = named.join(lead, "tok").where("grp <> lead").groupBy("cid", "lead").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    best = pairs.where("shared * 30 >= n").groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("grp"))
+    return best.select("grp", "cid")
+
+
+def _queries(named: DataFrame, percent: int) -> DataFrame:
+    """(grp, cid): the groups that a class may link with, of classes and groups (tok, cid, n, grp).
+
+    What a class shares with the rows of a group bounds what it shares there with any member. Rows that many groups have are left
+    out where a class has so few of them that it must share others too; the bound falls by their number then.
+    """
     matrix = named.groupBy("tok", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1").select("tok")
-    matrix = matrix.join(several, "tok", "left_semi").select("tok", F.col("grp").alias("other"), "least", "most")
-    asked = named.join(matrix, "tok").where(F.col("grp") > F.col("other")).where(f"100 * most >= {percent} * n AND 100 * n >= {percent} * least")
-    # exchanged shingles of the query in the group's rows bound what it shares with any member
-    asked = asked.groupBy("other", "cid").agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("least").alias("least"))
-    enough = f"shared >= least(ceil(n / 10), ceil(greatest(ceil({percent} * n / 100), least) / 10))"
-    queries = stored(asked.where(enough).select(F.col("other").alias("grp"), "cid"))
-    members = named.select("grp", "cid").distinct().join(queries.select("grp").distinct(), "grp", "left_semi")
-    more = _open_groups(_with_parts(members, queries, toks), percent)
-    return connected_components(links.unionByName(more))
+    several = matrix.groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1")
+    matrix = stored(matrix.join(several, "tok").select("tok", F.col("grp").alias("other"), "least", "most", (F.col("groups") > CROWD).alias("crowd")))
+    asking = named.join(several, "tok").withColumn("crowd", F.col("groups") > CROWD)
+    few = asking.groupBy("cid").agg(F.count_if("crowd").alias("crowded"), F.min("n").alias("n"))
+    few = few.select("cid", F.when(F.expr(f"crowded < ceil(ceil({percent} * n / 100) / 10)"), F.col("crowded")).otherwise(0).alias("left_out"), F.expr(f"crowded >= ceil(ceil({percent} * n / 100) / 10)").alias("all_rows"))
+    asking = asking.join(few, "cid").where("all_rows OR NOT crowd").select("tok", "cid", "n", "grp", "left_out")
+    pairs = asking.join(matrix.select("tok", "other", "least", "most"), "tok").where(F.col("grp") > F.col("other"))
+    pairs = pairs.where(f"100 * most >= {percent} * n AND 100 * n >= {percent} * least")
+    pairs = pairs.groupBy("other", "cid").agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("least").alias("least"), F.min("left_out").alias("left_out"))
+    enough = f"shared + left_out >= least(ceil(n / 10), ceil(greatest(ceil({percent} * n / 100), least) / 10))"
+    return pairs.where(enough).select(F.col("other").alias("grp"), "cid")
 
 
 def _led_rows(leaders: DataFrame, led: DataFrame, toks: DataFrame) -> DataFrame:
