@@ -99,10 +99,10 @@ def edge_dedup(t: Tables) -> DataFrame:
     return G.first_of(t.lineitem.select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"), ["l_suppkey", "l_partkey"], ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT l_partkey AS id, l_suppkey AS first_supplier FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
+@query("SELECT l_partkey AS id, l_suppkey AS first_supplier FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1")
 def node_first_wins(t: Tables) -> DataFrame:
     rows = t.lineitem.select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("first_supplier"), "l_orderkey", "l_linenumber")
-    return G.first_of(rows, ["id"], ["l_orderkey", "l_linenumber"]).select("id", "first_supplier")
+    return G.first_of(rows, ["id"], ["l_orderkey", "l_linenumber", "first_supplier"]).select("id", "first_supplier")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -354,8 +354,8 @@ def merge_first_wins(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT l_suppkey, unnest([l_returnflag, l_linestatus]) AS x, unnest([1, 2]) AS i, l_orderkey, l_linenumber FROM lineitem),
-f AS (SELECT l_suppkey, x, min((l_orderkey, l_linenumber, i)) AS f FROM w GROUP BY ALL) SELECT l_suppkey, string_agg(x, ',' ORDER BY f) AS flags FROM f GROUP BY l_suppkey"""
+    """WITH w AS (SELECT l_suppkey, unnest([l_returnflag, l_linestatus]) AS x, unnest([1, 2]) AS i, l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem),
+f AS (SELECT l_suppkey, x, min((l_orderkey, l_linenumber, l_returnflag, l_linestatus, i)) AS f FROM w GROUP BY ALL) SELECT l_suppkey, string_agg(x, ',' ORDER BY f) AS flags FROM f GROUP BY l_suppkey"""
 )
 def list_union_ordered(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("o"), F.array("l_returnflag", "l_linestatus").alias("v"))
@@ -607,10 +607,10 @@ def path_query_4hop(t: Tables) -> DataFrame:
     return s.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("s_suppkey", "n_name").agg(F.count("*").alias("customers"))
 
 
-@query("SELECT s_suppkey, p_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_discount > 0.08 ORDER BY l_orderkey, l_linenumber LIMIT 300")
+@query("SELECT s_suppkey, p_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_discount > 0.08 ORDER BY l_orderkey, l_linenumber, s_suppkey, p_partkey LIMIT 300")
 def edges_filtered_limit(t: Tables) -> DataFrame:
     e = t.lineitem.where("l_discount > 0.08").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return e.orderBy("l_orderkey", "l_linenumber").limit(300).select("s_suppkey", "p_partkey")
+    return e.orderBy("l_orderkey", "l_linenumber", "s_suppkey", "p_partkey").limit(300).select("s_suppkey", "p_partkey")
 
 
 @query("SELECT 'CREATE (:`Nation` {id: ''nation:' || n_nationkey || ''', name: ''' || replace(n_name, '''', chr(92) || '''') || ''', `region_key`: ''' || n_regionkey || '''});' AS line FROM nation")
