@@ -300,3 +300,13 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that of the least doc_id; texts without a word all stay."""
     found = components(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(found, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+
+
+#: The same by comparing all pairs that share a shingle: for small tables.
+ORACLE = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM g), u AS (SELECT doc_id, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(d, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON r.o = e.a)
+SELECT doc_id, n AS n_shingles, least AS component_id FROM n JOIN (SELECT d, min(o) AS least FROM r GROUP BY d) m ON m.d = n.doc_id"""

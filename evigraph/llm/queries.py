@@ -63,5 +63,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_warc_store": warc_store.ORACLE,
     "op5_chat_format": chat.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
     "op10_secret_scan": secret_scan.oracle(),
 }
