@@ -42,7 +42,7 @@ def study_id(records: DataFrame) -> Column:
 
 def build(records: DataFrame, drug: str, expression: DataFrame | None = None, numeric_guard: bool = False) -> G.Graph:
     """The graph of records (doc_id, study_metadata, safety_data, pharmacokinetics, preclinical_toxicology, mechanism_of_action,
-    semantic_relationships), each section a struct. ``expression`` (symbol, log2fc, p_value, padj) is laid over every document."""
+    semantic_relationships), each section a struct. ``expression`` (doc_id, symbol, log2fc, p_value, padj) is laid over its document's graph."""
     drug_id = F.lit(f"drug:{drug.lower()}")
     main = F.concat(F.lit("study:"), study_id(records))
     base = records.withColumn("_study", main)
@@ -138,7 +138,7 @@ def _statements(base: DataFrame, known: DataFrame, drug_id: Column, guard: bool)
 def _expression(base: DataFrame, known: DataFrame, expression: DataFrame, drug_id: Column, guard: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Significant genes become properties of their nodes; strong changes also edges from the drug."""
     genes = expression.where("p_value < 0.05 AND symbol <> ''")
-    rows = base.select("doc_id").join(F.broadcast(genes), F.lit(True))  # one experiment of a few thousand genes, for each document
+    rows = base.select("doc_id").join(genes, "doc_id")
     ids = _resolved(rows.select("doc_id", F.col("symbol").alias("name")).distinct(), known, guard)
     hit = rows.join(ids.withColumnRenamed("name", "symbol"), ["doc_id", "symbol"]).where("id IS NOT NULL")
     props = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in (("log2fc", F.col("log2fc")), ("p_value", F.col("p_value")), ("padj", F.col("padj")), ("transcriptomics_source", F.lit("External_Experiment")))])
@@ -164,7 +164,8 @@ def enrich_genes(g: G.Graph, drug: str) -> G.Graph:
     nodes = have.select(*[c for c in g.nodes.columns if c not in ("type", "properties")], F.when(hit, "Target").otherwise(F.col("type")).alias("type"), F.when(hit, F.map_concat(old, place)).otherwise(F.col("properties")).alias("properties"))
     docs = g.nodes.select("doc_id").distinct()
     named = g.nodes.select("doc_id", F.upper("name").alias("gene"))
-    lack = docs.join(dim, F.lit(True)).join(named, ["doc_id", "gene"], "left_anti")
+    every = docs.select("doc_id", F.explode(F.array(*map(F.lit, rules.GENES))).alias("gene"))
+    lack = every.join(named, ["doc_id", "gene"], "left_anti").join(dim, "gene")
     tid = F.concat(F.lit("target:"), F.lower("gene"))
     made = lack.select("doc_id", tid.alias("id"), F.col("gene").alias("name"), F.lit("Target").alias("type"), F.map_concat(_map(source=F.lit("Manual_Enrichment")), place).alias("properties"), F.lit(8_000_000_000).alias("seq"))
     links = _edge(lack, 8, F.lit(f"drug:{drug.lower()}"), tid, "inhibits", _map(source=F.lit("Inferred_Mechanism"), confidence=F.lit("High")))

@@ -152,8 +152,9 @@ def type_counts(df: DataFrame, kind: str) -> DataFrame:
 
 def statistics(g: Graph) -> DataFrame:
     """One row: nodes, edges, drugs, properties of nodes."""
-    n = g.nodes.agg(F.count("*").alias("n_nodes"), F.count_if(F.col("type") == "Drug").alias("n_drugs"), F.coalesce(F.sum(F.size("properties")), F.lit(0)).alias("n_properties"))
-    return n.crossJoin(g.edges.agg(F.count("*").alias("n_edges")))  # two single rows
+    n = g.nodes.select(F.lit(1).alias("n_nodes"), (F.col("type") == "Drug").cast("int").alias("n_drugs"), F.coalesce(F.size("properties"), F.lit(0)).alias("n_properties"), F.lit(0).alias("n_edges"))
+    both = n.unionByName(g.edges.select(*[F.lit(int(c == "n_edges")).alias(c) for c in n.columns]))
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in n.columns])
 
 
 def samples(df: DataFrame, kind: str, order: list, k: int) -> DataFrame:

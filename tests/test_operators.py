@@ -37,7 +37,7 @@ def test_statements(spark):
 
 
 def test_expression_and_genes(spark):
-    genes = spark.createDataFrame([("HDAC", 2.0, 0.01, 0.02), ("Receptor A", -0.5, 0.01, None), ("HDAC1", 1.5, 0.9, 0.9)], "symbol string, log2fc double, p_value double, padj double")
+    genes = spark.createDataFrame([(1, "HDAC", 2.0, 0.01, 0.02), (1, "Receptor A", -0.5, 0.01, None), (1, "HDAC1", 1.5, 0.9, 0.9), (2, "KIT gene", 3.0, 0.01, 0.1)], "doc_id int, symbol string, log2fc double, p_value double, padj double")
     g = builder.build(record(spark), "Drugin", genes)
     nodes = {r["id"]: r for r in g.nodes.collect()}
     assert nodes["target:hdac"]["properties"]["log2fc"] == "2.0" and nodes["target:receptor_a"]["type"] == "Target"
