@@ -102,17 +102,51 @@ class SeedIndex:
         return (np.concatenate(at), np.concatenate(to)) if at else (z, z)
 
 
-def best_overlap(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the run with the largest sum, a match 1 and a mismatch -1.5; ends at matches."""
-    best, out, total, start = 0.0, (0, 0, 0), 0.0, 0
+def best_overlap(same: np.ndarray, need: float) -> tuple[int, int, int] | None:
+    """(start, end, matches) of the run with the largest sum (a match 1, a mismatch -1.5) among all runs of at least ``need``
+    matches at ``MIN_RATE``, or None if there is none; ends at matches. Of equal sums the first end, then the shortest."""
+    n = len(same)
+    m = np.concatenate([[0], np.cumsum(same)])
+    p = m - MIN_RATE * np.arange(n + 1)
+    # a run from s to e has the rate where p[s] <= p[e]; the first such s has most matches
+    first = np.searchsorted(-np.minimum.accumulate(p), -p, "left")
+    if (m - m[first]).max() < need:
+        return None
+    best, out, total, start = 0.0, (0, 0), 0.0, 0
     for i, x in enumerate(same.tolist()):
         if total <= 0:
             total, start = 0.0, i
         total += 1 if x else -1.5
         if x and total > best:
-            best, out = total, (start, i + 1, 0)
-    s, e, _ = out
-    return s, e, int(same[s:e].sum())
+            best, out = total, (start, i + 1)
+    s, e = out
+    if p[s] > p[e] or m[e] - m[s] < need:
+        s, e = _best_at_rate(same, m, p, need)
+    return s, e, int(m[e] - m[s])
+
+
+def _best_at_rate(same: np.ndarray, m: np.ndarray, p: np.ndarray, need: float) -> tuple[int, int]:
+    """(start, end) where the run with the largest sum lacks the rate or the matches: the least prefix sum over starts that are
+    far enough before and have no larger ``p``, from a tree of minima over the ranks of ``p``."""
+    total = (2.5 * m - 1.5 * np.arange(len(m))).tolist()
+    rank = (np.unique(p, return_inverse=True)[1] + 1).tolist()
+    size, m, at = max(rank) + 1, m.tolist(), np.flatnonzero(same).tolist()
+    tree: list[tuple[float, int]] = [(np.inf, 0)] * size
+    best, out, k = -np.inf, (0, 0), 0
+    for e in (i + 1 for i in at):
+        while k < len(at) and m[e] - m[at[k]] >= need:
+            x, r = (total[at[k]], -at[k]), rank[at[k]]
+            while r < size:
+                tree[r] = min(tree[r], x)
+                r += r & -r
+            k += 1
+        low, r = (np.inf, 0), rank[e]
+        while r:
+            low = min(low, tree[r])
+            r -= r & -r
+        if total[e] - low[0] > best:
+            best, out = total[e] - low[0], (-low[1], e)
+    return out
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -149,8 +183,8 @@ def _matcher(shared):
                     d0 = before[d] + s
                     lo, hi = max(0, before[d] - d0), min(i1 - i0, before[d + 1] - d0)
                     same = h[d0 + lo : d0 + hi] == index.h[i0 + lo : i0 + hi]
-                    a, z, matched = best_overlap(same)
-                    if matched >= min(MIN_MATCHED, MIN_SHARE * (i1 - i0)) and matched >= MIN_RATE * (z - a):
+                    if (run := best_overlap(same, min(MIN_MATCHED, MIN_SHARE * (i1 - i0)))) is not None:
+                        a, z, matched = run
                         rows.append((ids[r0 + d].as_py(), index.ids[i], matched, z - a, int(i1 - i0), int(starts[d0 + lo + a] - off[d]), int(ends[d0 + lo + z - 1] - off[d])))
             if rows:
                 best: dict[tuple, tuple] = {}

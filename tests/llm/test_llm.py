@@ -215,6 +215,33 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(make(spark, []), bench).count() == 0
 
 
+def brute_overlap(same, need):
+    found = [
+        (m - 1.5 * (e - s - m), -e, s, m)
+        for s in range(len(same)) if same[s]
+        for e in range(s + 1, len(same) + 1) if same[e - 1] and (m := sum(same[s:e])) >= need and 4 * m >= 3 * (e - s)
+    ]
+    return (lambda x: (x[2], -x[1], x[3]))(max(found)) if found else None
+
+
+def test_best_overlap_is_that_of_all_runs():
+    rnd = random.Random(11)
+    for k in range(1500):
+        same = [rnd.random() > (0.1, 0.2, 0.25, 0.3, 0.4, 0.6)[k % 6] for _ in range(rnd.choice((0, 1, 8, 13, 30, 60)))]
+        need = rnd.choice((10, 6.4, 8.8))
+        assert decontaminate.best_overlap(np.array(same, bool), need) == brute_overlap(same, need)
+
+
+def test_decontamination_over_edited_stretches(spark):
+    rnd = random.Random(8)
+    w = prose(rnd, 46).split()
+    bench = spark.createDataFrame([(0, " ".join(w))], "item_id long, text string")
+    for i in range(10, 46, 6):
+        w[i], w[i + 1] = "SUBST", "SUBST"
+    got = decontaminate.overlaps(make(spark, [" ".join(w), " ".join(w[:10])]), bench).collect()
+    assert {r["doc_id"] for r in got} == {0, 1} and all(4 * r["matched"] >= 3 * r["length"] for r in got)
+
+
 # 3
 
 
