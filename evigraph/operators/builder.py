@@ -106,9 +106,9 @@ def build(records: DataFrame, drug: str, expression: DataFrame | None = None, nu
 def _resolved(names: DataFrame, known: DataFrame, numeric_guard: bool) -> DataFrame:
     """(doc_id, name, id, kind, new): a known node of the document for each name, else one of the type it suggests."""
     docs = known.select("doc_id", "id", F.col("name").alias("_known"), "seq")
-    vocabulary = docs.groupBy(F.col("_known").alias("known")).agg(F.min("seq").alias("seq"))
-    match = resolve_fuzzy(names, vocabulary, 0.85, numeric_guard).select("name", "match")
-    hit = names.join(match, "name", "left").join(docs.withColumnRenamed("_known", "match"), ["doc_id", "match"], "left")
+    vocabulary = docs.groupBy("doc_id", F.col("_known").alias("known")).agg(F.min("seq").alias("seq"))
+    match = resolve_fuzzy(names, vocabulary, 0.85, numeric_guard, by=("doc_id",)).select("doc_id", "name", "match")
+    hit = names.join(match, ["doc_id", "name"], "left").join(docs.withColumnRenamed("_known", "match"), ["doc_id", "match"], "left")
     first = G.first_of(hit, ["doc_id", "name"], ["seq"])
     kind = G.inferred_type(F.col("name"))
     return first.select("doc_id", "name", F.coalesce("id", F.when(kind.isNotNull(), G.node_id(kind, F.lower("name")))).alias("id"), kind.alias("kind"), F.col("id").isNull().alias("new"))

@@ -17,28 +17,29 @@ from evigraph.functions.cleaning import title
 BROADCAST_NAMES = 50_000
 
 
-def resolve_exact(names: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
-    """``names`` with the known name that is the same without case and space around (the first by seq), or null."""
-    k = known.groupBy(F.lower(F.trim("known")).alias("_k")).agg(F.min_by("known", "seq").alias("match"))
-    return names.join(k, F.lower(F.trim(name)) == F.col("_k"), "left").drop("_k")
+def resolve_exact(names: DataFrame, known: DataFrame, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
+    """``names`` with the known name that is the same without case and space around (the first by seq), or null. Columns ``by`` agree."""
+    k = known.groupBy(*by, F.lower(F.trim("known")).alias("_k")).agg(F.min_by("known", "seq").alias("match"))
+    return names.withColumn("_k", F.lower(F.trim(name))).join(k, [*by, "_k"], "left").drop("_k")
 
 
-def resolve_fuzzy(names: DataFrame, known: DataFrame, threshold: float = 0.85, numeric_guard: bool = False, name: str = "name") -> DataFrame:
-    """(name, match, score): each distinct name's best known name of at least ``threshold``, exact ones with 1.
+def resolve_fuzzy(names: DataFrame, known: DataFrame, threshold: float = 0.85, numeric_guard: bool = False, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, name, match, score): each distinct name's best known name of at least ``threshold``, exact ones with 1. Names meet
+    only known names with equal columns ``by``, such as those of their document.
 
     The score is that of difflib's SequenceMatcher on lower-cased, trimmed names; ties go to the smaller seq. Candidates have
     lengths, and common letters, that allow the threshold; pairs are joined on length, then scored in Arrow batches. With
     ``numeric_guard`` names with different digits never match.
     """
-    q = names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct()
-    exact = resolve_exact(q, known)
-    done = exact.where("match IS NOT NULL").select("name", "match", F.lit(1.0).alias("score"))
-    rest = exact.where("match IS NULL").select("name", F.lower(F.trim("name")).alias("q"), F.length(F.trim("name")).alias("lq"))
-    k = known.select("known", "seq", F.lower(F.trim("known")).alias("k"), F.length(F.trim("known")).alias("lk"))
+    q = names.select(*by, F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct()
+    exact = resolve_exact(q, known, by=by)
+    done = exact.where("match IS NOT NULL").select(*by, "name", "match", F.lit(1.0).alias("score"))
+    rest = exact.where("match IS NULL").select(*by, "name", F.lower(F.trim("name")).alias("q"), F.length(F.trim("name")).alias("lq"))
+    k = known.select(*by, "known", "seq", F.lower(F.trim("known")).alias("k"), F.length(F.trim("known")).alias("lk"))
     # 2 * min(lq, lk) / (lq + lk) bounds the score: a name meets only lengths near its own
     far = threshold / (2 - threshold)
     reach = rest.withColumn("lk", F.explode(F.sequence(F.ceil(F.col("lq") * far).cast("int"), F.floor(F.col("lq") / far).cast("int"))))
-    pairs = reach.join(k, "lk")
+    pairs = reach.join(k, [*by, "lk"])
     if numeric_guard:
         pairs = pairs.where(F.regexp_replace("q", "[^0-9]", "") == F.regexp_replace("k", "[^0-9]", ""))
 
@@ -48,11 +49,11 @@ def resolve_fuzzy(names: DataFrame, known: DataFrame, threshold: float = 0.85, n
             for a, b in zip(p["q"], p["k"]):
                 m = SequenceMatcher(None, a, b)
                 s.append(m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0)
-            yield p.assign(score=s)[["name", "known", "seq", "score"]].query("score >= @threshold")
+            yield p.assign(score=s)[[*by, "name", "known", "seq", "score"]].query("score >= @threshold")
 
-    seq = dict(k.dtypes)["seq"]
-    scored = pairs.select("name", "q", "known", "k", "seq").mapInPandas(score, f"name string, known string, seq {seq}, score double")
-    best = scored.groupBy("name").agg(F.max_by("known", F.struct("score", -F.col("seq"))).alias("match"), F.max("score").alias("score"))
+    kinds = dict(rest.dtypes) | {"seq": dict(k.dtypes)["seq"]}
+    scored = pairs.select(*by, "name", "q", "known", "k", "seq").mapInPandas(score, "".join(f"`{c}` {kinds[c]}, " for c in by) + f"name string, known string, seq {kinds['seq']}, score double")
+    best = scored.groupBy(*by, "name").agg(F.max_by("known", F.struct("score", -F.col("seq"))).alias("match"), F.max("score").alias("score"))
     return done.unionByName(best)
 
 

@@ -36,6 +36,20 @@ def test_statements(spark):
     assert ("drug:drugin", "target:hdac", "inhibits", "associated_with") in edges and ("drug:drugin", "ae:anemia", "caused by", "linked_to") in edges
 
 
+def test_names_resolve_in_their_own_document(spark):
+    names = spark.createDataFrame([(1, "Anaemia"), (1, "NAUSEA")], "doc_id int, name string")
+    known = [(1, "ae:anemia", "Anemia", 0), (1, "ae:nausea", "Nausea", 2), (2, "ae:anaemia", "Anaemia", 0), (2, "ae:nausea", "nausea", 1)]
+    got = builder._resolved(names, spark.createDataFrame(known, "doc_id int, id string, name string, seq int"), False).collect()
+    assert {(r["doc_id"], r["name"], r["id"], r["new"]) for r in got} == {(1, "Anaemia", "ae:anemia", False), (1, "NAUSEA", "ae:nausea", False)}
+
+
+def test_fuzzy_resolution_by_group(spark):
+    names = spark.createDataFrame([(1, "Anaemia"), (2, "Anaemia"), (3, "Anaemia")], "doc_id int, name string")
+    known = spark.createDataFrame([(1, "Anemia", 0), (2, "anaemia", 0), (2, "Anemia", 1), (4, "Anaemia", 0)], "doc_id int, known string, seq int")
+    got = {(r["doc_id"], r["match"], round(r["score"], 3)) for r in resolve.resolve_fuzzy(names, known, by=("doc_id",)).collect()}
+    assert got == {(1, "Anemia", 0.923), (2, "anaemia", 1.0)}
+
+
 def test_expression_and_genes(spark):
     genes = spark.createDataFrame([(1, "HDAC", 2.0, 0.01, 0.02), (1, "Receptor A", -0.5, 0.01, None), (1, "HDAC1", 1.5, 0.9, 0.9), (2, "KIT gene", 3.0, 0.01, 0.1)], "doc_id int, symbol string, log2fc double, p_value double, padj double")
     g = builder.build(record(spark), "Drugin", genes)
