@@ -93,13 +93,30 @@ def ground_in(df: DataFrame, term: str, vocabulary: list[str]) -> Column:
     return out
 
 
-def lookup_chain(df: DataFrame, key: str, index: DataFrame) -> DataFrame:
-    """``df`` with target: by the exact key, else by the key without white space; ``index`` has ref and target."""
+def lookup_chain(df: DataFrame, key: str, index: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """``df`` with target: by the exact key, else by the key without white space, else the chunk that holds the key most often (the
+    smallest target of equal ones); ``index`` has ref and target, ``chunks`` target and content. Blank keys find no chunk."""
     exact = index.groupBy(F.col("ref").alias("_r")).agg(F.min("target").alias("_t1"))
     plain = index.groupBy(F.regexp_replace("ref", r"\s+", "").alias("_p")).agg(F.min("target").alias("_t2"))
     k = F.lower(F.trim(key))
     out = df.join(exact, k == F.col("_r"), "left").join(plain, F.regexp_replace(k, r"\s+", "") == F.col("_p"), "left")
-    return out.withColumn("target", F.coalesce("_t1", "_t2")).drop("_r", "_p", "_t1", "_t2")
+    out = out.withColumn("target", F.coalesce("_t1", "_t2")).drop("_r", "_p", "_t1", "_t2")
+    if chunks is None:
+        return out
+    best = _most_named(out.where("target IS NULL").select(F.lower(key).alias("_w")).where("trim(_w) <> ''").distinct(), chunks)
+    out = out.join(best, F.lower(key) == F.col("_w"), "left")
+    return out.withColumn("target", F.coalesce("target", "_t3")).drop("_w", "_t3")
+
+
+def _most_named(words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(_w, _t3): the chunk with most occurrences of each word. Candidates share the word's last three characters (or all it has)."""
+    low = chunks.select(F.col("target").alias("_t3"), F.lower("content").alias("_c"))
+    grams = [low.where(F.length("_c") >= n).select("_t3", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_c") - (n - 1)), lambda i, n=n: F.col("_c").substr(i, F.lit(n))))).alias("_g")) for n in (1, 2, 3)]
+    posts = grams[0].union(grams[1]).union(grams[2])
+    near = words.withColumn("_g", F.expr("right(_w, 3)")).join(posts, "_g").select("_w", "_t3").distinct()
+    n = (F.length("_c") - F.length(F.replace("_c", F.col("_w"), F.lit("")))) / F.length("_w")
+    found = near.join(low, "_t3").select("_w", "_t3", n.alias("_n")).where("_n > 0")
+    return found.groupBy("_w").agg(F.min_by("_t3", F.struct(-F.col("_n"), "_t3")).alias("_t3"))
 
 
 def uniquify(df: DataFrame, name: str, order: list[str], width: int = 31, room: int = 25) -> DataFrame:

@@ -17,3 +17,11 @@ def test_co_neighbors_takes_all_suppliers(spark, tmp_path):
     d = stored(spark, tmp_path, nation=(nations, "n_nationkey int, n_regionkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int"))
     want = {(a, b, 1) for (a, x), (b, y) in itertools.combinations(suppliers, 2) if dict(nations)[x] == dict(nations)[y]}
     assert {tuple(r) for r in catalogue.QUERIES["co_neighbors"](spark, d).select("a", "b", "n").collect()} == want
+
+
+def test_reference_resolve_takes_all_items_and_chunks(spark, tmp_path):
+    items = [(1, "nothing"), (2, "see TABLE 48, table 48"), (3, "table 48"), (44, ""), (45, None), (46, "Table 48 table 48"), (199, "x")]
+    turns = [(c, 0) for c in (1, 44, 45, 46, 47, 48, 98)]
+    d = stored(spark, tmp_path, benchmark=(items, "item_id long, text string"), conversations=(turns, "conv_id long, turn long"))
+    got = {r["conv_id"]: r["target"] for r in catalogue.QUERIES["reference_resolve"](spark, d).collect()}
+    assert got == {1: 1, 44: 44, 45: 45, 46: 46, 47: None, 48: 2, 98: 2}
