@@ -71,7 +71,14 @@ def _finite(nodes) -> set[str] | None:
             part = None if None in parts else set().union(*parts)
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[1] is not sre.MAXREPEAT and arg[1] <= 2:
             one = _finite(arg[2])
-            part = None if one is None else {a * n for a in one for n in range(arg[0], arg[1] + 1)}
+            part, power = (None, set()) if one is None else (set(), {""})
+            for n in range(arg[1] + 1):
+                if part is None or len(power) > MOST_STRINGS:
+                    part = None
+                    break
+                if n >= arg[0]:
+                    part |= power
+                power = {a + b for a in power for b in one}
         elif op is sre.AT:
             continue
         else:

@@ -200,6 +200,13 @@ def test_trigram_queries_hold_for_every_match():
 # 2
 
 
+def test_trigram_query_of_repeated_sets():
+    for pattern, texts in (("[xy]{2}tok", ("xxtok", "xytok", "yxtok", "yytok")), ("(ab|c){1,2}key", ("abkey", "cabkey", "abckey", "cckey")), ("[a-h]{2}tok", ("ahtok",))):
+        clauses = secret_scan.trigram_query(pattern)
+        for t in texts:
+            assert re.fullmatch(pattern, t) and any(all(g in t for g in c) for c in clauses), (pattern, t)
+
+
 def test_decontamination(spark):
     rnd = random.Random(7)
     items = [prose(rnd, 30), prose(rnd, 20), "too short item", None]
