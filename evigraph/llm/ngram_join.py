@@ -3,18 +3,25 @@
 A document is its set of shingles. Documents with equal sets are one class. Of each class the first shingles in a global order
 (rare before frequent) are exchanged, so many that two classes that link share a tenth of the smaller one there. Then:
 
-1. Each class is verified against one leader, the class with which it shares most of them. What links so is a group of similar
-   documents.
-2. The token-group matrix has a row for each exchanged shingle and group that holds it. A class is a query to every other group
-   that has enough of its shingles in the matrix, if the sizes allow a link. Groups are dealt in parts of bounded size; a part keeps
+1. Each class is verified against at most two leaders: of the classes that share the least shingle of an eighth of the hash
+   space with it, those with the largest part of shared shingles, since an original has no words of its own and its copies do.
+   What links so is a group of similar documents.
+2. The token-group matrix has a row for each exchanged shingle and group that holds it. A class is a query to the groups whose
+   rows hold so many of its shingles that a member of fitting size may link. Groups are dealt in parts of bounded size; a part keeps
    the union of its members' shingles, and only a part whose union holds enough of the query is opened and its members compared,
    until one links.
 
-Every pair of classes that links is in one group after step 1 or is compared in step 2, so the components are exact. The order of
-shingles affects only the speed. Hashes of shingles have 48 bits.
+A row that many groups hold is crowded. What two sets can share there is bounded by the crowded rows that each has, and what they
+must share by their sizes, so a crowded row is asked only where crowded rows alone may decide; others share a rarer row as well.
+So a passage that thousands of documents hold leads to comparisons only among documents of little else.
+
+Every pair of classes that links is in one group after step 1 or is compared in step 2. The order of shingles, the leaders and
+``CROWD`` affect only the speed. Shingles are told apart by 48 bits of hash and sets by 64 (``n_shingles`` counts the former): a
+set of 20,000 shingles holds two of one hash with a chance of 1e-6, and 10^9 different sets two of one digest with a chance of 3 %.
 
 Defined results: null and empty texts have no shingles and link with nothing; rows with a null doc_id get a null component and
-link with nothing; equal rows each get their row; extra columns are ignored by ``components`` and kept by ``keep_first``.
+link with nothing; equal rows each get their row; rows of one doc_id and different texts are one document of several sets, whose
+links all count; extra columns are ignored by ``components`` and kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigraph.llm._spark import shuffle_partitions, stored
+from evigraph.llm._spark import free_name, shuffle_partitions, stored
 from evigraph.llm._text import TOKEN_BITS, U64, mix, shingle_sets, text_chunks
 from evigraph.llm.components import connected_components
 
@@ -54,25 +61,29 @@ def _sets(column: pa.Array):
         yield r0, n, cid.view(np.int64), tok, before
 
 
-def _least(n: np.ndarray | int, percent: int = PERCENT):
+def _least(n: np.ndarray | int, percent: int):
     """Shingles of a set of n that a linked set has too, at least."""
     return -(-percent * n // 100)
 
 
-def _shared(n: np.ndarray | int):
+def _shared(n: np.ndarray | int, percent: int):
     """Exchanged shingles that a set of n shares with a linked one that is no smaller, at least."""
-    return -(-n // 10)
+    return np.minimum(-(-n // 10), _least(n, percent))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cid): set size and class of each row."""
+    """(doc_id, n, cid, keys): set size and class of each row, and the least shingle in each eighth of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r0, n, cid, _, _ in _sets(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(r0, len(n)), pa.array(n, pa.int64()), pa.array(cid)], ["doc_id", "n", "cid"])
+            for r0, n, cid, tok, before in _sets(b.column(1)):
+                part = (tok >> U64(TOKEN_BITS - 3)).astype(np.int64) + 8 * np.repeat(np.arange(len(n)), n)
+                least = np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1]))
+                ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(least)))[before]
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok[least].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(r0, len(n)), pa.array(n, pa.int64()), pa.array(cid), keys], ["doc_id", "n", "cid", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid long, keys array<long>")
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -91,7 +102,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return most["tok"].to_numpy()[::-1].copy().view(U64)
 
 
-def first_shingles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def first_shingles(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(tok, cid): of each class the shingles of which a linked class has one; a frequent one has a salt above its 48 bits."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(U64)))
@@ -100,15 +111,23 @@ def first_shingles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = shared.value
+        sent: set[int] = set()  # a class once for each task
         for b in batches:
             for _, n, cid, tok, before in _sets(b.column(0)):
+                new = np.zeros(len(n), bool)
+                for i, c in enumerate(cid.tolist()):
+                    new[i] = c not in sent
+                    sent.add(c)
                 owner = np.repeat(np.arange(len(n)), n)
+                tok, owner = tok[new[owner]], owner[new[owner]]
+                n = np.where(new, n, 0)
+                before = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
                 place = tok
                 if len(often):
                     at = np.minimum(np.searchsorted(often, tok), len(often) - 1)
                     place = np.where(often[at] == tok, U64(1 << TOKEN_BITS) + rank[at], tok)
                 key = np.sort((owner.astype(U64) << U64(TOKEN_BITS + 1)) | place)
-                take = np.arange(len(key)) - before[owner] < (n - _least(n) + _shared(n))[owner]
+                take = np.arange(len(key)) - before[owner] < (n - _least(n, percent) + _shared(n, percent))[owner]
                 key, owner = key[take] & U64((1 << (TOKEN_BITS + 1)) - 1), owner[take]
                 own = cid[owner]
                 if len(often):
@@ -123,27 +142,10 @@ def first_shingles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def shared_shingles(first: DataFrame) -> DataFrame:
-    """(tok, cid, leader): first shingles that two classes have, without salt; the leader is the least class of the salt."""
-    first.createOrReplaceTempView("_first_shingles")
-    return first.sparkSession.sql(f"""
-        SELECT tok & {MASK} AS tok, cid, leader FROM (
-          SELECT tok, cid, lag(cid) OVER w AS prev, min(cid) OVER whole AS leader, max(cid) OVER whole AS last
-          FROM _first_shingles WINDOW w AS (PARTITION BY tok ORDER BY cid), whole AS (PARTITION BY tok))
-        WHERE (prev IS NULL OR prev <> cid) AND (leader <> last OR tok > {MASK})""")
-
-
-def _tokens_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(cid, toks): the shingles of the classes in ``needed`` (cid, rep), from the text of one document of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r0, n, cid, tok, before in _sets(b.column(0)):
-                want = b.column(1).slice(r0, len(n)).to_numpy()
-                keep = np.flatnonzero(cid == want)
-                yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), pa.array([tok[before[i] : before[i + 1]].tobytes() for i in keep], pa.binary())], ["cid", "toks"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(needed.select("cid", "rep"), "rep")
-    return rows.select("text", "cid").mapInArrow(run, "cid long, toks binary")
+    """(tok, cid): first shingles that two classes have, without salt."""
+    by_tok, whole = W.partitionBy("tok").orderBy("cid"), W.partitionBy("tok")
+    seen = first.select("tok", "cid", F.lag("cid").over(by_tok).alias("prev"), F.min("cid").over(whole).alias("least"), F.max("cid").over(whole).alias("most"))
+    return seen.where(f"(prev IS NULL OR prev <> cid) AND (least <> most OR tok > {MASK})").select(F.expr(f"tok & {MASK}").alias("tok"), "cid")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -161,8 +163,16 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _open_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from rows (grp, part, query, cid, toks), members before queries in each part."""
+def _open_groups(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from rows (grp, part, query, cid, rep): the texts of rep are fetched, and each part opened by its queries."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r0, n, cid, tok, before in _sets(b.column(4)):
+                # a doc_id may have several texts
+                keep = np.flatnonzero(cid == b.column(3).slice(r0, len(n)).to_numpy())
+                own = [b.column(i).slice(r0, len(n)).take(pa.array(keep)) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([tok[before[i] : before[i + 1]].tobytes() for i in keep], pa.binary())], ["grp", "part", "query", "cid", "toks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, union, out = None, [], None, []
@@ -192,114 +202,106 @@ def _open_groups(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     n = shuffle_partitions(rows.sparkSession)
-    dealt = rows.select("grp", "part", "query", "cid", "toks").repartition(n, "grp", "part").sortWithinPartitions("grp", "part", "query")
-    return dealt.mapInArrow(run, "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep IS NOT NULL").join(rows, "rep")
+    sets = texts.select("grp", "part", "query", "cid", "text").mapInArrow(shingle, "grp long, part int, query int, cid long, toks binary")
+    return sets.repartition(n, "grp", "part").sortWithinPartitions("grp", "part", "query").mapInArrow(run, "a long, b long")
 
 
-def _with_parts(members: DataFrame, queries: DataFrame, toks: DataFrame) -> DataFrame:
-    """Rows for ``_open_groups`` of members (grp, cid) and queries (grp, cid): a large group is dealt in parts, each query to all."""
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    # few groups have more than one part
-    dealt = members.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("part"), F.lit(0).alias("query"), "cid")
-    asked = queries.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("query"), "cid")
-    return dealt.unionByName(asked).join(toks, "cid")
+def _dealt(members: DataFrame, queries: DataFrame, reps: DataFrame, spread: DataFrame, most: int) -> DataFrame:
+    """Rows for ``_open_groups`` of members and queries (grp, cid): each group in parts by the size of ``spread``, one of the
+    two, of which a row goes to one part and a row of the other to all."""
+    sizes = spread.groupBy("grp").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    one, all_ = F.pmod(F.xxhash64("cid"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = [x.join(sizes, "grp").select("grp", (one if x is spread else all_).alias("part"), F.lit(q).alias("query"), "cid") for q, x in enumerate((members, queries))]
+    return rows[0].unionByName(rows[1]).join(reps.select("cid", "rep"), "cid")
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
     rows = stored(profiles(docs))
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    entries = stored(shared_shingles(first_shingles(docs, frequent_shingles(docs))))
-    # a linked set may be smaller, and share less
+    entries = stored(shared_shingles(first_shingles(docs, frequent_shingles(docs), percent)))
     several = entries.groupBy("cid").agg(F.count("*").alias("have"))
-    classes = stored(classes.join(several, "cid").where(f"have >= ceil(ceil({percent} * n / 100) / 10)").select("cid", "rep", "n"))
-    if not classes.isEmpty():
-        labels = _labels(docs, entries, classes, percent)
-        best = labels.join(classes, labels["node"] == classes["cid"]).groupBy("comp").agg(F.min("rep").alias("least"))
-        by_class = labels.join(best, "comp").select(F.col("node").alias("cid"), "least")
-    else:
-        by_class = classes.select("cid", F.col("rep").alias("least"))
+    # a linked set may be smaller, and share less
+    classes = stored(classes.join(several, "cid").where(f"have >= {_shared_sql(_least_sql('n', percent), percent)}"))
+    labels = _labels(docs, rows, entries, classes, percent)
+    best = labels.join(classes, labels["node"] == classes["cid"]).groupBy("comp").agg(F.min("rep").alias("least"))
+    by_class = labels.join(best, "comp").select(F.col("node").alias("cid"), "least")
     copies = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"))
     least = copies.join(by_class, "cid", "left").select("cid", F.least("first", "least").alias("least"))
     own = rows.join(least, "cid", "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("least"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _labels(docs: DataFrame, entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) over classes that link."""
-    size = classes.select("cid", "n")
-    entries = entries.join(size, "cid")
-    toks = stored(_tokens_of(docs, classes))
-    # 1: one leader for each class
-    led = entries.where("cid <> leader").groupBy("cid", "leader").agg(F.count("*").alias("count"), F.min("n").alias("n"))
-    # a class that shares too little is left to step 2
-    led = led.where("count * 30 >= n").groupBy("cid").agg(F.max_by("leader", F.struct("count", "leader")).alias("grp"))
-    # leaders of one shingle's salts follow the least of them
-    tops = entries.groupBy("tok", "leader").agg(F.count("*").alias("have")).withColumn("top", F.min("leader").over(W.partitionBy("tok")))
-    tops = tops.where("leader <> top").groupBy("leader", "top").agg(F.sum("have").alias("have"))
-    tops = tops.groupBy(F.col("leader").alias("cid")).agg(F.max_by("top", F.struct("have", "top")).alias("grp"))
-    led = stored(led.unionByName(tops.select(*led.columns)).distinct())
-    leaders = led.select("grp").distinct().select("grp", F.col("grp").alias("cid"))
-    tried = _open_groups(_led_rows(leaders, led, toks), percent)
-    groups = connected_components(stored(tried))
-    # 2: queries to the groups in the rows of the matrix, first to the leading one only, which leaves few groups for the rest
-    for ask in (_leading, _leading, _queries):
-        named = stored(entries.join(groups, F.col("cid") == F.col("node"), "left").select("tok", "cid", "n", F.coalesce("comp", "cid").alias("grp")))
-        queries = stored(ask(named, percent))
-        if queries.isEmpty():
-            continue
-        group_of = named.select("cid", "grp").distinct()
-        members = group_of.join(queries.select("grp").distinct(), "grp", "left_semi")
-        found = _open_groups(_with_parts(members, queries.select("grp", "cid"), toks), percent)
-        # members of a group reach each other, so links between groups are enough
-        between = found.join(group_of.selectExpr("cid AS a", "grp AS ga"), "a").join(group_of.selectExpr("cid AS b", "grp AS gb"), "b")
-        joined = connected_components(stored(between.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()))
-        every = groups.unionByName(joined.join(groups, "node", "left_anti"))
-        groups = stored(every.join(joined.selectExpr("node AS comp", "comp AS last"), "comp", "left").select("node", F.coalesce("last", "comp").alias("comp")))
-    return groups
-
-
-def _leading(named: DataFrame, percent: int) -> DataFrame:
-    """(grp, cid): for each class the one other group that most of its rows have as their largest."""
-    sizes = named.groupBy("tok", "grp").agg(F.count("*").alias("many"))
-    lead = sizes.groupBy("tok").agg(F.max_by("grp", F.struct("many", "grp")).alias("lead"), F.count("*").alias("groups")).where("groups > 1").select("tok", "lead")
-    pairs = named.join(lead, "tok").where("grp <> lead").groupBy("cid", "lead").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
-    best = pairs.where("shared * 30 >= n").groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("grp"))
-    return best.select("grp", "cid")
-
-
-def _queries(named: DataFrame, percent: int) -> DataFrame:
-    """(grp, cid): the groups that a class may link with, of classes and groups (tok, cid, n, grp).
-
-    What a class shares with the rows of a group bounds what it shares there with any member. Rows that many groups have are left
-    out where a class has so few of them that it must share others too; the bound falls by their number then.
+def _least_sql(n: str, percent: int) -> str:
+    return f"(({percent} * {n} + 99) div 100)"
+
+
+def _shared_sql(n: str, percent: int) -> str:
+    return f"least(({n} + 9) div 10, {_least_sql(n, percent)})"
+
+
+def _labels(docs: DataFrame, rows: DataFrame, entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) over classes that link; classes: (cid, rep, n, have)."""
+    pairs = stored(_leaders(rows, classes, percent))
+    heads = pairs.select("grp").distinct().select("grp", F.col("grp").alias("cid"))
+    groups = connected_components(stored(_open_groups(docs, _dealt(heads, pairs, classes, pairs, 4 * PART), percent)))
+    group_of = stored(classes.join(groups, classes["cid"] == groups["node"], "left").select("cid", "rep", "n", F.coalesce("comp", "cid").alias("grp")))
+    queries = stored(_queries(entries, group_of, percent))
+    members = group_of.join(queries.select("grp").distinct(), "grp", "left_semi").select("grp", "cid")
+    found = _open_groups(docs, _dealt(members, queries, group_of, members, PART), percent)
+    # members of a group reach each other, so links between groups are enough
+    between = found.join(group_of.selectExpr("cid AS a", "grp AS ga"), "a").join(group_of.selectExpr("cid AS b", "grp AS gb"), "b")
+    joined = connected_components(stored(between.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()))
+    last = group_of.join(joined, group_of["grp"] == joined["node"], "left").select(F.col("cid").alias("node"), F.coalesce("comp", "grp").alias("comp"))
+    return stored(last)
+
+
+def _leaders(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(grp, cid): for each class the two classes with which it shares most keys, of those that lead a key."""
+    first = f"(n - {_least_sql('n', percent)} + {_shared_sql('n', percent)})"
+    own = classes.select("cid", "rep", F.expr(f"CAST(1000 * have / {first} AS INT)").alias("common"))
+    keyed = rows.select(F.col("doc_id").alias("rep"), "cid", F.explode("keys").alias("key")).join(own, ["rep", "cid"]).select("key", "cid", "common").distinct()
+    lead = keyed.groupBy("key").agg(F.max_by("cid", F.struct("common", "cid")).alias("grp"), F.count("*").alias("many")).where("many > 1").select("key", "grp")
+    pairs = keyed.join(lead, "key").where("cid <> grp").groupBy("cid", "grp").agg(F.count("*").alias("keys")).where("keys > 1")
+    best = W.partitionBy("cid").orderBy(F.desc("keys"), "grp")
+    return pairs.withColumn("place", F.row_number().over(best)).where("place <= 2").select("grp", "cid")
+
+
+def _queries(entries: DataFrame, group_of: DataFrame, percent: int) -> DataFrame:
+    """(grp, cid): the groups that a class may link with, of rows (tok, cid) and classes (cid, n, grp).
+
+    A class asks groups with members no larger than itself. Sets of x and y <= x shingles that link share at least
+    ``ceil(percent * (x + y) / (100 + percent)) - least(x) + shared(x)`` rows, less one where rounding makes ``least - shared`` fall
+    somewhere (never at 75 percent). Of these at most as many are crowded as either has, so a crowded row is asked only where y is
+    small enough for crowded rows alone to do.
     """
-    matrix = named.groupBy("tok", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1")
-    matrix = stored(matrix.join(several, "tok").select("tok", F.col("grp").alias("other"), "least", "most", (F.col("groups") > CROWD).alias("crowd")))
-    asking = named.join(several, "tok").withColumn("crowd", F.col("groups") > CROWD)
-    few = asking.groupBy("cid").agg(F.count_if("crowd").alias("crowded"), F.min("n").alias("n"))
-    few = few.select("cid", F.when(F.expr(f"crowded < ceil(ceil({percent} * n / 100) / 10)"), F.col("crowded")).otherwise(0).alias("left_out"), F.expr(f"crowded >= ceil(ceil({percent} * n / 100) / 10)").alias("all_rows"))
-    asking = asking.join(few, "cid").where("all_rows OR NOT crowd").select("tok", "cid", "n", "grp", "left_out")
-    pairs = asking.join(matrix.select("tok", "other", "least", "most"), "tok").where(F.col("grp") > F.col("other"))
-    pairs = pairs.where(f"100 * most >= {percent} * n AND 100 * n >= {percent} * least")
-    pairs = pairs.groupBy("other", "cid").agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("least").alias("least"), F.min("left_out").alias("left_out"))
-    enough = f"shared + left_out >= least(ceil(n / 10), ceil(greatest(ceil({percent} * n / 100), least) / 10))"
-    return pairs.where(enough).select(F.col("other").alias("grp"), "cid")
-
-
-def _led_rows(leaders: DataFrame, led: DataFrame, toks: DataFrame) -> DataFrame:
-    """Each leader is a group of one member; its many followers are dealt in parts, to each of which the leader goes."""
-    sizes = led.groupBy("grp").agg(F.ceil(F.count("*") / (4 * PART)).cast("int").alias("parts"))
-    asked = led.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("part"), F.lit(1).alias("query"), "cid")
-    dealt = leaders.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("query"), "cid")
-    return dealt.unionByName(asked).join(toks, "cid")
+    least, shared = _least_sql("n", percent), f"({_shared_sql('n', percent)} - {int(percent != 75)})"
+    named = stored(entries.join(group_of.select("cid", "n", "grp"), "cid"))
+    several = named.groupBy("tok").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("tok")
+    named = named.join(several, "tok", "left_semi")
+    enough = named.groupBy("cid").agg(F.count("*").alias("have"), F.min("n").alias("n")).where(f"have >= {_shared_sql(least, percent)}").select("cid")
+    named = stored(named.join(enough, "cid", "left_semi"))
+    crowds = named.select("tok", "grp").distinct().groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1")
+    crowds = crowds.select("tok", (F.col("groups") > CROWD).alias("crowd"))
+    named = named.join(crowds, "tok").withColumn("q", F.sum(F.col("crowd").cast("long")).over(W.partitionBy("cid")))
+    # the largest partner for which crowded rows alone may do
+    named = stored(named.withColumn("reach", F.expr(f"{100 + percent} * (q + {least} - {shared}) div {percent} - n")))
+    matrix = named.groupBy("tok", "grp", "crowd").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.max("q").alias("most_q"))
+    matrix = matrix.select("tok", F.col("grp").alias("other"), "smallest", "largest", "most_q")
+    asking = named.where(f"NOT crowd OR reach >= {least}")
+    must = f"(({percent} * (n + greatest(smallest, {least})) + {99 + percent}) div {100 + percent} - {least} + {shared})"
+    pairs = asking.join(matrix, "tok").where(f"grp <> other AND smallest <= n AND 100 * largest >= {percent} * n AND (NOT crowd OR (smallest <= reach AND {must} <= most_q))")
+    pairs = pairs.groupBy("other", "cid").agg(F.count_if(~F.col("crowd")).alias("rare"), F.min("n").alias("n"), F.min("smallest").alias("smallest"), F.min(F.least("q", "most_q")).alias("crowded"), F.max(F.least("q", "most_q")).alias("most"))
+    return pairs.where(f"rare + most >= {must}").select(F.col("other").alias("grp"), "cid")
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that of the least doc_id; texts without a word all stay."""
-    found = components(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    """``docs`` with one document of each component, that of the least doc_id; texts without a word all stay, as do rows without
+    a doc_id and all rows of a doc_id that stays."""
+    drop = free_name(docs, "drop")
+    found = components(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(drop)).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == found[drop], "left_anti")
 
 
 #: The same by comparing all pairs that share a shingle: for small tables.
