@@ -2,11 +2,12 @@
 
 A linear support vector machine for each pair of language families decides the family; one-versus-one machines then separate
 the languages within it. Features are hashed byte n-grams of the case-folded text (square roots of counts, unit length), so
-every byte of a text counts. The machines are trained with dual coordinate descent in numpy on a bounded sample: at most
-``per_lang`` labelled documents of each language, those with the smallest hash of doc_id.
+every byte of a text counts. The machines are trained with dual coordinate descent in numpy on a bounded sample: ``per_lang``
+labelled documents of each language in the mean (all, where there are fewer), those whose hash of doc_id is below a bound.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is nothing to learn
-from. Repeated rows get equal answers. Extra columns are kept; columns named lang_pred or score are replaced.
+from. Repeated rows get equal answers and count once in training. ``annotate`` keeps extra columns and replaces those with the
+names it gives, lang_pred and score unless others are named.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigraph.llm._text import NOT_WORD, U64, fold_case, text_chunks
 
 DIM = 1 << 12
+PER_LANG = 400
+#: Values of the hash that the sample's bound is laid on.
+SPAN = 1 << 30
 #: Texts whose features are in memory at once.
 ROWS = 256
 UNKNOWN = "und"
@@ -73,27 +76,31 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
-    """Weights, bias last, of a linear machine with squared hinge loss; y is -1 or 1. Dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
+def train_svm(x: np.ndarray, y: np.ndarray, use: np.ndarray | None = None, c: float = 10.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
+    """Weights, bias last, of a linear machine with squared hinge loss; y is -1 or 1. Dual coordinate descent over the rows ``use``."""
+    use = np.arange(len(x)) if use is None else use
+    y = y[use].astype(np.float64)
+    alpha, w, bias = np.zeros(len(use)), np.zeros(x.shape[1]), 0.0
     # the rarer side weighs as much as the other
     cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     diag = 1 / (2 * cost)
-    q = (x * x).sum(1) + diag
+    q = np.array([float(x[i] @ x[i]) for i in use]) + 1 + diag
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(len(x)):
-            g = y[i] * (w @ x[i]) - 1 + diag[i] * alpha[i]
+        for i in rng.permutation(len(use)):
+            row = x[use[i]]
+            g = y[i] * (w @ row + bias) - 1 + diag[i] * alpha[i]
             new = max(0.0, alpha[i] - g / q[i])
             if new != alpha[i]:
                 most = max(most, abs(new - alpha[i]))
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * row
+                bias += step
                 alpha[i] = new
         if most < 1e-3:
             break
-    return w.astype(np.float32)
+    return np.append(w, bias).astype(np.float32)
 
 
 @dataclass
@@ -141,8 +148,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
         model.members[name] = members
         model.pairs[name] = []
         for (i, a), (j, b) in combinations(enumerate(members), 2):
-            use = (of == a) | (of == b)
-            model.pairs[name].append((i, j, train_svm(x[use], np.where(of[use] == a, 1.0, -1.0))))
+            model.pairs[name].append((i, j, train_svm(x, np.where(of == a, 1.0, -1.0), np.flatnonzero((of == a) | (of == b)))))
     return model
 
 
@@ -150,13 +156,13 @@ def fold(key: str = "doc_id", by: int = 3):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(by))
 
 
-def train(docs: DataFrame, per_lang: int = 400, key: str = "doc_id", held: int = 1) -> Model:
-    """A model from at most ``per_lang`` documents of each language with a label, outside the held-out third."""
-    w = W.partitionBy("lang").orderBy(F.xxhash64(key), key)
-    able = docs.select(key, "lang").where(F.col("lang").isNotNull() & (fold(key) != held))
-    ids = [r[0] for r in able.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_lang).select(key).collect()]
-    if not ids:
+def train(docs: DataFrame, per_lang: int = PER_LANG, key: str = "doc_id", held: int = 1) -> Model:
+    """A model from ``per_lang`` documents of each language with a label, in the mean, outside the held-out third."""
+    able = docs.select(F.col(key).cast("long").alias("k"), "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(key) != held))
+    share = {r[0]: min(1.0, per_lang / r[1]) for r in able.groupBy("lang").count().collect()}
+    if not share:
         return Model()
+    bound = F.create_map(*[F.lit(v) for lang, part in share.items() for v in (lang, int(part * SPAN))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,14 +170,19 @@ def train(docs: DataFrame, per_lang: int = 400, key: str = "doc_id", held: int =
                 x = features(data, off).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(r0, r1 - r0), b.column(1).slice(r0, r1 - r0), pa.array([v.tobytes() for v in x], pa.binary())], ["k", "lang", "x"])
 
-    rows = docs.select(F.col(key).cast("long"), "lang", "text").where(F.col(key).isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(vectors, "k long, lang string, x binary").collect()
-    rows = sorted({(r[0], r[1], bytes(r[2])) for r in rows})
-    return fit(np.stack([np.frombuffer(r[2], np.float16) for r in rows]).astype(np.float32), [r[1] for r in rows]) if rows else Model()
+    sample = able.where(F.pmod(F.xxhash64("k"), F.lit(SPAN)) < F.element_at(bound, F.col("lang"))).mapInArrow(vectors, "k long, lang string, x binary")
+    rows = sample.distinct().toArrow().sort_by([("k", "ascending"), ("lang", "ascending"), ("x", "ascending")])
+    if not rows.num_rows:
+        return Model()
+    x = np.empty((rows.num_rows, DIM), np.float32)
+    for i, v in enumerate(rows["x"]):
+        x[i] = np.frombuffer(v.as_buffer(), np.float16)
+    return fit(x, rows["lang"].to_pylist())
 
 
-def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred string and score double."""
-    base = docs.drop("lang_pred", "score")
+def annotate(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the language as string and its score as double."""
+    base = docs.drop(lang_pred, score)
     names, schema = base.columns, base.schema
     at = names.index(text)
 
@@ -179,17 +190,17 @@ def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             langs, scores = [], []
             for _, _, data, off in text_chunks(b.column(at), rows=ROWS):
-                lang, score = model.predict(features(data, off))
+                lang, p = model.predict(features(data, off))
                 none = ~has_letter(data, off)
-                lang[none], score[none] = UNKNOWN, 0.0
+                lang[none], p[none] = UNKNOWN, 0.0
                 langs.append(lang)
-                scores.append(score)
+                scores.append(p)
             cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
-            yield pa.RecordBatch.from_arrays([*b.columns, cat(langs, pa.string()), cat(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, cat(langs, pa.string()), cat(scores, pa.float64())], [*names, lang_pred, score])
 
     from pyspark.sql import types as T
 
-    return base.mapInArrow(run, T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return base.mapInArrow(run, T.StructType([*schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
