@@ -6,19 +6,24 @@ Each stage takes what its predecessor kept; all but the last return the columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evigraph.llm import decontaminate, langid, ngram_join, packing, secret_scan
-from evigraph.llm._spark import read_table, stored
+from evigraph.llm._spark import free_name, read_table, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters go; a missing lang is filled with the prediction."""
-    found = langid.annotate(docs, langid.train(docs)).where(f"lang_pred <> '{langid.UNKNOWN}'")
-    return found.selectExpr(*["coalesce(lang, lang_pred) AS lang" if c == "lang" else f"`{c}`" for c in docs.columns])
+    """Documents without text or letters go; a missing lang is filled with the prediction.
+
+    Rows are judged one by one: null and repeated ids and other columns, whatever their names, stay as they are.
+    """
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = langid.annotate(docs, langid.train(docs), lang_pred=pred, score=score).where(F.col(pred) != langid.UNKNOWN)
+    return found.select(*[F.coalesce("lang", pred).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, that of the least doc_id."""
+    """One document of each group of linked ones stays, that of the least doc_id; rows without an id stay."""
     return ngram_join.keep_first(docs)
 
 
