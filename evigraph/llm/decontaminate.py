@@ -2,14 +2,19 @@
 
 Fixed masks pick some of the token positions of a short span and ignore the others, so a hit survives substituted words. The
 hashes of all masks at all positions of the benchmark are joined with those of every position of the documents; around each hit
-the two texts are laid side by side and the best overlap, mismatches allowed, is measured.
+the two texts are laid side by side and the best overlap, mismatches allowed, is measured. The masks miss no overlap that counts:
+no run of tokens with the matches and the rate below avoids all of them (the tests prove it).
+
+An item of fewer than ``SHORT`` tokens leaves no room for substitutions: it is found where it stands word for word, and one of
+fewer than ``LEAST`` tokens only where it is a whole document, since two or three words stand in any text.
 
 The benchmark is taken in blocks of at most ``BLOCK_TOKENS`` tokens, each of which goes to all tasks; the documents are read once
 for each block (one, unless the benchmark is very large). Tokens are case-folded runs of letters and digits.
 
-Defined results: null or empty texts match nothing; a benchmark item of fewer than ``MIN_TOKENS`` tokens is too short to be
-evidence and matches nothing; equal rows and equal items each give their rows; extra columns are ignored by ``overlaps`` and kept
-by ``clean``.
+Defined results: null or empty texts and items match nothing; equal rows and equal items each give their rows; a null id is a
+null in the result. ``overlaps`` ignores extra columns; ``clean`` judges each row by its text alone, so rows without an id and
+rows of one id are kept or go on their own, and keeps columns of any name. An empty table gives an empty one, an empty benchmark
+removes nothing.
 """
 
 from __future__ import annotations
@@ -18,19 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm._text import NOT_WORD, U64, fold_case, mix, prefix_hash, span_hash, text_chunks, words
 
 #: 1: the token counts; 0: it is ignored.
-MASKS = ("111111", "11011011", "1101000111", "1011010101")
-MIN_TOKENS = 8
+MASKS = ("11111", "111011", "11010011", "1100001011")
+SHORT = 8
+LEAST = 5
 BLOCK_TOKENS = 2_000_000
 #: An overlap counts with so many matching tokens (or this share of a shorter item) at this rate of matches.
 MIN_MATCHED = 10
 MIN_SHARE = 0.8
 MIN_RATE = 0.75
+#: Pairs of equal seeds that are in memory at once.
+PAIRS = 1 << 20
 _WEIGHTS = [U64(mix(np.array([k + 1], U64) * U64(0x9E3779B97F4A7C15))[0] | U64(1)) for k in range(max(map(len, MASKS)))]
 
 
@@ -56,7 +65,7 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
 class SeedIndex:
     """The seeds of a block of benchmark items, and the items' tokens."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.ids = [i for i, _ in items]
         text = pa.array([t for _, t in items], pa.string())
         hs, befores, base = [], [np.zeros(1, np.int64)], 0
@@ -73,7 +82,7 @@ class SeedIndex:
             s = seeds(self.h, mask, m)
             if not len(s):
                 continue
-            ok = (owner[: len(s)] == owner[len(mask) - 1 :]) & (np.diff(self.before)[owner[: len(s)]] >= MIN_TOKENS)
+            ok = (owner[: len(s)] == owner[len(mask) - 1 :]) & (np.diff(self.before)[owner[: len(s)]] >= SHORT)
             keys.append(s[ok])
             places.append(np.flatnonzero(ok))
         self.key = np.concatenate(keys) if keys else np.zeros(0, U64)
@@ -81,25 +90,52 @@ class SeedIndex:
         order = np.argsort(self.key, kind="stable")
         self.key, self.place = self.key[order], self.place[order]
         self.owner = owner
+        # by length: the hashes of short items as a whole, in order, and their numbers
+        self.short = {}
+        n_tokens = np.diff(self.before)
+        for n in range(1, SHORT):
+            own = np.flatnonzero(n_tokens == n)
+            if len(own):
+                whole = seeds(self.h, "1" * n, len(MASKS) + n)[self.before[own]]
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], own[order]
         self.bits = max(16, min(27, int(len(self.key) * 32).bit_length()))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.key >> U64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in ``h``, positions among the items' tokens) of equal seeds."""
-        at, to = [], []
+    def hits(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Rows (text, item, shift) of texts with the tokens ``h``: where an item, laid ``shift`` tokens into the text, has an equal
+        seed."""
+        found = []
         for m, mask in enumerate(MASKS):
             s = seeds(h, mask, m)
             if not len(s) or not len(self.key):
                 continue
             pos = np.flatnonzero(self.seen[(s >> U64(64 - self.bits)).astype(np.int64)])
             lo, hi = np.searchsorted(self.key, s[pos], "left"), np.searchsorted(self.key, s[pos], "right")
-            n = hi - lo
-            pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
-            at.append(np.repeat(pos, n))
-            to.append(self.place[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        z = np.zeros(0, np.int64)
-        return (np.concatenate(at), np.concatenate(to)) if at else (z, z)
+            pos, lo, n = pos[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            # repeated words can make many pairs
+            for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+                k = n[part]
+                at, to = np.repeat(pos[part], k), self.place[np.repeat(lo[part] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                text, own = np.searchsorted(before, at, "right") - 1, self.owner[to]
+                found.append(np.unique(np.stack([text, own, (at - before[text]) - (to - self.before[own])], 1), axis=0))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+
+    def word_for_word(self, h: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, token) where a short item stands as it is."""
+        size = np.diff(before)
+        for n, (whole, own) in self.short.items():
+            s = seeds(h, "1" * n, len(MASKS) + n)
+            if not len(s):
+                continue
+            at = np.flatnonzero(np.isin(s, whole))
+            text = np.searchsorted(before, at, "right") - 1
+            ok = (at + n <= before[text + 1]) & ((n >= LEAST) | (size[text] == n))
+            for t, a in zip(text[ok].tolist(), at[ok].tolist()):
+                for i in own[np.searchsorted(whole, s[a], "left") : np.searchsorted(whole, s[a], "right")].tolist():
+                    if (h[a : a + n] == self.h[self.before[i] : self.before[i + 1]]).all():
+                        yield t, i, a
 
 
 def best_overlap(same: np.ndarray, need: float) -> tuple[int, int, int] | None:
@@ -149,56 +185,78 @@ def _best_at_rate(same: np.ndarray, m: np.ndarray, p: np.ndarray, need: float) -
     return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """A row for each document and item that overlap: doc_id, item_id, matched, length (tokens), item_tokens, start, end (bytes)."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, text: str, item: str) -> Iterator[Broadcast]:
+    """The benchmark's indices, one of each block."""
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // (2 * BLOCK_TOKENS)))
-    schema = "doc_id long, item_id long, matched int, length int, item_tokens int, start long, end long"
-    out = None
     for block in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(SeedIndex(sorted((r[0] if r[0] is not None else -1, r[1]) for r in own)))
-        found = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_matcher(index), schema)
+        own = sorted(((r[0], r[1]) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(SeedIndex(own))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """A row for each document and item that overlap: doc_id, item_id, matched, length (tokens), item_tokens, start, end (bytes)."""
+    out = None
+    for index in _blocks(benchmark, text, item):
+        found = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_matcher(index), "doc_id long, item_id long, matched int, length int, item_tokens int, start long, end long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _found(index: SeedIndex, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int, int, int, int]]:
+    """By row and item: (matched, length, item's tokens, start, end) of the overlap with most matches, then the shortest and first."""
+    best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+    for r0, _, data, off in text_chunks(texts):
+        h, starts, ends, before = tokens(data, off)
+
+        def put(d: int, i: int, matched: int, first: int, end: int) -> None:
+            x = (matched, end - first, int(index.before[i + 1] - index.before[i]), int(starts[first] - off[d]), int(ends[end - 1] - off[d]))  # noqa: B023
+            k = (r0 + d, i)  # noqa: B023
+            best[k] = max(best.get(k, x), x, key=lambda y: (y[0], -y[1], -y[3]))
+
+        for d, i, s in index.hits(h, before).tolist():
+            i0, i1 = index.before[i], index.before[i + 1]
+            d0 = before[d] + s
+            lo, hi = max(0, before[d] - d0), min(i1 - i0, before[d + 1] - d0)
+            same = h[d0 + lo : d0 + hi] == index.h[i0 + lo : i0 + hi]
+            if (run := best_overlap(same, min(MIN_MATCHED, MIN_SHARE * (i1 - i0)))) is not None:
+                put(d, i, run[2], d0 + lo + run[0], d0 + lo + run[1])
+        for d, i, a in index.word_for_word(h, before):
+            n = int(index.before[i + 1] - index.before[i])
+            put(d, i, n, a, a + n)
+    return best
+
+
 def _matcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
-            ids, rows = b.column(0), []
-            for r0, _, data, off in text_chunks(b.column(1)):
-                h, starts, ends, before = tokens(data, off)
-                at, to = index.hits(h)
-                if not len(at):
-                    continue
-                doc, own = np.searchsorted(before, at, "right") - 1, index.owner[to]
-                # one alignment for each document, item and shift
-                shift = (at - before[doc]) - (to - index.before[own])
-                for d, i, s in np.unique(np.stack([doc, own, shift], 1), axis=0).tolist():
-                    i0, i1 = index.before[i], index.before[i + 1]
-                    d0 = before[d] + s
-                    lo, hi = max(0, before[d] - d0), min(i1 - i0, before[d + 1] - d0)
-                    same = h[d0 + lo : d0 + hi] == index.h[i0 + lo : i0 + hi]
-                    if (run := best_overlap(same, min(MIN_MATCHED, MIN_SHARE * (i1 - i0)))) is not None:
-                        a, z, matched = run
-                        rows.append((ids[r0 + d].as_py(), index.ids[i], matched, z - a, int(i1 - i0), int(starts[d0 + lo + a] - off[d]), int(ends[d0 + lo + z - 1] - off[d])))
-            if rows:
-                best: dict[tuple, tuple] = {}
-                for x in rows:
-                    k = (x[0], x[1])
-                    best[k] = max(best.get(k, x), x, key=lambda y: (y[2], -y[3], -y[5]))
-                cols = list(zip(*sorted(best.values(), key=str)))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "matched", "length", "item_tokens", "start", "end"])
+            best = _found(index, b.column(1))
+            if best:
+                rows = sorted(best)
+                cols = [pa.array([best[k][c] for k in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+                ids = [b.column(0).take(pa.array([r for r, _ in rows])), pa.array([index.ids[i] for _, i in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*ids, *cols], ["doc_id", "item_id", "matched", "length", "item_tokens", "start", "end"])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without those that overlap an item. A row whose id is null stays, if no row without an id overlaps."""
-    bad = overlaps(docs, benchmark, key).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """``docs`` without the rows that overlap an item."""
+    at = docs.columns.index(text)
+
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                stays = np.ones(b.num_rows, bool)
+                stays[[row for row, _ in _found(shared.value, b.column(at))]] = False
+                yield b.filter(pa.array(stays))
+
+        return run
+
+    schema = docs.schema
+    for index in _blocks(benchmark, text, item):
+        docs = docs.mapInArrow(keep(index), schema)
+    return docs
