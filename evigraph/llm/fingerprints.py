@@ -34,6 +34,8 @@ SHORT_BELOW, LONG_FROM = 256, 96
 BITS = 2048
 HASHES = 4
 PER_FILTER = 160
+#: Filters of a chain that are compared at once.
+BLOCK = 512
 #: Equal pairs in a window of prose, about, and the most in a window that is no feature for lack of entropy.
 USUAL, WEAK = 18, 70
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -108,7 +110,6 @@ class Digest:
             bits[own, ((x >> U64(11 * k + 8)) % U64(BITS)).astype(np.int64)] = True
         self.filters = np.packbits(bits, axis=1)
         self.counts = np.bincount(own, minlength=n)
-        self.bits = bits.astype(np.float32)
 
     def text(self) -> str:
         return "".join(f"{c:04x}{row.tobytes().hex()}" for c, row in zip(self.counts, self.filters))
@@ -118,12 +119,18 @@ class Digest:
         a, b = sorted((self, other), key=lambda d: (len(d.counts), d.text() if len(self.counts) == len(other.counts) else ""))
         if not len(a.counts):
             return float(not len(b.counts))
-        common = a.bits @ b.bits.T
-        wa, wb = a.bits.sum(axis=1)[:, None], b.bits.sum(axis=1)[None, :]
-        chance = wa * wb / BITS
-        most = np.minimum(wa, wb)
-        like = np.clip((common - chance) / np.maximum(most - chance, 1e-9), 0, 1)
-        return float((like.max(axis=1) * a.counts).sum() / a.counts.sum())
+        best = np.zeros(len(a.counts))
+        # blocks of filters, however long the chains
+        for j in range(0, len(b.counts), BLOCK):
+            y = np.unpackbits(b.filters[j : j + BLOCK], axis=1).astype(np.float32)
+            for i in range(0, len(a.counts), BLOCK):
+                x = np.unpackbits(a.filters[i : i + BLOCK], axis=1).astype(np.float32)
+                common = x @ y.T
+                wa, wb = x.sum(axis=1)[:, None], y.sum(axis=1)[None, :]
+                chance = wa * wb / BITS
+                like = np.clip((common - chance) / np.maximum(np.minimum(wa, wb) - chance, 1e-9), 0, 1)
+                best[i : i + BLOCK] = np.maximum(best[i : i + BLOCK], like.max(axis=1))
+        return float((best * a.counts).sum() / a.counts.sum())
 
 
 def digest(text: str | bytes | None) -> Digest:
@@ -154,8 +161,8 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
         part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c >= F.col("doc_id"))))
     rows = rows.withColumn("part", part.cast("int"))
     # only what an edit can take of it: as much as the row before needs, so the whole text
-    order = F.struct((F.col("doc_id").isNull()).alias("none"), (-F.col("doc_id")).alias("down"), F.col("text"))
-    heads = rows.groupBy("part").agg(F.min(order).alias("head")).select("part", F.col("head.none").alias("none"), (-F.col("head.down")).alias("doc_id"), F.col("head.text").alias("text"))
+    order = F.struct((F.col("doc_id").isNull()).alias("none"), F.bitwise_not("doc_id").alias("down"), F.col("text"))
+    heads = rows.groupBy("part").agg(F.min(order).alias("head")).select("part", F.col("head.none").alias("none"), F.bitwise_not("head.down").alias("doc_id"), F.col("head.text").alias("text"))
     parts = sorted(r[0] for r in heads.select("part").collect())
     before = {p: parts[i - 1] for i, p in enumerate(parts)}
     to = F.create_map(*[F.lit(x) for p in before.items() for x in p]) if before else F.create_map(F.lit(0), F.lit(0))
