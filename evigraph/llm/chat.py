@@ -9,7 +9,8 @@ character, and backslashes are doubled, so the text can be had again; roles are
 of spans, in code points, that hold the assistant's texts.
 
 Defined results: a null text or role is empty; rows of one turn stand in the order of their roles and texts, and equal rows are
-turns of their own; rows with a null conv_id are one conversation. Extra columns are ignored.
+turns of their own; rows with a null conv_id are one conversation. Nodes whose way up never ends, since parents form a cycle, are on
+no path; a node whose parent is missing counts as below a root that has no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,18 +84,23 @@ def _same(a: DataFrame, b: DataFrame, left: str, right: str):
 def paths(nodes: DataFrame) -> DataFrame:
     """(conv_id, leaf, node, up): every node on the way from each leaf to its root, ``up`` steps above the leaf."""
     links = nodes.select("conv_id", "node", "parent")
+    # a way of n nodes ends within n steps or never
+    most = links.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     inner = links.where("parent IS NOT NULL").select(F.col("conv_id").alias("_conv"), F.col("parent").alias("_parent")).distinct()
     leaves = links.join(inner, _same(links, inner, "node", "_parent"), "left_anti")
     seen = stored(leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
     jump = stored(links.where("parent IS NOT NULL").select("conv_id", "node", F.col("parent").alias("above")))
     step = 1
-    while not jump.isEmpty():
+    while step <= most and not jump.isEmpty():
         far = jump.select(F.col("conv_id").alias("_conv"), F.col("node").alias("_node"), F.col("above").alias("_above"))
         more = seen.join(far, _same(seen, far, "node", "_node")).select("conv_id", "leaf", F.col("_above").alias("node"), (F.col("up") + step).alias("up"))
         seen = stored(seen.unionByName(more))
         jump = stored(jump.join(far, _same(jump, far, "above", "_node")).select("conv_id", "node", F.col("_above").alias("above")))
         step *= 2
-    return seen
+    if jump.isEmpty():
+        return seen
+    endless = jump.select(F.col("conv_id").alias("_conv"), F.col("node").alias("_node")).distinct()
+    return seen.join(endless, _same(seen, endless, "leaf", "_node"), "left_anti")
 
 
 def format_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
