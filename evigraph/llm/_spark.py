@@ -17,6 +17,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"evigraph-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():

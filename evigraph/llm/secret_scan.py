@@ -19,6 +19,8 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm._spark import free_name
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -190,18 +192,19 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
     )
 
 
-def with_spans(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` and _spans array<struct<s, k, e>> by start, then kind."""
-    found = candidates(docs, rules, key, text)
-    both = docs.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+def with_spans(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text", spans: str = "_spans") -> DataFrame:
+    """``docs`` and the column ``spans``, array<struct<s, k, e>> by start, then kind."""
+    found = candidates(docs, rules, key, text).select(F.col("_key").alias(free_name(docs, "key")), F.col("_rules").alias(free_name(docs, "rules")))
+    of, kinds = found.columns
+    both = docs.join(found, docs[key].eqNullSafe(found[of]), "left").drop(of)
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     parts = []
     for i, r in enumerate(rules):
-        has = F.lit(True) if trigram_query(r.pattern) == [frozenset()] else F.array_contains(F.col("_rules"), r.kind)
+        has = F.lit(True) if trigram_query(r.pattern) == [frozenset()] else F.array_contains(F.col(kinds), r.kind)
         # a cheap test first: most texts have no match
         parts.append(F.when(has & body.rlike(r.pattern), _spans(r, i, body)).otherwise(none))
-    return both.withColumn("_spans", F.array_sort(F.concat(*parts))).drop("_rules")
+    return both.withColumn(spans, F.array_sort(F.concat(*parts))).drop(kinds)
 
 
 def _joined(spans: Column, rules) -> Column:
@@ -220,17 +223,18 @@ def scan(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text")
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]", key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each run of overlapping spans replaced by ``mark``; documents without a span stay as they are."""
-    found = with_spans(docs, rules, key, text)
+    spans = free_name(docs, "spans")
+    found = with_spans(docs, rules, key, text, spans)
     none = F.array().cast("array<string>")
     left = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit(0).alias("at"), none.alias("kept")),
         lambda acc, x: F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["kept"].alias("kept"))).otherwise(
             F.struct(x["e"].alias("at"), F.concat(acc["kept"], F.array(F.substring(F.col(text), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("kept"))
         ),
         lambda acc: F.concat(acc["kept"], F.array(F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))),
     )
-    return found.withColumn(text, F.when(F.size("_spans") > 0, F.array_join(left, "")).otherwise(F.col(text))).drop("_spans")
+    return found.withColumn(text, F.when(F.size(spans) > 0, F.array_join(left, "")).otherwise(F.col(text))).drop(spans)
 
 
 def _duck(rule: Rule) -> str:
