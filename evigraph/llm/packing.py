@@ -4,7 +4,8 @@ Every text is tokenized whole and cut into full windows; what is left over is a
 then puts each piece, longest first, into the open window with the least room that still holds it. Pieces of one length are
 interchangeable, so the placement needs only how many pieces there are of each length: a segment tree over remaining capacity
 finds the tightest open windows, and as many equal pieces as fit are placed at once. The plan has a few runs for each length;
-executors look their pieces up in it by length and rank. Ranks come from counts by (length, salt), so no length gathers in a task.
+executors look their pieces up in it by length and rank. Ranks come from counts by (length, salt), so no length gathers in a task;
+full windows, most pieces of a large corpus, have as many salts as there are shuffle partitions.
 
 Defined results: a null or empty text is the closing id 0 alone; equal rows get pieces of their own; an empty table gives none.
 """
@@ -122,27 +123,31 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ke
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    salts = min(MOST_SALTS, shuffle_partitions(docs.sparkSession))
-    cut = stored(pieces(docs, tokenizer, window, keep_ids)).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    # at most window * salts rows, whatever the input
+    full = shuffle_partitions(docs.sparkSession)
+    salts = min(MOST_SALTS, full)
+    salt = lambda n: F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)).cast("int")
+    cut = stored(pieces(docs, tokenizer, window, keep_ids)).withColumn("_salt", F.when(F.col("length") == window, salt(full)).otherwise(salt(salts)))
+    # at most window * salts + full rows, whatever the input
     counted = cut.groupBy("length", "_salt").count().collect()
-    base = np.zeros((window + 1, salts + 1), dtype=np.int64)
-    for length, salt, n in counted:
-        base[length, salt + 1] = n
-    base = base.cumsum(axis=1)
-    runs, n_seq = plan({int(k): int(base[k, -1]) for k in np.flatnonzero(base[:, -1])}, window)
+    base, tops = np.zeros((window, salts + 1), dtype=np.int64), np.zeros((1, full + 1), dtype=np.int64)
+    for length, k, n in counted:
+        (tops[0] if length == window else base[length])[k + 1] = n
+    base, tops = base.cumsum(axis=1), tops.cumsum(axis=1)
+    counts = {int(k): int(base[k, -1]) for k in np.flatnonzero(base[:, -1])} | ({window: int(tops[0, -1])} if tops[0, -1] else {})
+    runs, n_seq = plan(counts, window)
     runs.sort()
     table = np.array(runs, dtype=np.int64).reshape(-1, 4)
     key = (table[:, 0] << 44) + table[:, 1]
     names = cut.columns + ["_rn"]
     ranked = cut.withColumn("_rn", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")))
-    base = base[:, :-1]
+    # ranks before a salt, by length and salt, full windows last
+    before, at_length = np.concatenate((base[:, :-1].ravel(), tops[0, :-1])), np.arange(window + 1) * salts
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = lambda c: b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
             length = col("length")
-            rank = base[length, col("_salt")] + col("_rn") - 1
+            rank = before[at_length[length] + col("_salt")] + col("_rn") - 1
             at = np.searchsorted(key, (length << 44) + rank, side="right") - 1
             seq, offset = table[at, 2] + rank - table[at, 1], table[at, 3]
             keep = [b.column(names.index(c)) for c in names if c not in ("_salt", "_rn")]
