@@ -7,7 +7,11 @@ and one length) and when it is read (the stored bytes hash to their name).
 Of records with equal payloads of at least ``REVISIT_FROM`` bytes, that with the largest page_id is the response and the others
 revisit it; smaller payloads are always responses, stored once all the same.
 
-Defined results: a null html is an empty payload; a null url has no target header; a null page_id is never the one that is
+A record's block is a plain HTTP head and, unless it revisits, the payload. Pages have no time of their own: all records of an
+archive bear the date it is written with.
+
+Defined results: a null html is an empty payload; a null url has no target header; white space and control characters in an address
+are percent-encoded, since they would end its line; a null page_id is never the one that is
 referred to, unless the payload is in no other record; rows with one page_id and payload are all responses if one is.
 """
 
@@ -20,30 +24,39 @@ from evigraph.llm._spark import checkpoint_dir
 
 REVISIT_FROM = 1000
 CRLF = "\r\n"
+HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html;charset=utf-8{CRLF * 2}"
+EPOCH = "1970-01-01T00:00:00Z"
+
+
+def _address(url: Column) -> Column:
+    plain = url
+    for i in (*range(33), 127):
+        plain = F.replace(plain, F.lit(chr(i)), F.lit(f"%{i:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20\x7f]"), plain).otherwise(url)
 
 
-def _header(kind: Column) -> Column:
-    """The record's header block, with the empty line that ends it."""
+def _header(kind: Column, date: str) -> Column:
+    """The record's header with the empty line that ends it, and the HTTP head."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     ident = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", kind),
         line("WARC-Record-ID", ident),
-        # control characters in an address would end its line
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "%20"))).otherwise(F.lit("")),
+        line("WARC-Date", F.lit(date)),
+        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", _address(F.col("url")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("X-Payload-SHA256", F.col("sha256")),
         line("X-Payload-Length", F.col("n_bytes").cast("string")),
         F.when(kind == "revisit", line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers").cast("string"), F.lit(">")))).otherwise(F.lit("")),
         F.when(kind == "revisit", line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html;charset=utf-8")),
-        line("Content-Length", F.when(kind == "revisit", F.lit("0")).otherwise(F.col("n_bytes").cast("string"))),
-        F.lit(CRLF),
+        line("Content-Type", F.lit("application/http;msgtype=response")),
+        line("Content-Length", (F.when(kind == "revisit", F.lit(0)).otherwise(F.col("n_bytes")) + len(HTTP)).cast("string")),
+        F.lit(CRLF + HTTP),
     )
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
+def write_archive(pages: DataFrame, path: str, date: str = EPOCH) -> None:
     """Writes ``path``/payloads (sha256, body) and ``path``/headers (page_id, sha256, header)."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), body.alias("body"))
@@ -56,7 +69,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     again = (F.col("n_bytes") >= REVISIT_FROM) & F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
     headers = records.join(best, "sha256").withColumn("refers", F.when(again, F.col("best"))).withColumn("kind", kind)
-    headers.select("page_id", "sha256", _header(F.col("kind")).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    headers.select("page_id", "sha256", _header(F.col("kind"), date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     payloads = named.groupBy("sha256").agg(F.first("body").alias("body"))
     payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
@@ -92,8 +105,8 @@ def parse(records: DataFrame) -> DataFrame:
     """(page_id, record_type, refers_to, sha256, named_bytes, named_sha1, payload) from the bytes of records."""
     text = records.select(F.col("record"), F.substring_index(F.decode("record", "UTF-8"), CRLF * 2, 1).alias("block"))
     out = text.select("record", F.concat("block", F.lit(CRLF)).alias("header"))
-    start = F.octet_length("header") + 2
-    length = _field("Content-Length").cast("int")
+    start = F.octet_length("header") + 2 + len(HTTP)
+    length = _field("Content-Length").cast("int") - len(HTTP)
     page = lambda name: F.expr("try_cast(nullif(regexp_extract(header, '(?m)^" + name + r": <urn:page:(-?[0-9]*)>', 1), '') AS bigint)")
     return out.select(
         page("WARC-Record-ID").alias("page_id"),
