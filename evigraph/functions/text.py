@@ -138,11 +138,11 @@ def schemas_for(c: Column | str) -> Column:
 
 
 def semantic_chunks(df: DataFrame, key: str, order: str, text: str, vector: str, similar: float = 0.75, least: int = 500, most: int = 2000) -> DataFrame:
-    """(key, chunk_index, content, source_paragraphs, semantic_size): paragraphs joined while they stay similar.
+    """(key, chunk_index, content, source_paragraphs, semantic_size, embedding): paragraphs joined while they stay similar.
 
-    A chunk ends before a paragraph whose cosine with the running vector is below ``similar`` once the chunk has ``least``
-    characters, or where it would pass ``most``. The running vector is the mean of itself and each paragraph's, so later ones weigh
-    more. The fold is sequential within a document; documents go to tasks by their key.
+    A chunk ends before a paragraph whose cosine with the running vector is below ``similar`` once the chunk has more than ``least``
+    characters, or once it has more than ``most``. The running vector, the chunk's embedding, is the mean of itself and each
+    paragraph's, so later ones weigh more. The fold is sequential within a document; documents go to tasks by their key.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +151,7 @@ def semantic_chunks(df: DataFrame, key: str, order: str, text: str, vector: str,
 
         def close() -> None:
             content = "\n\n".join(parts)
-            out.append((rows[key].iloc[0], len(out), content, list(ids), len(content)))
+            out.append((rows[key].iloc[0], len(out), content, list(ids), len(content), run.tolist()))
 
         for i, t, v in zip(rows[order], rows[text], rows[vector]):
             v = np.asarray(v, dtype=np.float64)
@@ -159,7 +159,7 @@ def semantic_chunks(df: DataFrame, key: str, order: str, text: str, vector: str,
                 size = len("\n\n".join(parts))
                 norm = np.linalg.norm(run) * np.linalg.norm(v)
                 cos = float(run @ v / norm) if norm else 0.0
-                if (cos < similar and size > least) or size + len(t) > most:
+                if (cos < similar and size > least) or size > most:
                     close()
                     run, ids, parts = None, [], []
             run = v if run is None else (run + v) / 2
@@ -167,10 +167,10 @@ def semantic_chunks(df: DataFrame, key: str, order: str, text: str, vector: str,
             parts.append(t)
         if parts:
             close()
-        return pd.DataFrame(out, columns=[key, "chunk_index", "content", "source_paragraphs", "semantic_size"])
+        return pd.DataFrame(out, columns=[key, "chunk_index", "content", "source_paragraphs", "semantic_size", "embedding"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, order, text, vector).groupBy(key).applyInPandas(fold, f"{key} {kind}, chunk_index int, content string, source_paragraphs array<bigint>, semantic_size int")
+    return df.select(key, order, text, vector).groupBy(key).applyInPandas(fold, f"{key} {kind}, chunk_index int, content string, source_paragraphs array<bigint>, semantic_size int, embedding array<double>")
 
 
 def found_terms(df: DataFrame, text: str, vocabulary: dict[str, list[str]]) -> DataFrame:

@@ -96,9 +96,10 @@ def pairs_allowed(edges: DataFrame, nodes: DataFrame, allowed: DataFrame, strict
 
 
 def predicate_type(c: Column) -> Column:
-    """The type of edge of a predicate."""
-    plain = F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_"))
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in rules.PREDICATES.items() for x in kv])[plain], F.lit("linked_to"))
+    """The type of edge of a predicate: itself where it is one, else what it maps to, else linked_to."""
+    plain = F.replace(F.lower(c), F.lit(" "), F.lit("_"))
+    named = {t: t for t in rules.EDGE_TYPES} | rules.PREDICATES
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[plain], F.lit("linked_to"))
 
 
 def inferred_type(c: Column) -> Column:
