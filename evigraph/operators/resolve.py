@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from evigraph.functions import rules
 from evigraph.functions.cleaning import title
 
-#: Names in a vocabulary that goes to every task; a larger one is joined by shared letters instead.
-BROADCAST_NAMES = 50_000
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 -"
+
+
+def _letters(c: str) -> Column:
+    """How often each character stands in a text; all others count as one."""
+    t = F.col(c)
+    counts = [F.length(t) - F.length(F.replace(t, F.lit(x), F.lit(""))) for x in _LETTERS]
+    return F.array(*counts, F.length(F.translate(t, _LETTERS, "")))
 
 
 def resolve_exact(names: DataFrame, known: DataFrame, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
@@ -28,18 +34,19 @@ def resolve_fuzzy(names: DataFrame, known: DataFrame, threshold: float = 0.85, n
     only known names with equal columns ``by``, such as those of their document.
 
     The score is that of difflib's SequenceMatcher on lower-cased, trimmed names; ties go to the smaller seq. Candidates have
-    lengths, and common letters, that allow the threshold; pairs are joined on length, then scored in Arrow batches. With
-    ``numeric_guard`` names with different digits never match.
+    lengths, and common characters, that allow the threshold; pairs are joined on length and cut by characters before they are
+    scored in Arrow batches. With ``numeric_guard`` names with different digits never match.
     """
     q = names.select(*by, F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct()
     exact = resolve_exact(q, known, by=by)
     done = exact.where("match IS NOT NULL").select(*by, "name", "match", F.lit(1.0).alias("score"))
-    rest = exact.where("match IS NULL").select(*by, "name", F.lower(F.trim("name")).alias("q"), F.length(F.trim("name")).alias("lq"))
-    k = known.select(*by, "known", "seq", F.lower(F.trim("known")).alias("k"), F.length(F.trim("known")).alias("lk"))
+    rest = exact.where("match IS NULL").select(*by, "name", F.lower(F.trim("name")).alias("q"), F.length(F.trim("name")).alias("lq")).withColumn("cq", _letters("q"))
+    k = known.select(*by, "known", "seq", F.lower(F.trim("known")).alias("k"), F.length(F.trim("known")).alias("lk")).withColumn("ck", _letters("k"))
     # 2 * min(lq, lk) / (lq + lk) bounds the score: a name meets only lengths near its own
     far = threshold / (2 - threshold)
     reach = rest.withColumn("lk", F.explode(F.sequence(F.ceil(F.col("lq") * far).cast("int"), F.floor(F.col("lq") / far).cast("int"))))
-    pairs = reach.join(k, [*by, "lk"])
+    common = F.aggregate(F.zip_with("cq", "ck", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    pairs = reach.join(k, [*by, "lk"]).where(2 * common >= threshold * (F.col("lq") + F.col("lk")) - 1e-9)
     if numeric_guard:
         pairs = pairs.where(F.regexp_replace("q", "[^0-9]", "") == F.regexp_replace("k", "[^0-9]", ""))
 
