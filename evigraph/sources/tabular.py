@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.operators.store import kept
+
 # Words of a header -> its name, first hit wins.
 EXPRESSION_HEADERS = [
     (["symbol", "gene name"], [], "Symbol"),
@@ -83,8 +86,14 @@ def parse_workbook(raw: bytes) -> Iterator[tuple[str, int, int, str]]:
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{_NS}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
     sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet")
+    # sheets may stand in another order than their files, and files may be missing
+    links = "xl/_rels/workbook.xml.rels"
+    files = {r.get("Id"): posixpath.normpath(posixpath.join("/xl", r.get("Target"))).lstrip("/") for r in ElementTree.fromstring(book.read(links)).iter() if r.get("Id")} if links in book.namelist() else {}
     for i, s in enumerate(sheets, 1):
-        for c in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{_NS}c"):
+        file = files.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None), f"xl/worksheets/sheet{i}.xml")
+        if file not in book.namelist() or "/worksheets/" not in file:
+            continue
+        for c in ElementTree.fromstring(book.read(file)).iter(f"{_NS}c"):
             letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
             col = 0
             for x in letters:
@@ -192,9 +201,13 @@ def class_hierarchy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def ancestors(links: DataFrame) -> DataFrame:
-    """(child, ancestor, steps): the closure of (child, parent), by a recursive query."""
-    links.createOrReplaceTempView("_links")
-    return links.sparkSession.sql(
-        """WITH RECURSIVE up(child, ancestor, steps) AS (SELECT child, parent, 1 FROM _links UNION ALL SELECT up.child, l.parent, steps + 1 FROM up JOIN _links l ON up.ancestor = l.child WHERE steps < 64)
-        SELECT child, ancestor, min(steps) AS steps FROM up GROUP BY child, ancestor"""
-    )
+    """(child, ancestor, steps): the closure of (child, parent) with the fewest steps. Each round doubles the reach and keeps one row
+    of each pair, so diamonds and cycles end, however long the chains; a node of a cycle is an ancestor of its own."""
+    first = links.where("child IS NOT NULL AND parent IS NOT NULL").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")).distinct()
+    found = kept(first)
+    while True:
+        far = found.alias("a").join(found.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.steps") + F.col("b.steps")).alias("steps"))
+        more = kept(found.unionByName(far).groupBy("child", "ancestor").agg(F.min("steps").alias("steps")))
+        if more.agg(F.count("*"), F.sum("steps")).first() == found.agg(F.count("*"), F.sum("steps")).first():
+            return more
+        found = more
