@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import rules
-
 from evigraph.operators import graph as G
 from evigraph.operators.resolve import ground, resolve_fuzzy
+from evigraph.operators.store import kept
 
+# Fixed value: what edges from statements name as their source.
+STATEMENT_SOURCE = "LLM_Semantic_Extraction"
 NODE = ["doc_id", "id", "name", "type", "properties", "seq"]
 EDGE = ["doc_id", "source_id", "target_id", "type", "properties", "confidence", "seq"]
 # Display name and field of the biomarkers that become nodes.
@@ -81,20 +83,21 @@ def build(records: DataFrame, drug: str, expression: DataFrame | None = None, nu
     nodes.append(_node(targets, 5, tid, F.col("grounded"), "Target", _map(ontology_confidence=F.col("grounding_confidence")), F.col("_i")))
     edges.append(_edge(targets, 5, drug_id, tid, "associated_with", None, F.col("_i")))
 
-    known = G.first_of(G.union_sparse(*nodes), ["doc_id", "id"], ["seq"])
+    known = kept(G.first_of(G.union_sparse(*nodes), ["doc_id", "id"], ["seq"]))
     made, linked, extra = _statements(base, known, drug_id, numeric_guard)
     more = more.select("doc_id", "id", "key", "value", "_i").unionByName(extra)
     nodes, edges = [known, made], [*edges, linked]
     if expression is not None:
-        made, linked, extra = _expression(base, G.first_of(G.union_sparse(*nodes), ["doc_id", "id"], ["seq"]), expression, drug_id, numeric_guard)
+        made, linked, extra = _expression(base, kept(G.first_of(G.union_sparse(*nodes), ["doc_id", "id"], ["seq"])), expression, drug_id, numeric_guard)
         nodes, edges, more = [*nodes, made], [*edges, linked], more.unionByName(extra)
     all_nodes = G.first_of(G.union_sparse(*nodes).where(F.col("type").isin(rules.NODE_TYPES)), ["doc_id", "id"], ["seq"])
     # the last of equal keys stays, but lists of values are joined in order
     joined = more.groupBy("doc_id", "id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "value"))), lambda x: x["value"]), "; ").alias("value"))
     maps = joined.groupBy("doc_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_more"))
     out = all_nodes.join(maps, ["doc_id", "id"], "left")
-    kept = F.map_filter("properties", lambda k, _: ~F.coalesce(F.map_contains_key(F.col("_more"), k), F.lit(False)))
-    out = out.withColumn("properties", F.when(F.col("_more").isNull(), F.col("properties")).otherwise(F.map_concat(kept, "_more"))).select(*NODE)
+    old = F.map_filter("properties", lambda k, _: ~F.coalesce(F.map_contains_key(F.col("_more"), k), F.lit(False)))
+    out = out.withColumn("properties", F.when(F.col("_more").isNull(), F.col("properties")).otherwise(F.map_concat(old, "_more"))).select(*NODE)
+    out = kept(out)
     ends = out.select("doc_id", "id")
     e = G.union_sparse(*edges)
     for end in ("source_id", "target_id"):
@@ -111,7 +114,7 @@ def _resolved(names: DataFrame, known: DataFrame, numeric_guard: bool) -> DataFr
     hit = names.join(match, ["doc_id", "name"], "left").join(docs.withColumnRenamed("_known", "match"), ["doc_id", "match"], "left")
     first = G.first_of(hit, ["doc_id", "name"], ["seq"])
     kind = G.inferred_type(F.col("name"))
-    return first.select("doc_id", "name", F.coalesce("id", F.when(kind.isNotNull(), G.node_id(kind, F.lower("name")))).alias("id"), kind.alias("kind"), F.col("id").isNull().alias("new"))
+    return kept(first.select("doc_id", "name", F.coalesce("id", F.when(kind.isNotNull(), G.node_id(kind, F.lower("name")))).alias("id"), kind.alias("kind"), F.col("id").isNull().alias("new")))
 
 
 def _statements(base: DataFrame, known: DataFrame, drug_id: Column, guard: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -131,7 +134,7 @@ def _statements(base: DataFrame, known: DataFrame, drug_id: Column, guard: bool)
     nodes = new.select("doc_id", "id", F.trim("name").alias("name"), F.col("kind").alias("type"), _map(source=F.lit("Inferred_Strict_Schema")).alias("properties"), F.lit(6_000_000_000).alias("seq"))
     conf = F.coalesce(F.col("confidence").cast("string"), F.lit("Inferred"))
     linked = both.where(~digit & F.col("_s").isNotNull() & F.col("_o").isNotNull())
-    edges = _edge(linked, 6, F.col("_s"), F.col("_o"), G.predicate_type(F.col("predicate")), _map(source=F.lit("LLM_Semantic_Extraction"), confidence=conf, original_predicate=F.col("predicate")), F.col("_i"))
+    edges = _edge(linked, 6, F.col("_s"), F.col("_o"), G.predicate_type(F.col("predicate")), _map(source=F.lit(STATEMENT_SOURCE), confidence=conf, original_predicate=F.col("predicate")), F.col("_i"))
     return nodes, edges, owned.unionByName(numbers)
 
 

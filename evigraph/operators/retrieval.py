@@ -63,6 +63,6 @@ def unresolved(chunks: DataFrame) -> DataFrame:
     return refs.join(reference_index(chunks), ["doc_id", "ref"], "left_anti")
 
 
-def extraction_input(chunks: DataFrame, least: int = 300) -> DataFrame:
+def worth_asking(chunks: DataFrame, least: int = 300) -> DataFrame:
     """Chunks worth asking about: all but short ones of the section Other."""
     return chunks.where((F.col("section") != "Other") | (F.length("content") > least))

@@ -160,9 +160,9 @@ def list_sections(t: Tables) -> DataFrame:
 # Cleaning and parsing
 
 
-@query("SELECT doc_id, CASE WHEN lower(trim(substr(text, 1, 9))) NOT IN ('', 'nan', 'inf', '-inf', 'infinity', '-infinity') THEN trim(substr(text, 1, 9)) END AS value FROM documents")
+@query("SELECT doc_id, CASE WHEN lower(trim(text)) NOT IN ('', 'nan', 'inf', '-inf', 'infinity', '-infinity') THEN trim(text) END AS value FROM documents")
 def clean_value(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", C.clean_value(F.substring("text", 1, 9)).alias("value"))
+    return t.documents.select("doc_id", C.clean_value("text").alias("value"))
 
 
 @query("SELECT doc_id, coalesce(toxic::VARCHAR, 'Not Found') AS toxic, coalesce(nullif(trim(lang), ''), 'Not Found') AS lang, quality FROM documents LEFT JOIN labels USING (doc_id)")
@@ -171,11 +171,18 @@ def not_found_fill(t: Tables) -> DataFrame:
     return C.fill_not_found(both)
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'linked_to' ELSE 'linked_to' END AS edge FROM events UNION ALL SELECT 100000000 + p_partkey, CASE WHEN p_size % 3 = 0 THEN 'associated_with' WHEN p_size % 3 = 1 THEN 'observed_in' ELSE 'linked_to' END FROM part")
+_WORDS = "inhibits,Activates,binds,targets,CAUSES,treats,Metabolized by,induced,decreased,increased,has property,part_of,tested in,Associated_With,observed_in,linked_to,causes often, binds,"
+
+
+@query(
+    """SELECT p_partkey, CASE (p_partkey % 19)::INT WHEN 0 THEN 'associated_with' WHEN 1 THEN 'associated_with' WHEN 2 THEN 'associated_with' WHEN 3 THEN 'associated_with' WHEN 4 THEN 'observed_in'
+WHEN 5 THEN 'associated_with' WHEN 6 THEN 'associated_with' WHEN 7 THEN 'observed_in' WHEN 8 THEN 'observed_in' WHEN 9 THEN 'observed_in' WHEN 12 THEN 'tested_in' WHEN 13 THEN 'associated_with'
+WHEN 14 THEN 'observed_in' ELSE 'linked_to' END AS edge FROM part"""
+)
 def predicate_map(t: Tables) -> DataFrame:
-    e = t.events.select("event_id", G.predicate_type(F.col("event_type")).alias("edge"))
-    word = F.when(F.col("p_size") % 3 == 0, " Metabolized by").when(F.col("p_size") % 3 == 1, "CAUSES").otherwise("causes often")
-    return e.union(t.part.select((F.lit(100000000) + F.col("p_partkey")).alias("event_id"), G.predicate_type(word)))
+    """All predicates that have a type, the types themselves, and words that are neither."""
+    word = F.element_at(F.array(*map(F.lit, _WORDS.split(","))), (F.col("p_partkey") % 19 + 1).cast("int"))
+    return t.part.select("p_partkey", G.predicate_type(word).alias("edge"))
 
 
 _TYPE_SQL = sql_case("n", [(sql_any(w), k) for k, w in rules.TYPE_WORDS], "NULL")
@@ -439,11 +446,17 @@ def drop_short_other(t: Tables) -> DataFrame:
     return t.documents.where("source <> 'src0' OR length(text) > 300").select("doc_id", F.col("text").alias("content"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, embedding::DOUBLE[] AS v FROM embeddings),
+f AS (SELECT label, rn, 0 AS chunk, 300 AS size, v AS run FROM e WHERE rn = 1
+  UNION ALL SELECT label, rn, chunk + cut::INT, CASE WHEN cut THEN 300 ELSE size + 302 END, CASE WHEN cut THEN v ELSE list_transform(list_zip(run, v), lambda x: (x[1] + x[2]) / 2) END
+  FROM (SELECT e.label, e.rn, f.chunk, f.size, f.run, e.v, (list_cosine_similarity(f.run, e.v) < 0.75 AND f.size > 500) OR f.size > 2000 AS cut FROM f JOIN e ON e.label = f.label AND e.rn = f.rn + 1))
+SELECT label, chunk AS chunk_index, max(size)::INT AS semantic_size, string_agg(vec_id, ',' ORDER BY rn) AS paragraphs FROM f JOIN e USING (label, rn) GROUP BY ALL"""
+)
 def semantic_chunks(t: Tables) -> DataFrame:
     """Embeddings in order of vec_id as paragraphs of their labels' documents."""
     rows = t.embeddings.select("label", "vec_id", F.repeat(F.lit("x"), 300).alias("text"), "embedding")
-    return X.semantic_chunks(rows, "label", "vec_id", "text", "embedding")
+    return X.semantic_chunks(rows, "label", "vec_id", "text", "embedding").select("label", "chunk_index", "semantic_size", F.array_join(F.transform("source_paragraphs", lambda x: x.cast("string")), ",").alias("paragraphs"))
 
 
 @query(
@@ -638,3 +651,7 @@ def stream_session_timeout(t: Tables) -> DataFrame:
     from evigraph.streaming import progress
 
     return progress.session_timeouts(t.spark, f"{t.dir}/events.parquet", "user_id", "ts", 600)
+
+
+# The graph products and the operators on snippets register themselves.
+from evigraph.plans import graphs, snippets  # noqa: E402, F401

@@ -1,4 +1,4 @@
-"""The seam to outside services: layout, extraction, judging and chemistry.
+"""The seam to outside services: layout, record answers, judging and chemistry.
 
 A provider is a function of a DataFrame that adds columns. The defaults are rules, so every result can be had again offline; a
 service is called from ``batched``, which runs in Arrow batches on the executors with retries and gives failures as rows.
