@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,32 +72,34 @@ def match_tables(truth: DataFrame, found: DataFrame, table: str, row: str, field
     The choice depends on the order of rows, so a table is one task; tables go to tasks by name.
     """
 
-    def norm(v) -> str:
-        s = "" if v is None or (isinstance(v, float) and v != v) else str(v).strip().lower()
-        return "" if s in rules.EMPTY_TEXTS else s
-
-    def hit(a: str, b: str) -> bool:
-        if a == b:
-            return True
-        if not a or not b:
-            return False
-        x, y = ("".join(c for c in s if c.isdigit() or c == ".") for s in (a, b))
-        return bool(x) and x == y and any(c.isdigit() for c in a)
+    def codes(x: pd.DataFrame, seen: dict[str, int]) -> np.ndarray:
+        """Numbers of the cells' texts and of their digits, -1 for none: equal cells have one of the two in common."""
+        out = np.full((2, len(x), len(fields)), -1)
+        for i, cells in enumerate(x.sort_values(row)[fields].values.tolist()):
+            for k, v in enumerate(cells):
+                s = "" if v is None or (isinstance(v, float) and v != v) else str(v).strip().lower()
+                s = "" if s in rules.EMPTY_TEXTS else s
+                out[0, i, k] = seen.setdefault(s, len(seen))
+                if any(c.isdigit() for c in s):
+                    out[1, i, k] = seen.setdefault("#" + "".join(c for c in s if c.isdigit() or c == "."), len(seen))
+        return out
 
     def match(key, t: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        t, f = (x.sort_values(row)[fields].map(norm).values.tolist() for x in (t, f))
-        free, cells, rows = list(range(len(f))), 0, 0
-        for own in t:
-            best, at = 0, None
-            for i in free:
-                n = sum(hit(a, b) for a, b in zip(own, f[i]))
-                if n > best:
-                    best, at = n, i
-            if at is not None:
-                free.remove(at)
+        seen: dict[str, int] = {}
+        (text, number), (other, others) = codes(t, seen), codes(f, seen)
+        free, cells, rows = np.ones(len(f), bool), 0, 0
+        for own, digits in zip(text, number):
+            if not free.any():
+                break
+            same = ((other == own) | ((others == digits) & (digits >= 0))).sum(axis=1)
+            same[~free] = -1
+            at = int(np.argmax(same))
+            best = int(same[at])
+            if best > 0:
+                free[at] = False
                 cells += best
                 rows += best == len(fields) or (len(fields) >= 5 and best / len(fields) >= 0.8)
-        return pd.DataFrame([(key[0], len(t) * len(fields), cells, len(t), rows, len(free) * len(fields))])
+        return pd.DataFrame([(key[0], len(t) * len(fields), cells, len(t), rows, int(free.sum()) * len(fields))])
 
     kind = dict(truth.dtypes)[table]
     out = truth.groupBy(table).cogroup(found.groupBy(table)).applyInPandas(

@@ -28,6 +28,22 @@ def distinct_in_order(value: str, order: str) -> Column:
     return F.array_distinct(F.transform(F.filter(rows, lambda x: x["_v"].isNotNull()), lambda x: x["_v"]))
 
 
+def distinct_by_key(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(*keys, value): the values of each key as a list, each once, in the order in which they first came; nulls are left out.
+    Repeats are dropped before anything is collected, so a key gathers its distinct values, not its rows."""
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_o"))
+    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("_v")))).alias("_l"))
+    every = df.select(*keys).distinct().alias("k").join(listed.alias("l"), [F.col(f"k.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys], "left")
+    return every.select(*[F.col(f"k.{k}").alias(k) for k in keys], F.coalesce(F.transform("_l", lambda x: x["_v"]), F.array().cast(f"array<{dict(df.dtypes)[value]}>")).alias(value))
+
+
+def union_by_key(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(*keys, value): the entries of each key's lists, each once, by the order of their lists (of one order, by the lists) and their
+    places in them."""
+    entries = df.select(*keys, F.col(order).alias("_r"), F.col(value).alias("_s"), F.posexplode_outer(value).alias("_i", value))
+    return distinct_by_key(entries.select(*keys, value, F.struct("_r", "_s", "_i").alias("_p")), keys, value, "_p")
+
+
 def merge_records(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One record of each key from partial ones, field by field, from the schema alone.
 

@@ -351,7 +351,7 @@ def first_nonnull(t: Tables) -> DataFrame:
 
 @query("WITH f AS (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, '|' ORDER BY f) AS types FROM f GROUP BY user_id")
 def running_distinct(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.array_join(M.distinct_in_order("event_type", "event_id"), "|").alias("types"))
+    return M.distinct_by_key(t.events, ["user_id"], "event_type", "event_id").select("user_id", F.array_join("event_type", "|").alias("types"))
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) FILTER (event_type <> 'view') AS kind, bool_or(value > 400) AS high FROM events GROUP BY user_id")
@@ -366,7 +366,7 @@ f AS (SELECT l_suppkey, x, min((l_orderkey, l_linenumber, l_returnflag, l_linest
 )
 def list_union_ordered(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("o"), F.array("l_returnflag", "l_linestatus").alias("v"))
-    return rows.groupBy("l_suppkey").agg(F.array_join(M.union_in_order("v", "o"), ",").alias("flags"))
+    return M.union_by_key(rows, ["l_suppkey"], "v", "o").select("l_suppkey", F.array_join("v", ",").alias("flags"))
 
 
 @query("SELECT o_custkey, bool_or(o_orderstatus = 'F') AS any_done FROM orders GROUP BY o_custkey")

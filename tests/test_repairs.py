@@ -49,3 +49,40 @@ def test_sheets_by_their_links():
         z.writestr("xl/worksheets/sheet1.xml", sheet("two"))
         z.writestr("xl/worksheets/sheet4.xml", sheet("one"))
     assert list(tabular.parse_workbook(raw.getvalue())) == [("First", 0, 1, "one"), ("Second", 0, 1, "two")]
+
+
+def test_lists_by_key(spark):
+    from evigraph.operators import merge as M
+
+    rows = [(1, 2, "b"), (1, 1, "a"), (1, 3, "a"), (2, 1, None), (None, 1, "z"), (None, 0, "y"), (None, 0, "y")]
+    df = spark.createDataFrame(rows, "k int, o int, v string")
+    assert {r["k"]: r["v"] for r in M.distinct_by_key(df, ["k"], "v", "o").collect()} == {1: ["a", "b"], 2: [], None: ["y", "z"]}
+    lists = spark.createDataFrame([(1, 2, ["c", "a"]), (1, 1, ["b", None, "a"]), (2, 1, None), (3, 1, [])], "k int, o int, v array<string>")
+    assert {r["k"]: r["v"] for r in M.union_by_key(lists, ["k"], "v", "o").collect()} == {1: ["b", "a", "c"], 2: [], 3: []}
+    assert M.distinct_by_key(df.limit(0), ["k"], "v", "o").count() == 0
+
+
+def test_table_rows_are_matched_greedily(spark):
+    import random
+
+    from evigraph.operators import evaluate as E
+
+    rnd = random.Random(5)
+    cell = lambda: rnd.choice(["50 mg", "50", "A ", "a", "", None, "Not Found", "1.5", "x1.5", "."])
+    rows = lambda n: [(k, i, *[cell() for _ in range(5)]) for k in range(4) for i in range(n)]
+    fields, truth, found = list("abcde"), rows(12), rows(9)
+    schema = "k int, i int, " + ", ".join(f"{c} string" for c in fields)
+    got = {r[0]: tuple(r)[1:] for r in E.match_tables(spark.createDataFrame(truth, schema), spark.createDataFrame(found, schema), "k", "i", fields).collect()}
+    norm = lambda v: "" if v is None or v.strip().lower() in ("", "not found") else v.strip().lower()
+    number = lambda s: "".join(c for c in s if c in "0123456789.")
+    same = lambda a, b: a == b or (a != "" and b != "" and any(c.isdigit() for c in a) and number(a) == number(b))
+    for k in range(4):
+        t, f = ([list(map(norm, r[2:])) for r in x if r[0] == k] for x in (truth, found))
+        cells = full = 0
+        for own in t:
+            scores = [sum(map(same, own, o)) for o in f]
+            if scores and max(scores) > 0:
+                at = scores.index(max(scores))
+                cells, full = cells + scores[at], full + (scores[at] >= 4)
+                f.pop(at)
+        assert got[k] == (len(t) * 5, cells, len(t), full, len(f) * 5)
