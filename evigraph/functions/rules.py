@@ -241,3 +241,52 @@ SECTION_SCHEMAS = {
 }
 # Dose in mg/m2 for one in mg/kg.
 KM_FACTORS = {"Rat": 6, "Dog": 20}
+
+# Section -> key of the record that its answer fills; other sections fill the record itself.
+SECTION_KEYS = {
+    "Drug Overview": "study_metadata",
+    "Clinical Study Design": "clinical_studies_data",
+    "Population Characteristics": "clinical_studies_data",
+    "Mechanism of Action": "mechanism_of_action",
+    "Pharmacokinetics": "pharmacokinetics",
+    "Efficacy Outcomes": "clinical_studies_data",
+    "Safety and Adverse Events": "safety_data",
+    "Hepatotoxicity": "safety_data",
+    "Cardiac Safety": "safety_data",
+    "Deaths and Serious Adverse Events": "safety_data",
+    "Monitoring and Warnings": "safety_data",
+    "Dosing Regimen": "dosing_administration",
+    "Dose Modifications": "treatment_management",
+    "Nonclinical Toxicology": "preclinical_toxicology",
+    "Eligibility Criteria": "eligibility_criteria",
+    "Special Populations – Hepatic": "special_populations",
+    "Special Populations": "special_populations",
+    "Drug Interactions": "drug_interactions",
+    "Formulation and Stability": "formulation_stability",
+    "Formulation": "formulation_stability",
+    "Contraindications": "contraindications",
+    "Genotoxicity": "genotoxicity",
+    "Carcinogenicity": "carcinogenicity",
+    "Reproductive Toxicity": "reproductive_toxicity",
+}
+# Fields of a nonclinical answer that belong to keys of their own.
+NONCLINICAL_FIELDS = {
+    "genotoxicity_in_vitro": "genotoxicity",
+    "genotoxicity_in_vivo": "genotoxicity",
+    "genotoxicity_conclusion": "genotoxicity",
+    "carcinogenicity_studies_conducted": "carcinogenicity",
+    "carcinogenicity_results": "carcinogenicity",
+    "reproductive_toxicity_studies": "reproductive_toxicity",
+    "reproductive_warnings": "reproductive_toxicity",
+    "developmental_toxicity_warnings": "reproductive_toxicity",
+}
+# Section -> the section whose questions it gets, where that is another.
+SECTION_ALIASES = {
+    "Deaths and Serious Adverse Events": "Safety and Adverse Events",
+    "Cardiac Safety": "Other",
+    "Monitoring and Warnings": "Other",
+    "Genotoxicity": "Nonclinical Toxicology",
+    "Carcinogenicity": "Nonclinical Toxicology",
+    "Reproductive Toxicity": "Nonclinical Toxicology",
+    "Contraindications": "Other",
+}

@@ -653,5 +653,5 @@ def stream_session_timeout(t: Tables) -> DataFrame:
     return progress.session_timeouts(t.spark, f"{t.dir}/events.parquet", "user_id", "ts", 600)
 
 
-# The graph products and the operators on snippets register themselves.
-from evigraph.plans import graphs, snippets  # noqa: E402, F401
+# The other groups of queries register themselves.
+from evigraph.plans import answers, graphs, snippets  # noqa: E402, F401
