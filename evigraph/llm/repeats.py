@@ -1,12 +1,13 @@
-"""Removal of byte strings that an earlier document holds: prefix doubling over a sparse suffix array.
+"""Removal of byte strings that an earlier document holds: sampled anchors, and one doubling of the length that is compared.
 
-All positions of a corpus would need an exchange of some forty times its size. The suffixes that are sorted here are a sample that
-no repeat escapes: of each window of ``SPAN`` bytes the ``HALF``-byte strings with the least hash are its anchors, so equal windows
-have equal anchors at equal places. Then, as in prefix doubling:
+This is not prefix doubling over all suffixes: all positions of a corpus would need an exchange of some forty times its size. The
+suffixes that are sorted here are a sample that no repeat escapes: of each window of ``SPAN`` bytes the ``HALF``-byte strings with
+the least hash are its anchors, so equal windows have equal anchors at equal places. Ranks are hashes (of 48 and 64 bits, whose
+bytes are not compared again), and there is one step of doubling:
 
 1. Each anchor is ranked by its first ``HALF`` bytes (its hash), ranks are sorted in buckets, and an anchor whose rank no other
    document has is unique and drops out.
-2. The anchors that are left are ranked again by pairs: the old rank, and the bytes at the offset of half a span before and after.
+2. The anchors that are left are compared again at the doubled length: the old rank, and the bytes at the offset of half a span before and after.
    The pairs are sorted in buckets; for each of the windows that hold the anchor the least doc_id of equal ones comes out. The
    strings are as long as the threshold then, and ranking ends.
 
