@@ -104,10 +104,10 @@ def reference_keys(t: Tables) -> DataFrame:
     return rows.select("p_partkey", F.array_join(X.references("t"), ",").alias("refs"), F.array_join(X.reference_heads("t"), ",").alias("heads"))
 
 
-@query(expected("entities", [("CHEMICAL=vorinol,cisplatin;DISEASE=anemia",), ("DISEASE=nausea",), ("",)]))
+@query(expected("entities", [("CHEMICAL=belinol,cisplatin;DISEASE=anemia",), ("DISEASE=nausea",), ("",)]))
 def named_terms(t: Tables) -> DataFrame:
-    texts = ["Vorinol with Cisplatin, vorinol again: anemia", "Severe nausea", "vorinolin anemias"]
-    found = X.found_terms(t.part.select("p_partkey", picked(texts).alias("t")), "t", {"CHEMICAL": ["vorinol", "cisplatin"], "DISEASE": ["anemia", "nausea"]})
+    texts = ["Belinol with Cisplatin, belinol again: anemia", "Severe nausea", "belinolin anemias"]
+    found = X.found_terms(t.part.select("p_partkey", picked(texts).alias("t")), "t", {"CHEMICAL": ["belinol", "cisplatin"], "DISEASE": ["anemia", "nausea"]})
     return found.select("p_partkey", F.array_join(F.array_sort(F.transform(F.map_entries("entities"), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ",")))), ";").alias("entities"))
 
 
