@@ -1,18 +1,17 @@
-"""Removal of byte strings that an earlier document holds: sampled anchors, and one doubling of the length that is compared.
+"""Removal of byte strings that an earlier document holds, by distributed prefix doubling.
 
-This is not prefix doubling over all suffixes: all positions of a corpus would need an exchange of some forty times its size. The
-suffixes that are sorted here are a sample that no repeat escapes: of each window of ``SPAN`` bytes the ``HALF``-byte strings with
-the least hash are its anchors, so equal windows have equal anchors at equal places. Ranks are hashes (of 48 and 64 bits, whose
-bytes are not compared again), and there is one step of doubling:
+Suffixes are ranked by their first 16 bytes, then 32, then ``SPAN``. In each round Spark sorts pairs of ranks, that of a position and
+that of the position an offset further on (8, 16, 18), and equal neighbours get one new rank. The first ranks are eight bytes
+themselves, so ranks are equal only where the bytes are. A suffix whose pair is nowhere else is unique and drops out with all that
+need its rank; past the threshold ranking ends, and of the windows with one rank the least doc_id comes out. Only ranks of equal
+pairs are needed, so pairs are sorted within tasks by hash and a rank is the task and the place there.
 
-1. Each anchor is ranked by its first ``HALF`` bytes (its hash), ranks are sorted in buckets, and an anchor whose rank no other
-   document has is unique and drops out.
-2. The anchors that are left are compared again at the doubled length: the old rank, and the bytes at the offset of half a span before and after.
-   The pairs are sorted in buckets; for each of the windows that hold the anchor the least doc_id of equal ones comes out. The
-   strings are as long as the threshold then, and ranking ends.
+Most suffixes drop out before the first round: of each window of ``SPAN`` bytes the ``HALF``-byte strings with the least hash are its
+anchors, so equal windows have equal anchors at equal places, and a window without an anchor that another document has is unique.
+Hashes only choose what is sorted; they never make two strings equal.
 
-Texts are packed in blocks of about a megabyte, and anchors are exchanged as packed arrays. What a block holds several times it
-sends once, with its least doc_id, so a string that stands everywhere sends one entry a block.
+Texts are packed in blocks of about a megabyte. What a block holds several times it sends once a round, with its least doc_id, so a
+string that stands everywhere sends one row a block.
 
 Defined results: null is an empty text; texts shorter than a span lose nothing; a null doc_id comes after all others; rows with
 one doc_id are not earlier than each other; extra columns are ignored.
@@ -40,8 +39,10 @@ BLOCK_BYTES = 1 << 20
 KEY_BITS = 48
 #: Entries in a bucket, about.
 BUCKET = 1 << 18
-#: Entries whose windows are compared at once, about.
-RUN = 1 << 14
+#: Of each round the length of the ranks that are paired and their distance; the last pair is ``SPAN`` long.
+ROUNDS = ((8, 8), (16, 16), (32, 18))
+#: Bytes of text for which a task is added to a sort.
+SORTED = 1 << 25
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -69,10 +70,9 @@ class Block:
         self.ids, self.known = np.frombuffer(ids, np.int64), np.frombuffer(known, bool)
         self.off = np.frombuffer(ends, np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-        self._anchors()
 
-    def _anchors(self) -> None:
-        """Positions of the anchors, their keys, documents, and the bytes of the document before and after them, HALF at most."""
+    def anchors(self) -> Block:
+        """Positions of the anchors, their keys, documents, and how many bytes are before and after them, HALF at most."""
         n = len(self.data)
         self.pos = np.zeros(0, np.int64)
         if n >= SPAN:
@@ -96,6 +96,7 @@ class Block:
         self.doc = np.searchsorted(self.off, self.pos, "right") - 1
         self.left = np.minimum(self.pos - self.off[self.doc], HALF)
         self.right = np.minimum(self.off[self.doc + 1] - self.pos - HALF, HALF)
+        return self
 
     def only(self, keys: np.ndarray) -> None:
         """Keeps the anchors with these keys, and those that two documents of the block have."""
@@ -109,34 +110,61 @@ class Block:
         for name in ("pos", "key", "doc", "left", "right"):
             setattr(self, name, getattr(self, name)[keep])
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes before, bytes after) of each anchor, the nearest first; 0 beyond the document."""
-        step = np.arange(HALF)
-        padded = np.concatenate([np.zeros(HALF, np.uint8), self.data, np.zeros(HALF, np.uint8)])
-        before = padded[self.pos[:, None] + (HALF - 1 - step)]
-        after = padded[self.pos[:, None] + (2 * HALF + step)]
-        before[step >= self.left[:, None]] = 0
-        after[step >= self.right[:, None]] = 0
-        return before, after
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(identity of each anchor's entry, the entries' first anchors, their identities, their least doc_id, contexts)."""
-        before, after = self.contexts()
-        ident = _identity(self.key, before, after, self.left, self.right)
-        ids = self.ids[self.doc]
-        order = np.lexsort((ids, ident))
-        first = np.ones(len(order), bool)
-        first[1:] = ident[order][1:] != ident[order][:-1]
-        at = order[first]
-        return ident, at, ident[at], ids[at], np.hstack([before, after])[at]
-
-
-def _identity(key, before, after, left, right) -> np.ndarray:
-    words = np.ascontiguousarray(np.hstack([before, after, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8), np.zeros((len(key), 4), np.uint8)])).view(U64)
-    out = mix(key + U64(1))
-    for c in range(words.shape[1]):
-        out = mix(out ^ words[:, c]) * U64(0x9E3779B97F4A7C15)
-    return out
+    def starts(self) -> np.ndarray:
+        """Runs (first, end) of windows that hold an anchor that is left."""
+        edge = np.zeros(len(self.data) + 2, np.int64)
+        lo, hi = self.pos - self.left, self.pos - HALF + self.right + 1
+        np.add.at(edge, lo[hi > lo], 1)
+        np.add.at(edge, hi[hi > lo], -1)
+        inside = np.concatenate(([False], np.cumsum(edge) > 0))
+        turn = np.flatnonzero(inside[1:] != inside[:-1])
+        return turn.reshape(-1, 2)
+
+
+class Pairs:
+    """The pairs of ranks of a block in the round after those whose ranks have come back: ``pos`` the positions, ``slot`` the number
+    of each one's pair; of each pair ``a``, ``b``, the least doc_id ``least`` and whether two documents have it, ``many``."""
+
+    def __init__(self, x: Block, runs: np.ndarray, found: list[bytes | None]):
+        needs = [np.concatenate([np.zeros(0, np.int64), *(np.arange(a, z) for a, z in runs)])]
+        for _, step in ROUNDS[:0:-1]:
+            needs.insert(0, np.union1d(needs[0], needs[0] + step))
+        rank = _words(x.data)
+        ids = np.repeat(x.ids, np.diff(x.off))
+        for r, (pos, (_, step)) in enumerate(zip(needs, ROUNDS)):
+            if r:  # both are left
+                pos = pos[(rank[pos] >= 0) & (rank[pos + step] >= 0)]
+            a, b, doc = rank[pos], rank[pos + step], ids[pos]
+            order = np.lexsort((doc, b, a))
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            slot = np.zeros(len(order), np.int64)
+            slot[order] = np.cumsum(new) - 1
+            if r == len(found) or r == len(ROUNDS) - 1:
+                at, end = order[new], order[np.append(np.flatnonzero(new)[1:], len(order)) - 1] if len(order) else order
+                self.pos, self.slot, self.doc = pos, slot, doc
+                self.a, self.b, self.least, self.many = a[at], b[at], doc[at], doc[at] != doc[end]
+                return
+            back = np.full(int(new.sum()), -1, np.int64)
+            slots, ranks = _unpack_found(found[r])
+            back[slots] = ranks
+            rank = np.full(len(x.data), -1, np.int64)
+            rank[pos] = back[slot]
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number."""
+    out = np.zeros(len(data), U64)
+    for i in range(8):
+        out[: max(len(data) - i, 0)] |= data[i:].astype(U64) << U64(56 - 8 * i)
+    return out.view(np.int64)
+
+
+def _unpack_found(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, ranks)."""
+    raw = zstandard.ZstdDecompressor().decompress(raw) if raw else b""
+    n = len(raw) // 12
+    return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.int64, n, 4 * n)
 
 
 def _rolling(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -196,7 +224,7 @@ def first_ranks(packed: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, *parts in zip(*(b.column(i).to_pylist() for i in range(5))):
-                keys = np.unique(Block(*parts).key)
+                keys = np.unique(Block(*parts).anchors().key)
                 rows = [(k, block, _pack_keys(keys[s])) for k, s in _split(_bucket(keys, n_buckets))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "keys"])
@@ -231,137 +259,128 @@ def _all_keys(parts: list[bytes] | None) -> np.ndarray:
     return np.concatenate([_unpack_keys(p) for p in parts]) if parts else np.zeros(0, U64)
 
 
-#: Key, least doc_id, how many bytes before and after, and those bytes.
-ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", 2 * HALF)])
-
-
-def second_ranks(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, block, entries): the anchors that are left, with the bytes around them."""
+def with_runs(packed: DataFrame, shared: DataFrame) -> DataFrame:
+    """The blocks, each with its runs of windows that hold a shared anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for block, *parts, keys in zip(*(b.column(i).to_pylist() for i in range(6))):
-                x = Block(*parts)
+                x = Block(*parts).anchors()
                 x.only(_all_keys(keys))
-                if not len(x.pos):
-                    continue
-                _, at, _, doc, around = x.entries()
-                order = np.argsort(x.key[at], kind="stable")
-                at, doc, around = at[order], doc[order], around[order]
-                key = x.key[at]
-                rows = []
-                for k, s in _split(_bucket(key, n_buckets)):
-                    # by columns, which compress better
-                    cols = [_pack_keys(key[s]), doc[s].tobytes(), x.left[at[s]].astype(np.uint8).tobytes(), x.right[at[s]].astype(np.uint8).tobytes(), around[s].tobytes()]
-                    rows.append((k, block, s.stop - s.start, pack.compress(b"".join(cols))))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "n", "entries"])
-
-    return packed.select("block", "ids", "known", "ends", "body", "keys").mapInArrow(run, "bucket long, block long, n long, entries binary")
-
-
-def _entries_of(n: int, raw: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    out = np.zeros(n, ENTRY)
-    out["key"] = _unpack_keys(raw[: 6 * n])
-    out["doc"] = np.frombuffer(raw, np.int64, n, 6 * n)
-    out["left"] = np.frombuffer(raw, np.uint8, n, 14 * n)
-    out["right"] = np.frombuffer(raw, np.uint8, n, 15 * n)
-    out["bytes"] = np.frombuffer(raw, np.uint8, 2 * HALF * n, 16 * n).reshape(n, 2 * HALF)
-    return out
-
-
-def earlier_windows(e: np.ndarray) -> np.ndarray:
-    """A bit for each place of a window around each entry: an equal window has a smaller doc_id."""
-    n = len(e)
-    before = np.zeros((HALF + 1, n), U64)
-    after = np.zeros((HALF + 1, n), U64)
-    for i in range(HALF):
-        before[i + 1] = mix(before[i] * U64(0x9E3779B97F4A7C15) + e["bytes"][:, i] + U64(1))
-        after[i + 1] = mix(after[i] * U64(0xC2B2AE3D27D4EB4F) + e["bytes"][:, HALF + i] + U64(1))
-    mask = np.zeros(n, np.uint32)
-    for o in range(PLACES):
-        valid = np.flatnonzero((e["left"] >= HALF - o) & (e["right"] >= o))
-        if len(valid) < 2:
-            continue
-        h = mix(e["key"][valid] ^ before[HALF - o][valid]) * U64(0xD6E8FEB86659FD93) ^ after[o][valid]
-        doc = e["doc"][valid]
-        order = np.argsort(h, kind="stable")
-        start = np.concatenate(([0], np.flatnonzero(h[order][1:] != h[order][:-1]) + 1))
-        least = np.minimum.reduceat(doc[order], start)
-        group = np.zeros(len(order), np.int64)
-        group[start[1:]] = 1
-        group = np.cumsum(group)
-        hit = least[group] < doc[order]
-        mask[valid[order[hit]]] |= np.uint32(1 << o)
-    return mask
-
-
-def repeated_windows(ranks: DataFrame, partitions: int) -> DataFrame:
-    """(block, hits): identity and places of each block's entries of which some window stands in an earlier document."""
+                runs = x.starts().astype(np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (block, *parts, runs)], ["block", "ids", "known", "ends", "body", "runs"])
+
+    both = packed.join(shared, "block", "left").select("block", "ids", "known", "ends", "body", "keys")
+    return both.mapInArrow(run, "block long, ids binary, known binary, ends binary, body binary, runs binary")
+
+
+def rank_pairs(work: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """(a, b, doc, many, block, slot): each block's pairs of ranks, once each, in the round after those of ``found``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for _, rows in _by_bucket(batches, 4):
-            parts = [_entries_of(r[2], r[3]) for r in rows]
-            every = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-            order = np.argsort(every["key"], kind="stable")
-            key = every["key"][order]
-            again = np.zeros(len(key), bool)
-            again[1:] = key[1:] == key[:-1]
-            again[:-1] |= again[1:]
-            some, key = order[again], key[again]
-            # runs of whole keys, so that the work for a run stays small
-            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            cuts = [*cuts[np.unique(cuts // RUN, return_index=True)[1]].tolist(), len(key)]
-            found = [(some[a:z][m > 0], m[m > 0]) for a, z in zip(cuts[:-1], cuts[1:]) for m in [earlier_windows(every[some[a:z]])]]
-            out = []
-            if found:
-                some, mask = (np.concatenate(x) for x in zip(*found))
-                e = every[some]
-                ident = _identity(e["key"], e["bytes"][:, :HALF], e["bytes"][:, HALF:], e["left"], e["right"])
-                turn = np.argsort(owner[some], kind="stable")
-                some, mask, ident = some[turn], mask[turn], ident[turn]
-                for r, s in _split(owner[some]):
-                    out.append((rows[r][1], pack.compress(ident[s].tobytes() + mask[s].tobytes())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["block", "hits"])
+        for b in batches:
+            for block, *parts, runs, back in _rows(b):
+                p = Pairs(Block(*parts), runs, back)
+                n = len(p.a)
+                if n:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v) for v in (p.a, p.b, p.least, p.many, np.full(n, block), np.arange(n, dtype=np.int32))], ["a", "b", "doc", "many", "block", "slot"]
+                    )
+
+    return _with_found(work, found).where("octet_length(runs) > 0").mapInArrow(run, "a long, b long, doc long, many boolean, block long, slot int")
+
+
+def _with_found(work: DataFrame, found: list[DataFrame]) -> DataFrame:
+    for r, f in enumerate(found):
+        work = work.join(f.withColumnRenamed("found", f"found{r}"), "block", "left")
+    return work.select("block", "ids", "known", "ends", "body", "runs", *[f"found{r}" for r in range(len(found))])
+
 
-    return _grouped(ranks, partitions).mapInArrow(run, "block long, hits binary").groupBy("block").agg(F.collect_list("hits").alias("hits"))
+def _rows(b: pa.RecordBatch):
+    """(block, ids, known, ends, body, runs, what came back from each round) of the rows."""
+    for block, ids, known, ends, body, runs, *back in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+        yield block, ids, known, ends, body, np.frombuffer(runs, np.int64).reshape(-1, 2), back
 
 
-def covered(x: Block, hits: list[bytes] | None) -> np.ndarray:
+def rerank(pairs: DataFrame, partitions: int, last: bool) -> DataFrame:
+    """(block, slot, rank): one rank for equal pairs, unique ones left out; if ``last`` those with a larger doc_id than the least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # the last row stays for the next batch, which may have its equal; out tells that it has been given already
+        group, least, kept, out = TaskContext.get().partitionId() << 40, 0, None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if kept is not None:
+                cols = [np.concatenate((k, c)) for k, c in zip(kept, cols)]
+            a, b_, doc, many, block, slot = cols
+            new = (a[1:] != a[:-1]) | (b_[1:] != b_[:-1])
+            rank = group + np.concatenate(([0], np.cumsum(new)))
+            first = np.concatenate(([0], np.flatnonzero(new) + 1))
+            of = rank - group
+            size = np.diff(np.append(first, len(a)))
+            low = doc[first]
+            if kept is not None:
+                low[0] = least
+            give = doc > low[of] if last else (size[of] > 1) | np.logical_or.reduceat(many, first)[of]
+            if kept is not None and out:
+                give[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(block[give]), pa.array(slot[give]), pa.array(rank[give])], ["block", "slot", "rank"])
+            group, least, kept, out = int(rank[-1]), int(low[-1]), [c[-1:] for c in cols], bool(give[-1])
+
+    return pairs.repartition(partitions, "a", "b").sortWithinPartitions("a", "b", "doc", "block", "slot").mapInArrow(run, "block long, slot int, rank long")
+
+
+def by_block(ranks: DataFrame, partitions: int) -> DataFrame:
+    """(block, found): the slots and ranks of each block, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, at, parts = zstandard.ZstdCompressor(level=1), None, []
+
+        def row():
+            slots, ranks = (np.concatenate(x) for x in zip(*parts))
+            raw = pack.compress(slots.astype(np.int32).tobytes() + ranks.astype(np.int64).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([raw])], ["block", "found"])
+
+        for b in batches:
+            block, slot, rank = (c.to_numpy() for c in b.columns)
+            for k, s in _split(block) if len(block) else ():
+                if k != at:
+                    if parts:
+                        yield row()
+                    at, parts = k, []
+                parts.append((slot[s], rank[s]))
+        if parts:
+            yield row()
+
+    return ranks.repartition(partitions, "block").sortWithinPartitions("block", "slot").mapInArrow(run, "block long, found binary")
+
+
+def covered(x: Block, runs: np.ndarray, found: list[bytes | None]) -> np.ndarray:
     """Which bytes of the block go."""
     out = np.zeros(len(x.data) + 1, np.int64)
-    if len(x.pos):
-        ident, _, own, least, _ = x.entries()
-        at = np.searchsorted(own, ident)
-        mask = np.zeros(len(own), np.uint32)
-        for raw in hits or []:
-            raw = zstandard.ZstdDecompressor().decompress(raw)
-            k = len(raw) // 12
-            mask[np.searchsorted(own, np.frombuffer(raw, U64, k))] |= np.frombuffer(raw, np.uint32, k, 8 * k)
-        every = x.ids[x.doc] > least[at]
-        for o in range(PLACES):
-            hit = ((mask[at] >> np.uint32(o)) & 1).astype(bool) | every
-            hit &= (x.left >= HALF - o) & (x.right >= o)
-            start = x.pos[hit] - HALF + o
-            np.add.at(out, start, 1)
-            np.add.at(out, start + SPAN, -1)
+    if len(runs):
+        p = Pairs(x, runs, found)
+        earlier = np.zeros(len(p.a), bool)
+        earlier[_unpack_found(found[-1])[0]] = True
+        start = p.pos[earlier[p.slot] | (p.doc > p.least[p.slot])]
+        np.add.at(out, start, 1)
+        np.add.at(out, start + SPAN, -1)
     return np.cumsum(out)[:-1] > 0
 
 
-def _cut(packed: DataFrame, texts: bool) -> DataFrame:
+def _cut(work: DataFrame, texts: bool) -> DataFrame:
     """A row for each document; with ``texts`` also what is kept."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for *parts, keys, hits in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for _, *parts, runs, back in _rows(b):
                 x = Block(*parts)
-                x.only(_all_keys(keys))
-                gone = covered(x, hits)
+                gone = covered(x, runs, back)
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1]
                 inner = x.off[:-1][np.diff(x.off) > 0]
@@ -380,7 +399,7 @@ def _cut(packed: DataFrame, texts: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return packed.select("ids", "known", "ends", "body", "keys", "hits").mapInArrow(run, schema)
+    return work.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -389,7 +408,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     n = shuffle_partitions(docs.sparkSession)
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(4 * n, int(total * 0.08 / BUCKET) + 1)
-    shared = stored(shared_ranks(first_ranks(packed, n_buckets), n))
-    both = packed.join(shared, "block", "left")
-    hits = repeated_windows(second_ranks(both, n_buckets), n)
-    return _cut(packed.join(shared, "block", "left").join(hits, "block", "left"), texts)
+    work = stored(with_runs(packed, shared_ranks(first_ranks(packed, n_buckets), n)), "none")
+    parts, found = max(n, int(total / SORTED) + 1), []
+    for r in range(len(ROUNDS)):
+        found.append(stored(by_block(rerank(rank_pairs(work, found), parts, r == len(ROUNDS) - 1), n), "none"))
+    return _cut(_with_found(work, found), texts)

@@ -137,7 +137,6 @@ def brute_repeats(rows):
 
 def test_repeats(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 3000)
-    monkeypatch.setattr(repeats, "RUN", 50)
     rnd = random.Random(4)
     passage = prose(rnd, 30)
     texts = [None, "", "x" * 49, "x" * 50, "x" * 200, "ab" * 60]
@@ -151,6 +150,17 @@ def test_repeats(spark, monkeypatch):
     got = sorted((tuple(r) for r in repeats.remove_repeats(make(spark, texts, ids).withColumn("block", F.lit(0))).collect()), key=str)
     assert got == brute_repeats(list(zip(ids, texts)))
     assert repeats.remove_repeats(make(spark, [])).count() == 0
+    # groups of equal pairs that end, begin and go on at the edges of batches
+    rows = [(i // 3, i // 5, i % 4, i % 11 == 0, i % 6, i) for i in range(60)] + [(99, 99, d, False, d, d) for d in (5, 5, 7, 8)]
+    pairs = spark.createDataFrame(rows, "a long, b long, doc long, many boolean, block long, slot int")
+    for size in (1, 2, 3, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for last in (False, True):
+            got = {(r["block"], r["slot"]) for r in repeats.rerank(pairs, 3, last).collect()}
+            groups = [[r for r in rows if r[:2] == key] for key in {r[:2] for r in rows}]
+            want = [r for g in groups for r in g if (r[2] > min(x[2] for x in g) if last else len(g) > 1 or g[0][3])]
+            assert got == {(r[4], r[5]) for r in want}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 # 10
