@@ -46,6 +46,20 @@ class Encoder:
     def at(path: str) -> Encoder:
         return Encoder(path)
 
+    def plain(self, text: str) -> list[int]:
+        """The ids, strings of special tokens taken for plain text."""
+        if self.fast is not None:
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as e:  # a panic is no Exception
+                if type(e).__name__ != "PanicException":
+                    raise
+        self.tokenizer.encode_special_tokens = True
+        try:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        finally:
+            self.tokenizer.encode_special_tokens = False
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.fast is not None and not any(s in text for s in self.special):

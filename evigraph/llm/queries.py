@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import chat, decontaminate, fingerprints, langid, manifest, ngram_join, packing, repeats, secret_scan, toxicity, warc_store
+from evigraph.llm import align, chat, decontaminate, fingerprints, langid, manifest, ngram_join, packing, repeats, secret_scan, toxicity, warc_store
 from evigraph.llm._spark import read_table
 
 
@@ -48,6 +48,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(read_table(spark, sf_dir, "documents"), manifest.lower_tampered())
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_repeats": op9_repeats,
     "op10_secret_scan": op10_secret_scan,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE_SQL = {
