@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import align, chat, decontaminate, fingerprints, langid, manifest, ngram_join, packing, repeats, secret_scan, toxicity, warc_store
+from evigraph.llm import align, chat, decontaminate, fingerprints, langid, manifest, minhash, ngram_join, packing, repeats, secret_scan, toxicity, warc_store
 from evigraph.llm._spark import read_table
 
 
@@ -56,6 +56,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(read_table(spark, sf_dir, "documents"), manifest.lower_tampered())
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -69,6 +73,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_minhash": op13_minhash,
 }
 ORACLE_SQL = {
     "op4_warc_store": warc_store.ORACLE,
@@ -76,4 +81,5 @@ ORACLE_SQL = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op10_secret_scan": secret_scan.oracle(),
     "op12_merkle_manifest": manifest.ORACLE,
+    "op13_minhash": minhash.ORACLE,
 }
