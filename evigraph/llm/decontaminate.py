@@ -38,8 +38,8 @@ BLOCK_TOKENS = 2_000_000
 MIN_MATCHED = 10
 MIN_SHARE = 0.8
 MIN_RATE = 0.75
-#: Pairs of equal seeds that are in memory at once.
-PAIRS = 1 << 20
+#: Tokens of shifted items that are compared at once.
+CELLS = 1 << 21
 _WEIGHTS = [U64(mix(np.array([k + 1], U64) * U64(0x9E3779B97F4A7C15))[0] | U64(1)) for k in range(max(map(len, MASKS)))]
 
 
@@ -62,6 +62,18 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(s)
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, ``counts`` long."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct pairs (a, b) in order, which of them each is, and how often each stands. a is not negative, b within 31 bits of 0."""
+    key, own, times = np.unique((a.astype(np.int64) << 32) + (b + (1 << 31)), return_inverse=True, return_counts=True)
+    return (key >> 32, (key & 0xFFFFFFFF) - (1 << 31)), own, times
+
+
 class SeedIndex:
     """The seeds of a block of benchmark items, and the items' tokens."""
 
@@ -103,24 +115,44 @@ class SeedIndex:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.key >> U64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Rows (text, item, shift) of texts with the tokens ``h``: where an item, laid ``shift`` tokens into the text, has an equal
-        seed."""
-        found = []
+    def hits(self, h: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, item, shifts) of texts with the tokens ``h``: where the item, laid so many tokens into the text, has an equal seed. A pair
+        with more equal seeds than shifts, as repeated words make, gets all its shifts, since no overlap that counts lacks a seed."""
+        keys, places = [], []
         for m, mask in enumerate(MASKS):
             s = seeds(h, mask, m)
-            if not len(s) or not len(self.key):
-                continue
-            pos = np.flatnonzero(self.seen[(s >> U64(64 - self.bits)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.key, s[pos], "left"), np.searchsorted(self.key, s[pos], "right")
-            pos, lo, n = pos[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            # repeated words can make many pairs
-            for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
-                k = n[part]
-                at, to = np.repeat(pos[part], k), self.place[np.repeat(lo[part] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-                text, own = np.searchsorted(before, at, "right") - 1, self.owner[to]
-                found.append(np.unique(np.stack([text, own, (at - before[text]) - (to - self.before[own])], 1), axis=0))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            if len(s) and len(self.key):
+                at = np.flatnonzero(self.seen[(s >> U64(64 - self.bits)).astype(np.int64)])
+                keys.append(s[at])
+                places.append(at)
+        if not keys:
+            return
+        key, place = np.concatenate(keys), np.concatenate(places)
+        lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        place, lo, n = place[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        text = np.searchsorted(before, place, "right") - 1
+        # equal seeds of one text count once for each place in the benchmark
+        (text, lo), own, times = _distinct(text, lo)
+        n = n[np.argsort(own, kind="stable")[np.concatenate(([0], np.cumsum(times)[:-1]))]] if len(own) else n
+        sizes, width = np.diff(before), np.diff(self.before)
+        places = np.split(place[np.argsort(own, kind="stable")], np.cumsum(times)[:-1]) if len(own) else []
+        for t in np.unique(text):
+            groups = np.arange(*np.searchsorted(text, (t, t + 1)))
+            to = self.place[ragged(lo[groups], n[groups])]
+            item, of = self.owner[to], np.repeat(groups, n[groups])
+            pairs = np.bincount(item, weights=times[of], minlength=len(self.ids))
+            many = pairs > sizes[t] + width
+            for i in np.flatnonzero(many).tolist():
+                yield int(t), i, np.arange(1 - width[i], sizes[t])
+            few = np.flatnonzero(~many[item])
+            k = times[of[few]]
+            at = np.concatenate([places[g] for g in of[few]]) if len(few) else np.zeros(0, np.int64)
+            to = np.repeat(to[few], k)
+            (found, shift), _, _ = _distinct(self.owner[to], (at - before[t]) - (to - self.before[self.owner[to]]))
+            cut = np.flatnonzero(np.diff(found)) + 1
+            for first, shifts in zip(np.split(found, cut), np.split(shift, cut)):
+                if len(shifts):
+                    yield int(t), int(first[0]), shifts
 
     def word_for_word(self, h: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, token) where a short item stands as it is."""
@@ -138,9 +170,9 @@ class SeedIndex:
                         yield t, i, a
 
 
-def best_overlap(same: np.ndarray, need: float) -> tuple[int, int, int] | None:
+def best_overlap(same: np.ndarray, need: float, least: int = 0) -> tuple[int, int, int] | None:
     """(start, end, matches) of the run with the largest sum (a match 1, a mismatch -1.5) among all runs of at least ``need``
-    matches at ``MIN_RATE``, or None if there is none; ends at matches. Of equal sums the first end, then the shortest."""
+    matches at ``MIN_RATE``, or None if there is none or none has ``least`` matches; ends at matches. Of equal sums the first end, then the shortest."""
     n = len(same)
     m = np.concatenate([[0], np.cumsum(same)])
     p = m - MIN_RATE * np.arange(n + 1)
@@ -148,19 +180,49 @@ def best_overlap(same: np.ndarray, need: float) -> tuple[int, int, int] | None:
     first = np.searchsorted(-np.minimum.accumulate(p), -p, "left")
     if (m - m[first]).max() < need:
         return None
-    best, out, total, start = 0.0, (0, 0), 0.0, 0
-    for i, x in enumerate(same.tolist()):
-        if total <= 0:
-            total, start = 0.0, i
-        total += 1 if x else -1.5
-        if x and total > best:
-            best, out = total, (start, i + 1)
+    if (m - m[first]).max() < least:
+        return None
+    # the run with the largest sum before each match starts at the last least sum
+    total = 2.5 * m - 1.5 * np.arange(n + 1)
+    low = np.minimum.accumulate(total)
+    start = np.maximum.accumulate(np.where(total == low, np.arange(n + 1), 0))
+    ends = np.flatnonzero(same) + 1
+    e = int(ends[np.argmax(total[ends] - low[ends - 1])])
+    out = int(start[e - 1]), e
     s, e = out
     if p[s] > p[e] or m[e] - m[s] < need:
         s, e = _best_at_rate(same, m, p, need)
     return s, e, int(m[e] - m[s])
 
 
+def best_shift(h: np.ndarray, item: np.ndarray, shifts: np.ndarray, need: float) -> tuple[int, int, int] | None:
+    """(matched, start, end) in ``h`` of the best overlap over all shifts: most matches, then the shortest, then the first.
+
+    The equal tokens of a shift bound its matches, so shifts are taken by them until no other can be better."""
+    n, m = len(h), len(item)
+    bound, first = np.empty(len(shifts), np.int64), np.empty(len(shifts), np.int64)
+    step = max(1, CELLS // m)
+    for k in range(0, len(shifts), step):
+        at = shifts[k : k + step, None] + np.arange(m)
+        same = (at >= 0) & (at < n)
+        same &= h[np.clip(at, 0, n - 1)] == item
+        bound[k : k + step], first[k : k + step] = same.sum(1), same.argmax(1) + shifts[k : k + step]
+    best = None
+    order = np.lexsort((first, -bound))
+    for k in order[bound[order] >= need].tolist():
+        if best and (bound[k] < best[0] or (bound[k] == best[0] == best[2] - best[1] and first[k] >= best[1])):
+            if bound[k] < best[0]:
+                break
+            continue
+        shift = int(shifts[k])
+        lo, hi = max(0, -shift), min(m, n - shift)
+        run = best_overlap(h[shift + lo : shift + hi] == item[lo:hi], need, best[0] if best else 0)
+        if run is not None:
+            x = (run[2], shift + lo + run[0], shift + lo + run[1])
+            best = max(best or x, x, key=lambda y: (y[0], y[1] - y[2], -y[1]))
+    return best
+
+
 def _best_at_rate(same: np.ndarray, m: np.ndarray, p: np.ndarray, need: float) -> tuple[int, int]:
     """(start, end) where the run with the largest sum lacks the rate or the matches: the least prefix sum over starts that are
     far enough before and have no larger ``p``, from a tree of minima over the ranks of ``p``."""
@@ -216,13 +278,10 @@ def _found(index: SeedIndex, texts: pa.Array) -> dict[tuple[int, int], tuple[int
             k = (r0 + d, i)  # noqa: B023
             best[k] = max(best.get(k, x), x, key=lambda y: (y[0], -y[1], -y[3]))
 
-        for d, i, s in index.hits(h, before).tolist():
-            i0, i1 = index.before[i], index.before[i + 1]
-            d0 = before[d] + s
-            lo, hi = max(0, before[d] - d0), min(i1 - i0, before[d + 1] - d0)
-            same = h[d0 + lo : d0 + hi] == index.h[i0 + lo : i0 + hi]
-            if (run := best_overlap(same, min(MIN_MATCHED, MIN_SHARE * (i1 - i0)))) is not None:
-                put(d, i, run[2], d0 + lo + run[0], d0 + lo + run[1])
+        for d, i, shifts in index.hits(h, before):
+            item = index.h[index.before[i] : index.before[i + 1]]
+            if (run := best_shift(h[before[d] : before[d + 1]], item, shifts, min(MIN_MATCHED, MIN_SHARE * len(item)))) is not None:
+                put(d, i, run[0], before[d] + run[1], before[d] + run[2])
         for d, i, a in index.word_for_word(h, before):
             n = int(index.before[i + 1] - index.before[i])
             put(d, i, n, a, a + n)

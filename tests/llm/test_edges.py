@@ -2,9 +2,11 @@
 cycles, very long runs and chains, empty tables."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import DOCS, brute_links, brute_overlap, make, prose
@@ -73,7 +75,32 @@ def test_decontamination_judges_rows(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == 6 and decontaminate.clean(docs.limit(0), bench).count() == 0
     many = decontaminate.SeedIndex([(0, "the " * 400)])
     h, _, _, before = decontaminate.tokens(np.frombuffer(b"the " * 6000, np.uint8), np.array([0, 24000]))
-    assert len(many.hits(h, before)) == 6000 + 400 - 2 * 5 + 1
+    ((text, item, shifts),) = many.hits(h, before)
+    assert (text, item, len(shifts)) == (0, 0, 6000 + 400 - 1)
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """Texts of few different words have an equal seed on every shift; the work stays in proportion to tokens times items."""
+    rnd = random.Random(24)
+    items = ["w " * 400] * 20
+    began = time.time()
+    found = decontaminate._found(decontaminate.SeedIndex(list(enumerate(items))), pa.array(["w " * 20_000]))
+    assert time.time() - began < 10
+    assert found == {(0, i): (400, 400, 400, 0, 799) for i in range(20)}
+    items = [" ".join(rnd.choice("ab") for _ in range(n)) for n in (8, 12, 20)]
+    texts = [" ".join(rnd.choice("ab") for _ in range(60)) for _ in range(30)] + ["a b " * 30, "a " * 9]
+    found = decontaminate._found(decontaminate.SeedIndex(list(enumerate(items))), pa.array(texts))
+    for d, t in enumerate(texts):
+        for i, w in enumerate(items):
+            t_, w_, most = t.split(), w.split(), None
+            for shift in range(1 - len(w_), len(t_)):
+                lo, hi = max(0, -shift), min(len(w_), len(t_) - shift)
+                run = brute_overlap([t_[shift + k] == w_[k] for k in range(lo, hi)], min(10, 0.8 * len(w_)))
+                if run:
+                    x = (run[2], run[0] - run[1], -(shift + lo + run[0]))
+                    most = max(most or x, x)
+            got = found.get((d, i))
+            assert (most and (most[0], -most[1], -most[2] * 2)) == (got and (got[0], got[1], got[3]))
 
 
 def test_extra_columns_of_any_name(spark):
@@ -175,3 +202,10 @@ def test_pipeline_of_empty_and_repeated_rows(spark):
             assert docs.columns == [*[c.split()[0] for c in DOCS.split(", ")], "score"], name
         assert sorted((r["doc_id"] for r in docs.collect()), key=str) == left and {r["score"] for r in docs.collect()} <= {7}
         assert stored(corpus_pipeline.STAGES[4][1](spark, docs, "/root/testdata/sf0.001")).count() == len(left)
+
+
+def test_fingerprints_of_many_rows_without_an_id(spark):
+    rnd = random.Random(25)
+    texts = [prose(rnd, 5) for _ in range(1200)]
+    got = fingerprints.with_next(make(spark, texts, [None] * 1200).coalesce(1)).collect()
+    assert len(got) == 1200 and all(r["doc_id"] is None for r in got)
