@@ -199,7 +199,7 @@ def _oracle(levels: int = 6, top_levels: int = 4) -> str:
 
     steps = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
     crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
-    met = f"CASE WHEN {crc} % 5 = 0 THEN {hashed(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {hashed('text')} END"
+    met = f"CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {hashed(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {hashed('text')} END"
     sql = f"WITH x AS (SELECT doc_id, coalesce('+' || source, '') AS g, {hashed('text')} AS leaf, {met} AS met FROM documents), "
     sql += "r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, met) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM x), "
     sql += tree("v", "SELECT g, i, leaf AS h, n FROM r", levels) + ", "
