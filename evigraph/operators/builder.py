@@ -1,22 +1,24 @@
 """The strict evidence graph from extracted records, and its enrichment.
 
 Each producer gives nodes and edges with a ``seq`` that says in which order the sections are taken: metadata, safety,
-pharmacokinetics, preclinical, mechanism, statements, expression. Of nodes with one id the first by seq stays; edges are a bag.
+pharmacokinetics, preclinical, mechanism, statements, expression. Of nodes with one id the first by seq stays; edges are a bag. Names in statements and expression tables are resolved in
+turn: a new name is known to those after it.
 All producers work on many documents at once: ``doc_id`` keeps their graphs apart.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigraph.functions import rules
 from evigraph.operators import graph as G
-from evigraph.operators.resolve import ground, resolve_fuzzy
+from evigraph.operators.resolve import ground, resolve_in_turn
 from evigraph.operators.store import kept
 
-# Fixed value: what edges from statements name as their source.
-STATEMENT_SOURCE = "LLM_Semantic_Extraction"
+#: What edges from statements name as their source.
+STATEMENT_SOURCE = "statements"
 NODE = ["doc_id", "id", "name", "type", "properties", "seq"]
 EDGE = ["doc_id", "source_id", "target_id", "type", "properties", "confidence", "seq"]
 # Display name and field of the biomarkers that become nodes.
@@ -84,19 +86,14 @@ def build(records: DataFrame, drug: str, expression: DataFrame | None = None, nu
     edges.append(_edge(targets, 5, drug_id, tid, "associated_with", None, F.col("_i")))
 
     known = kept(G.first_of(G.union_sparse(*nodes), ["doc_id", "id"], ["seq"]))
-    made, linked, extra = _statements(base, known, drug_id, numeric_guard)
-    more = more.select("doc_id", "id", "key", "value", "_i").unionByName(extra)
-    nodes, edges = [known, made], [*edges, linked]
+    sums = more.select("doc_id", "id", "key", "value", F.lit(False).alias("adds"), F.struct(F.lit(2).alias("stage"), F.col("_i").cast("long").alias("i")).alias("at"))
+    made, linked, said = _statements(base, known, drug_id, numeric_guard)
+    nodes, edges, writes = [known, made], [*edges, linked], sums.unionByName(said)
     if expression is not None:
-        made, linked, extra = _expression(base, kept(G.first_of(G.union_sparse(*nodes), ["doc_id", "id"], ["seq"])), expression, drug_id, numeric_guard)
-        nodes, edges, more = [*nodes, made], [*edges, linked], more.unionByName(extra)
+        made, linked, said = _expression(base, kept(G.first_of(G.union_sparse(*nodes), ["doc_id", "id"], ["seq"])), expression, drug_id, numeric_guard)
+        nodes, edges, writes = [*nodes, made], [*edges, linked], writes.unionByName(said)
     all_nodes = G.first_of(G.union_sparse(*nodes).where(F.col("type").isin(rules.NODE_TYPES)), ["doc_id", "id"], ["seq"])
-    # the last of equal keys stays, but lists of values are joined in order
-    joined = more.groupBy("doc_id", "id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "value"))), lambda x: x["value"]), "; ").alias("value"))
-    maps = joined.groupBy("doc_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_more"))
-    out = all_nodes.join(maps, ["doc_id", "id"], "left")
-    old = F.map_filter("properties", lambda k, _: ~F.coalesce(F.map_contains_key(F.col("_more"), k), F.lit(False)))
-    out = out.withColumn("properties", F.when(F.col("_more").isNull(), F.col("properties")).otherwise(F.map_concat(old, "_more"))).select(*NODE)
+    out = _written(all_nodes, writes)
     out = kept(out)
     ends = out.select("doc_id", "id")
     e = G.union_sparse(*edges)
@@ -106,32 +103,44 @@ def build(records: DataFrame, drug: str, expression: DataFrame | None = None, nu
     return G.Graph(out, e.withColumn("type", kind).select(*EDGE))
 
 
-def _resolved(names: DataFrame, known: DataFrame, numeric_guard: bool) -> DataFrame:
-    """(doc_id, name, id, kind, new): a known node of the document for each name, else one of the type it suggests."""
-    docs = known.select("doc_id", "id", F.col("name").alias("_known"), "seq")
-    vocabulary = docs.groupBy("doc_id", F.col("_known").alias("known")).agg(F.min("seq").alias("seq"))
-    match = resolve_fuzzy(names, vocabulary, 0.85, numeric_guard, by=("doc_id",)).select("doc_id", "name", "match")
-    hit = names.join(match, ["doc_id", "name"], "left").join(docs.withColumnRenamed("_known", "match"), ["doc_id", "match"], "left")
-    first = G.first_of(hit, ["doc_id", "name"], ["seq"])
+def _written(nodes: DataFrame, writes: DataFrame) -> DataFrame:
+    """``nodes`` with their properties after all writes (doc_id, id, key, value, adds, at) in the order of ``at``: a write sets its
+    property, or (``adds``) is put behind what is there, with a semicolon."""
+    begun = nodes.select("doc_id", "id", F.explode("properties").alias("key", "value")).withColumn("adds", F.lit(False)).withColumn("at", F.struct(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("i")))
+    touched = writes.select("doc_id", "id", "key").distinct()
+    rows = writes.unionByName(begun.join(touched, ["doc_id", "id", "key"], "left_semi"))
+    entry = F.struct("at", "value")
+    folded = rows.groupBy("doc_id", "id", "key").agg(F.max(F.when(~F.col("adds"), entry)).alias("s"), F.array_sort(F.collect_list(F.when(F.col("adds"), entry))).alias("a"))
+    later = F.transform(F.filter("a", lambda x: F.col("s").isNull() | (x["at"] > F.col("s.at"))), lambda x: x["value"])
+    value = F.array_join(F.concat(F.when(F.col("s").isNull(), F.array().cast("array<string>")).otherwise(F.array("s.value")), later), "; ")
+    maps = folded.withColumn("value", value).groupBy("doc_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_more"))
+    out = nodes.join(maps, ["doc_id", "id"], "left")
+    old = F.map_filter("properties", lambda k, _: ~F.coalesce(F.map_contains_key(F.col("_more"), k), F.lit(False)))
+    return out.withColumn("properties", F.when(F.col("_more").isNull(), F.col("properties")).otherwise(F.map_concat(old, "_more"))).select(*NODE)
+
+
+def _in_turn(uses: DataFrame, known: DataFrame, guard: bool, stage: int) -> tuple[DataFrame, DataFrame]:
+    """(uses (doc_id, name, at) with id, nodes of the new names)."""
     kind = G.inferred_type(F.col("name"))
-    return kept(first.select("doc_id", "name", F.coalesce("id", F.when(kind.isNotNull(), G.node_id(kind, F.lower("name")))).alias("id"), kind.alias("kind"), F.col("id").isNull().alias("new")))
+    ids, new = resolve_in_turn(uses, known, kind, G.node_id(kind, F.lower("name")), "doc_id", 0.85, guard)
+    seq = (F.lit(stage * 1_000_000_000) + F.col("at")).cast("long").alias("seq")
+    return kept(ids), new.select("doc_id", "id", F.trim("name").alias("name"), F.col("kind").alias("type"), _map(source=F.lit("Inferred_Strict_Schema")).alias("properties"), seq)
 
 
 def _statements(base: DataFrame, known: DataFrame, drug_id: Column, guard: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and properties (doc_id, id, key, value, _i) of subject-predicate-object statements."""
+    """Nodes, edges and writes of subject-predicate-object statements, in their order, subjects before objects."""
     rel = base.select("doc_id", "_study", F.posexplode("semantic_relationships.relationships").alias("_i", "r")).select("doc_id", "_study", "_i", "r.*").where("subject <> '' AND predicate <> '' AND object <> ''")
     rel = rel.withColumn("_m", G.merge_target(F.col("object")))
-    owned = rel.where("_m IS NOT NULL").select("doc_id", F.when(F.col("_m.owner") == "study", F.col("_study")).otherwise(drug_id).alias("id"), F.col("_m.key").alias("key"), F.col("object").alias("value"), "_i")
+    at = F.struct(F.lit(6).alias("stage"), F.col("_i").cast("long").alias("i")).alias("at")
+    owned = rel.where("_m IS NOT NULL").select("doc_id", F.when(F.col("_m.owner") == "study", F.col("_study")).otherwise(drug_id).alias("id"), F.col("_m.key").alias("key"), F.col("object").alias("value"), F.lit(True).alias("adds"), at)
     rest = rel.where("_m IS NULL")
     digit = F.col("object").rlike(r"^\d")
-    names = rest.select("doc_id", F.col("subject").alias("name")).union(rest.where(~digit).select("doc_id", "object")).distinct()
-    ids = _resolved(names, known, guard)
-    s = ids.select("doc_id", F.col("name").alias("subject"), F.col("id").alias("_s"))
-    o = ids.select("doc_id", F.col("name").alias("object"), F.col("id").alias("_o"))
-    both = rest.join(s, ["doc_id", "subject"], "left").join(o, ["doc_id", "object"], "left")
-    numbers = both.where(digit & F.col("_s").isNotNull()).select("doc_id", F.col("_s").alias("id"), G.property_key(F.col("predicate")).alias("key"), F.col("object").alias("value"), "_i")
-    new = ids.where("new AND id IS NOT NULL")
-    nodes = new.select("doc_id", "id", F.trim("name").alias("name"), F.col("kind").alias("type"), _map(source=F.lit("Inferred_Strict_Schema")).alias("properties"), F.lit(6_000_000_000).alias("seq"))
+    turn = lambda k: (F.col("_i").cast("long") * 2 + k).alias("at")
+    uses = rest.select("doc_id", F.col("subject").alias("name"), turn(0)).union(rest.where(~digit).select("doc_id", "object", turn(1)))
+    ids, nodes = _in_turn(uses, known, guard, 6)
+    s, o = (ids.where(F.col("at") % 2 == k).select("doc_id", F.floor(F.col("at") / 2).cast("int").alias("_i"), F.col("id").alias(c)) for k, c in ((0, "_s"), (1, "_o")))
+    both = rest.join(s, ["doc_id", "_i"], "left").join(o, ["doc_id", "_i"], "left")
+    numbers = both.where(digit & F.col("_s").isNotNull()).select("doc_id", F.col("_s").alias("id"), G.property_key(F.col("predicate")).alias("key"), F.col("object").alias("value"), F.lit(False).alias("adds"), at)
     conf = F.coalesce(F.col("confidence").cast("string"), F.lit("Inferred"))
     linked = both.where(~digit & F.col("_s").isNotNull() & F.col("_o").isNotNull())
     edges = _edge(linked, 6, F.col("_s"), F.col("_o"), G.predicate_type(F.col("predicate")), _map(source=F.lit(STATEMENT_SOURCE), confidence=conf, original_predicate=F.col("predicate")), F.col("_i"))
@@ -139,17 +148,18 @@ def _statements(base: DataFrame, known: DataFrame, drug_id: Column, guard: bool)
 
 
 def _expression(base: DataFrame, known: DataFrame, expression: DataFrame, drug_id: Column, guard: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Significant genes become properties of their nodes; strong changes also edges from the drug."""
-    genes = expression.where("p_value < 0.05 AND symbol <> ''")
-    rows = base.select("doc_id").join(genes, "doc_id")
-    ids = _resolved(rows.select("doc_id", F.col("symbol").alias("name")).distinct(), known, guard)
-    hit = rows.join(ids.withColumnRenamed("name", "symbol"), ["doc_id", "symbol"]).where("id IS NOT NULL")
-    props = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in (("log2fc", F.col("log2fc")), ("p_value", F.col("p_value")), ("padj", F.col("padj")), ("transcriptomics_source", F.lit("External_Experiment")))])
-    extra = hit.select("doc_id", "id", F.explode(props).alias("p")).select("doc_id", "id", "p.key", F.coalesce("p.value", F.lit("")).alias("value"), F.lit(0).alias("_i"))
-    nodes = hit.where("new").select("doc_id", "id", F.col("symbol").alias("name"), F.col("kind").alias("type"), _map(source=F.lit("Inferred_Strict_Schema")).alias("properties"), F.lit(7_000_000_000).alias("seq"))
+    """Significant genes become properties of their nodes; strong changes also edges from the drug. Rows are taken by ``row`` if the
+    table has it, else by symbol and figures; of two symbols of one node the later writes its properties."""
+    order = ["row"] if "row" in expression.columns else ["symbol", "log2fc", "p_value", "padj"]
+    genes = expression.where("p_value < 0.05 AND symbol <> ''").withColumn("at", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)).cast("long"))
+    rows = kept(base.select("doc_id").join(genes, "doc_id"))
+    ids, nodes = _in_turn(rows.select("doc_id", F.col("symbol").alias("name"), "at"), known, guard, 7)
+    hit = rows.join(ids.select("doc_id", "at", "id"), ["doc_id", "at"]).where("id IS NOT NULL")
+    props = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(v.cast("string"), F.lit("")).alias("value")) for k, v in (("log2fc", F.col("log2fc")), ("p_value", F.col("p_value")), ("padj", F.col("padj")), ("transcriptomics_source", F.lit("External_Experiment")))])
+    writes = hit.select("doc_id", "id", F.explode(props).alias("p"), F.struct(F.lit(7).alias("stage"), F.col("at").alias("i")).alias("at")).select("doc_id", "id", "p.key", "p.value", F.lit(False).alias("adds"), "at")
     kind = F.when(F.col("log2fc") > 0, "upregulates").otherwise("downregulates")
-    edges = _edge(hit.where("abs(log2fc) > 1"), 7, drug_id, F.col("id"), kind, _map(source=F.lit("Transcriptomics_Analysis"), confidence=F.lit("High"), log2fc=F.col("log2fc")))
-    return nodes, edges, extra.dropDuplicates(["doc_id", "id", "key"])
+    edges = _edge(hit.where("abs(log2fc) > 1"), 7, drug_id, F.col("id"), kind, _map(source=F.lit("Transcriptomics_Analysis"), confidence=F.lit("High"), log2fc=F.col("log2fc")), F.col("at"))
+    return nodes, edges, writes
 
 
 def genes(spark) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import rules
 from evigraph.functions.cleaning import title
+from evigraph.operators.store import kept
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 -"
 
@@ -29,26 +30,34 @@ def resolve_exact(names: DataFrame, known: DataFrame, name: str = "name", by: tu
     return names.withColumn("_k", F.lower(F.trim(name))).join(k, [*by, "_k"], "left").drop("_k")
 
 
-def resolve_fuzzy(names: DataFrame, known: DataFrame, threshold: float = 0.85, numeric_guard: bool = False, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, name, match, score): each distinct name's best known name of at least ``threshold``, exact ones with 1. Names meet
-    only known names with equal columns ``by``, such as those of their document.
-
-    The score is that of difflib's SequenceMatcher on lower-cased, trimmed names; ties go to the smaller seq. Candidates have
-    lengths, and common characters, that allow the threshold; pairs are joined on length and cut by characters before they are
-    scored in Arrow batches. With ``numeric_guard`` names with different digits never match.
-    """
-    q = names.select(*by, F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct()
-    exact = resolve_exact(q, known, by=by)
-    done = exact.where("match IS NOT NULL").select(*by, "name", "match", F.lit(1.0).alias("score"))
-    rest = exact.where("match IS NULL").select(*by, "name", F.lower(F.trim("name")).alias("q"), F.length(F.trim("name")).alias("lq")).withColumn("cq", _letters("q"))
-    k = known.select(*by, "known", "seq", F.lower(F.trim("known")).alias("k"), F.length(F.trim("known")).alias("lk")).withColumn("ck", _letters("k"))
-    # 2 * min(lq, lk) / (lq + lk) bounds the score: a name meets only lengths near its own
+def _indexed(names: DataFrame, text: str, threshold: float, by: tuple[str, ...], counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, counts): for each text its rarest pairs of neighbouring characters, enough that two texts with the ratio share one.
+
+    Matches are th * T / 2 of the T characters of both at least, in blocks that an unmatched character parts, so T * (1.5 th - 1) - 1 pairs
+    of characters are common; repeats of a pair are numbered. Texts too short for one common pair are posted under an empty one as well."""
+    t = F.col(text)
+    pairs = F.when(F.length(t) > 1, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: t.substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    numbered = F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    least = F.ceil(F.length(t) * (1 + threshold / (2 - threshold)) * (1.5 * threshold - 1) - 1 - 1e-9)
+    own = names.select(*by, text).distinct().withColumn("_p", numbered).withColumn("_need", F.size("_p") - F.greatest(least, F.lit(1)) + 1).withColumn("_short", least < 1)
+    every = own.select(*by, text, "_need", F.explode(F.when(F.col("_short"), F.concat("_p", F.array(F.lit("")))).otherwise(F.col("_p"))).alias("_g"))
+    counts = every.groupBy("_g").agg(F.count("*").alias("_many")) if counts is None else counts
+    rare = W.partitionBy(*by, text).orderBy(F.col("_g") != "", F.coalesce("_many", F.lit(0)), "_g")
+    ranked = every.join(counts, "_g", "left").withColumn("_rn", F.row_number().over(rare))
+    return ranked.where("_rn <= _need OR _g = ''").select(*by, text, "_g"), counts
+
+
+def _scored(q: DataFrame, k: DataFrame, threshold: float, numeric_guard: bool, by: tuple[str, ...]) -> DataFrame:
+    """(*by, q, k, score) of texts q and other texts k, lower-cased and trimmed, with at least the threshold."""
+    listed, counts = _indexed(k, "k", threshold, by)
+    asked, _ = _indexed(q, "q", threshold, by, counts)
+    pairs = asked.join(listed, [*by, "_g"]).where("q <> k").select(*by, "q", "k").distinct()
     far = threshold / (2 - threshold)
-    reach = rest.withColumn("lk", F.explode(F.sequence(F.ceil(F.col("lq") * far).cast("int"), F.floor(F.col("lq") / far).cast("int"))))
-    common = F.aggregate(F.zip_with("cq", "ck", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    pairs = reach.join(k, [*by, "lk"]).where(2 * common >= threshold * (F.col("lq") + F.col("lk")) - 1e-9)
+    near = pairs.where((F.length("k") >= F.length("q") * far - 1e-9) & (F.length("q") >= F.length("k") * far - 1e-9))
     if numeric_guard:
-        pairs = pairs.where(F.regexp_replace("q", "[^0-9]", "") == F.regexp_replace("k", "[^0-9]", ""))
+        near = near.where(F.regexp_replace("q", "[^0-9]", "") == F.regexp_replace("k", "[^0-9]", ""))
+    common = F.aggregate(F.zip_with(_letters("q"), _letters("k"), lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    near = near.where(2 * common >= threshold * (F.length("q") + F.length("k")) - 1e-9)
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -56,12 +65,88 @@ def resolve_fuzzy(names: DataFrame, known: DataFrame, threshold: float = 0.85, n
             for a, b in zip(p["q"], p["k"]):
                 m = SequenceMatcher(None, a, b)
                 s.append(m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0)
-            yield p.assign(score=s)[[*by, "name", "known", "seq", "score"]].query("score >= @threshold")
+            yield p.assign(score=s).query("score >= @threshold")
+
+    kinds = dict(q.dtypes)
+    return near.mapInPandas(score, "".join(f"`{c}` {kinds[c]}, " for c in by) + "q string, k string, score double")
+
+
+def _plain(c: str) -> Column:
+    return F.lower(F.trim(c))
+
+
+def similar(names: DataFrame, known: DataFrame, threshold: float = 0.85, numeric_guard: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, name, known, score): all pairs of a name and a known one with at least ``threshold``; the same but for case and space around is 1."""
+    q = names.select(*by, "name", _plain("name").alias("q")).where("q IS NOT NULL").distinct()
+    k = known.select(*by, "known", _plain("known").alias("k")).where("k IS NOT NULL").distinct()
+    same = q.join(k.withColumn("q", F.col("k")), [*by, "q"]).select(*by, "name", "known", F.lit(1.0).alias("score"))
+    found = _scored(q.select(*by, "q").distinct(), k.select(*by, "k").distinct(), threshold, numeric_guard, by)
+    return same.unionByName(q.join(found, [*by, "q"]).join(k, [*by, "k"]).select(*by, "name", "known", "score"))
+
 
-    kinds = dict(rest.dtypes) | {"seq": dict(k.dtypes)["seq"]}
-    scored = pairs.select(*by, "name", "q", "known", "k", "seq").mapInPandas(score, "".join(f"`{c}` {kinds[c]}, " for c in by) + f"name string, known string, seq {kinds['seq']}, score double")
-    best = scored.groupBy(*by, "name").agg(F.max_by("known", F.struct("score", -F.col("seq"))).alias("match"), F.max("score").alias("score"))
-    return done.unionByName(best)
+def resolve_fuzzy(names: DataFrame, known: DataFrame, threshold: float = 0.85, numeric_guard: bool = False, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, name, match, score): each distinct name's best known name of at least ``threshold``, exact ones with 1. Names meet
+    only known names with equal columns ``by``, such as those of their document.
+
+    The score is that of difflib's SequenceMatcher on lower-cased, trimmed names; ties go to the smaller seq. Candidates share one of
+    the rare pairs of characters that two names of that score must share, and have lengths and characters that allow it; they
+    are scored in Arrow batches. With ``numeric_guard`` names with different digits never match.
+    """
+    q = names.select(*by, F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct()
+    exact = resolve_exact(q, known, by=by)
+    done = exact.where("match IS NOT NULL").select(*by, "name", "match", F.lit(1.0).alias("score"))
+    rest = exact.where("match IS NULL").select(*by, "name", _plain("name").alias("q"))
+    k = known.groupBy(*by, _plain("known").alias("k")).agg(F.min_by("known", "seq").alias("known"), F.min("seq").alias("seq"))
+    found = _scored(rest.select(*by, "q").distinct(), k.select(*by, "k"), threshold, numeric_guard, by).join(k, [*by, "k"])
+    best = found.groupBy(*by, "q").agg(F.max_by("known", F.struct("score", -F.col("seq"))).alias("match"), F.max("score").alias("score"))
+    return done.unionByName(rest.join(best, [*by, "q"]).select(*by, "name", "match", "score"))
+
+
+def resolve_in_turn(uses: DataFrame, known: DataFrame, new_kind: Column, new_id: Column, by: str = "doc_id", threshold: float = 0.85, numeric_guard: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Names resolved one after another, where a name that nothing resembles becomes known to those after it.
+
+    ``uses`` (by, name, at) are mentions in the order of ``at``, ``known`` (by, id, name, seq) what is there before them; ``new_kind`` and
+    ``new_id`` say of a column ``name`` which kind and id a new one has (no kind: it becomes nothing). A mention takes the best known name
+    of at least ``threshold`` (1 where they are the same but for case and space around; of equal ones the first that came); if there is
+    none, it is its new id, and known from then on unless that id is.
+
+    Returns (uses with id, made): made (by, id, name, kind, at) are the new ones. All keys meet at once: of the names that may be new, those
+    without an earlier one they resemble are, what resembles them is not, and the rest is looked at again, so the rounds are as many as the
+    longest chain of names that resemble the next. Null names have no id; mentions of one place are taken by name.
+    """
+    first = kept(uses.where("name IS NOT NULL").groupBy(by, "name").agg(F.min("at").alias("first")).withColumn("kind", new_kind).withColumn("new", F.when(F.col("kind").isNotNull(), new_id)))
+    there = known.groupBy(by, "name").agg(F.min_by("id", "seq").alias("id"), F.min("seq").alias("seq"))
+    words = there.select(by, F.col("name").alias("known")).union(first.where("kind IS NOT NULL").select(by, "name")).distinct()
+    alike = kept(similar(first.select(by, "name"), words, threshold, numeric_guard, (by,)))
+    old = kept(alike.join(there.withColumnRenamed("name", "known"), [by, "known"]).select(by, "name", "score", "id", "seq"))
+    open_ = first.where("kind IS NOT NULL").join(old.select(by, "name").distinct(), [by, "name"], "left_anti")
+    open_ = kept(open_.join(known.select(by, F.col("id").alias("new")).distinct(), [by, "new"], "left_anti").select(by, "name", "first", "kind", "new"))
+    # pairs of which the second can't be new if the first is
+    a, b = open_.alias("a"), open_.alias("b")
+    earlier = F.struct("a.first", "a.name") < F.struct("b.first", "b.name")
+    close = alike.alias("x").join(a, (F.col(f"x.{by}") == F.col(f"a.{by}")) & (F.col("x.known") == F.col("a.name"))).join(b, (F.col(f"x.{by}") == F.col(f"b.{by}")) & (F.col("x.name") == F.col("b.name")))
+    same = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.new") == F.col("b.new")))
+    pairs = kept(close.where(earlier).select(F.col(f"a.{by}").alias(by), F.col("a.name").alias("head"), F.col("b.name").alias("name")).union(same.where(earlier).select(f"a.{by}", "a.name", "b.name")).distinct())
+    made, left = [], open_
+    while True:
+        heads = kept(left.join(pairs.select(by, "name").distinct(), [by, "name"], "left_anti"))
+        made.append(heads)
+        if pairs.isEmpty():
+            break
+        gone = pairs.join(heads.select(by, F.col("name").alias("head")), [by, "head"], "left_semi").select(by, "name").distinct()
+        left = kept(left.join(heads.select(by, "name").union(gone), [by, "name"], "left_anti"))
+        stays = left.select(by, "name")
+        pairs = kept(pairs.join(stays, [by, "name"], "left_semi").join(stays.withColumnRenamed("name", "head"), [by, "head"], "left_semi"))
+    new = made[0]
+    for more in made[1:]:
+        new = new.unionByName(more)
+    new = kept(new.select(by, F.col("new").alias("id"), "name", "kind", F.col("first").alias("at")))
+    # what a mention may take: the known, and the new ones from before it
+    late = alike.join(new.select(by, F.col("name").alias("known"), "id", F.col("at").alias("since")), [by, "known"]).select(by, "name", "score", "id", F.col("since").alias("seq"), "since")
+    choices = old.withColumn("since", F.lit(None).cast(dict(uses.dtypes)["at"])).withColumn("fresh", F.lit(0)).unionByName(late.withColumn("fresh", F.lit(1)))
+    taken = uses.join(choices, [by, "name"]).where("since IS NULL OR since < at").groupBy(by, "name", "at").agg(F.min_by("id", F.struct(-F.col("score"), "fresh", "seq", "id")).alias("id"))
+    out = uses.join(taken, [by, "name", "at"], "left").join(first.select(by, "name", "new"), [by, "name"], "left")
+    return out.withColumn("id", F.coalesce("id", "new")).drop("new"), new
 
 
 def ground(df: DataFrame, term: str, category: str) -> DataFrame:

@@ -46,8 +46,9 @@ def by_keyword(chunks: DataFrame, word: str, k: int = 5) -> DataFrame:
 
 
 def adjacent(chunks: DataFrame, wanted: DataFrame, window: int = 1) -> DataFrame:
-    """Chunks within ``window`` of the wanted (doc_id, chunk_index), these included."""
-    near = wanted.select("doc_id", F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)).alias("chunk_index")).distinct()
+    """Chunks within ``window`` of a wanted (doc_id, chunk_index), but not that one itself; another wanted one may bring it in."""
+    around = F.array(*[F.col("chunk_index") + d for d in range(-window, window + 1) if d])
+    near = wanted.select("doc_id", F.explode(around).alias("chunk_index")).distinct()
     return chunks.join(near, ["doc_id", "chunk_index"], "left_semi")
 
 

@@ -63,7 +63,7 @@ b AS (SELECT doc_id, n, r || ' U/L' AS v FROM d, (VALUES (0, 'ALP'), (1, 'ALT'))
 
 @query(
     f"""WITH {_BASE}
-SELECT doc_id, 'study:' || sid AS id, sid AS name, 'Clinical Study' AS type, 'Phase ' || r AS said, (SELECT string_agg(CASE WHEN c_custkey % 3 = 0 THEN '10%' ELSE '20%' END, '; ' ORDER BY c_custkey) FROM a WHERE a.doc_id = d.doc_id AND term = 'All TEAEs') AS sums FROM d
+SELECT doc_id, 'study:' || sid AS id, sid AS name, 'Clinical Study' AS type, 'Phase ' || r AS said, (SELECT arg_max(CASE WHEN c_custkey % 3 = 0 THEN '10%' ELSE '20%' END, c_custkey) FROM a WHERE a.doc_id = d.doc_id AND term = 'All TEAEs') AS sums FROM d
 UNION ALL SELECT doc_id, 'drug:belix', 'Belix', 'Drug', 'Small Molecule', NULL FROM d
 UNION ALL SELECT doc_id, 'ae:' || replace(lower(grounded), ' ', '_'), grounded, 'Adverse Event', term, NULL FROM f
 UNION ALL SELECT doc_id, 'biomarker:' || lower(n), n, 'Biomarker', v, NULL FROM b
@@ -109,6 +109,47 @@ def statement_properties(t: Tables) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.max(F.col("properties")["dose"]).alias("dose"), F.max(F.col("properties")["study_statistic"]).alias("study_statistic"))
 
 
+_SPELLINGS = ["Renal toxicity", "renal Toxicity", "Renal toxicities", "Hepatic pain", "Hepatic pains", "Unheard of", "HDACs", "hepatic pain"]
+
+
+def _mentions(t: Tables) -> DataFrame:
+    """Each customer is a statement of its nation: names that few letters part, and the doses and remarks said of them."""
+    k = F.col("c_custkey")
+    said = F.struct(k.alias("o"), _pick(_SPELLINGS, k).alias("subject"), F.when(k % 3 == 0, "has_dose").otherwise("causes").alias("predicate"), F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(" mg"))).when(k % 3 == 1, _pick(_SPELLINGS, F.floor(k / 8))).otherwise(F.concat(F.lit("Study treatment "), k)).alias("object"), F.lit(None).cast("string").alias("confidence"))
+    rows = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(said)).alias("relationships"))
+    return _records(t).drop("semantic_relationships").join(rows, "doc_id").withColumn("semantic_relationships", F.struct(F.transform("relationships", lambda r: r.dropFields("o")).alias("relationships"))).drop("relationships")
+
+
+_MENTIONS = """s AS (SELECT c_nationkey::BIGINT AS doc_id, c_custkey AS k, list_value('Renal toxicity', 'renal Toxicity', 'Renal toxicities', 'Hepatic pain', 'Hepatic pains', 'Unheard of', 'HDACs', 'hepatic pain') AS w FROM customer),
+m AS (SELECT doc_id, k, 0 AS side, w[k % 8 + 1] AS name FROM s WHERE k % 3 <> 2 UNION ALL SELECT doc_id, k, 1, w[(k // 8) % 8 + 1] FROM s WHERE k % 3 = 1),
+n AS (SELECT *, CASE lower(name[1]) WHEN 'r' THEN 'r' WHEN 'u' THEN 'u' ELSE CASE WHEN name = 'HDACs' THEN 't' ELSE 'h' END END AS kin FROM m),
+f AS (SELECT doc_id, kin, arg_min(name, k * 2 + side) AS lead, min(k * 2 + side) AS since FROM n WHERE name <> 'Renal toxicities' GROUP BY ALL),
+g AS (SELECT n.doc_id, k, side, CASE n.kin WHEN 't' THEN 'target:hdac' WHEN 'u' THEN NULL ELSE CASE WHEN since <= k * 2 + side THEN 'adverse_event:' || replace(lower(lead), ' ', '_') END END AS id FROM n LEFT JOIN f ON f.doc_id = n.doc_id AND f.kin = n.kin)"""
+
+
+@query(
+    f"""WITH {_MENTIONS}
+SELECT a.doc_id, a.id AS source_id, b.id AS target_id, count(*)::BIGINT AS n FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.k = b.k AND a.side = 0 AND b.side = 1
+WHERE a.id IS NOT NULL AND b.id IS NOT NULL GROUP BY ALL"""
+)
+def names_in_turn(t: Tables) -> DataFrame:
+    """New names of a document become known in the order of its statements, so of several spellings the first gives the node; one that
+    names no kind of node is nothing until a spelling of it is known."""
+    e = B.build(_mentions(t), "Belix").edges.where(F.col("properties")["source"] == B.STATEMENT_SOURCE)
+    return e.groupBy("doc_id", "source_id", "target_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_MENTIONS}, d AS (SELECT doc_id, id, max(k) AS k FROM g WHERE side = 0 AND k % 3 = 0 AND id IS NOT NULL GROUP BY ALL), o AS (SELECT doc_id, string_agg('Study treatment ' || k, '; ' ORDER BY k) AS v FROM s WHERE k % 3 = 2 GROUP BY ALL)
+SELECT doc_id, id, 'dose' AS key, k || ' mg' AS value FROM d
+UNION ALL SELECT doc_id, 'study:' || CASE WHEN doc_id % 5 = 0 THEN 'unknown_study' ELSE 'CLN-' || doc_id END, 'study_statistic', v FROM o"""
+)
+def properties_in_turn(t: Tables) -> DataFrame:
+    """Of numbers said of one node the last stays; remarks on the study are put one behind the other."""
+    nodes = B.build(_mentions(t), "Belix").nodes.select("doc_id", "id", F.explode("properties").alias("key", "value"))
+    return nodes.where("key IN ('dose', 'study_statistic')")
+
+
 def _expression(t: Tables) -> DataFrame:
     genes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("symbol")) for i, g in enumerate(("HDAC", "egfr gene", "XYZ", "HDACs"))])).alias("g")
     rows = t.nation.select(F.col("n_nationkey").cast("long").alias("doc_id"), genes).select("doc_id", "g.*")

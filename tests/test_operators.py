@@ -38,9 +38,10 @@ def test_statements(spark):
 
 def test_names_resolve_in_their_own_document(spark):
     names = spark.createDataFrame([(1, "Anaemia"), (1, "NAUSEA")], "doc_id int, name string")
+    uses = names.withColumn("at", F.length("name").cast("long"))
     known = [(1, "ae:anemia", "Anemia", 0), (1, "ae:nausea", "Nausea", 2), (2, "ae:anaemia", "Anaemia", 0), (2, "ae:nausea", "nausea", 1)]
-    got = builder._resolved(names, spark.createDataFrame(known, "doc_id int, id string, name string, seq int"), False).collect()
-    assert {(r["doc_id"], r["name"], r["id"], r["new"]) for r in got} == {(1, "Anaemia", "ae:anemia", False), (1, "NAUSEA", "ae:nausea", False)}
+    got = builder._in_turn(uses, spark.createDataFrame(known, "doc_id int, id string, name string, seq int"), False, 6)[0].collect()
+    assert {(r["doc_id"], r["name"], r["id"]) for r in got} == {(1, "Anaemia", "ae:anemia"), (1, "NAUSEA", "ae:nausea")}
 
 
 def test_fuzzy_resolution_by_group(spark):
@@ -162,7 +163,7 @@ def test_retrieval(spark):
     assert [r["ref"] for r in retrieval.unresolved(chunks).collect()] == ["section 9.9"]
     assert [r["chunk_index"] for r in retrieval.by_keyword(chunks, "liver", 1).collect()] == [0]
     assert retrieval.summary_text(chunks).first()["summary"] == "A: 2 chunks (0-2)\nB: 1 chunks (1-1)"
-    assert sorted(r["chunk_index"] for r in retrieval.adjacent(chunks, spark.createDataFrame([(1, 0)], "doc_id int, chunk_index int")).collect()) == [0, 1]
+    assert sorted(r["chunk_index"] for r in retrieval.adjacent(chunks, spark.createDataFrame([(1, 0)], "doc_id int, chunk_index int")).collect()) == [1]
 
 
 def test_sinks(spark, tmp_path):
