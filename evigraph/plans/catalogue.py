@@ -653,5 +653,22 @@ def stream_session_timeout(t: Tables) -> DataFrame:
     return progress.session_timeouts(t.spark, f"{t.dir}/events.parquet", "user_id", "ts", 600)
 
 
+@query(
+    """WITH e AS (SELECT user_id, event_id, ts, event_type, props, row_number() OVER w AS i, ts - lag(ts) OVER w > INTERVAL 1 DAY AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, coalesce(min(i) FILTER (event_type = 'purchase'), 1000000000) AS done, coalesce(min(i) FILTER (late), 1000000000) AS late, max(ts) AS last, max(i) AS n FROM e GROUP BY user_id),
+t AS (SELECT *, CASE WHEN late <= done AND late <= n THEN true WHEN done <= n THEN false ELSE last + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) END AS silent, least(done, late, n + 1) - 1 AS sent FROM s),
+f AS (SELECT user_id AS session, 0::BIGINT AS no, 'ping' AS event, '{"session_id": ' || user_id || '}' AS data FROM t
+UNION ALL SELECT user_id, i, event_type, props FROM e JOIN t USING (user_id) WHERE i <= sent
+UNION ALL SELECT user_id, sent + 1, 'pipeline_error', '{"message": "Silent for a day."}' FROM t WHERE silent)
+SELECT *, 'event: ' || event || chr(10) || 'data: ' || coalesce(data, 'null') || chr(10) || chr(10) AS frame FROM f"""
+)
+def stream_session_frames(t: Tables) -> DataFrame:
+    """What each session is sent: a greeting, its events up to the end or the first day of silence, and then the error."""
+    from evigraph.streaming import progress, sessions
+
+    rows = progress.event_stream(t.spark, f"{t.dir}/events.parquet").withColumn("event_type", F.when(F.col("event_type") == "purchase", sessions.DONE).otherwise(F.col("event_type")))
+    return sessions.frames_to_end(rows, "user_id", "ts", "event_id", "event_type", "props", silence=86_400, keep=10**8, complaint="Silent for a day.")
+
+
 # The other groups of queries register themselves.
 from evigraph.plans import answers, graphs, snippets  # noqa: E402, F401

@@ -28,6 +28,21 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+#: Timers and states of several columns need a state store that holds them on disk.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(df: DataFrame, mode: str) -> DataFrame:
+    """As ``_run``, with the state store that timers need; the session's own choice is back when it ends."""
+    conf, was = df.sparkSession.conf, df.sparkSession.conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ON_DISK)
+    try:
+        return _run(df, mode)
+    finally:
+        conf.set(STATE_STORE, was) if was else conf.unset(STATE_STORE)
+
+
 def _run(df: DataFrame, mode: str) -> DataFrame:
     """The rows that a query has given when all of the input is read, from a table in the shared folder."""
     spark = df.sparkSession
