@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from evigraph.operators import nested
 from evigraph.operators import records as A
 from evigraph.plans.catalogue import Tables, query
 
@@ -95,3 +97,42 @@ def matrix_columns(t: Tables) -> DataFrame:
     cells = t.lineitem.select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.col("l_quantity").alias("value"))
     wanted = t.supplier.where("s_nationkey < 12").select("s_suppkey").union(t.nation.select((F.col("n_nationkey") + 10**9).cast("long")))
     return A.matrix_columns(cells, wanted, "col", "s_suppkey").select("row", "col", "value")
+
+
+_TEXT = T.StringType()
+_RECORD = T.StructType([
+    T.StructField("study_metadata", T.StructType([T.StructField("sponsor", _TEXT, metadata={"default": "not asked"}), T.StructField("protocol_ids", T.ArrayType(_TEXT))])),
+    T.StructField("safety_data", T.StructType([T.StructField("adverse_events", T.ArrayType(T.StructType([T.StructField("term", _TEXT), T.StructField("grade", T.LongType())]))), T.StructField("serious", T.BooleanType()), T.StructField("deaths", T.LongType())])),
+    T.StructField("preclinical_toxicology", T.StructType([T.StructField("species", _TEXT)])),
+    T.StructField("genotoxicity", T.StructType([T.StructField("genotoxicity_in_vitro", _TEXT)])),
+])
+
+
+@query(
+    """WITH e AS (SELECT *, coalesce(value, 0) AS v FROM events), u AS (SELECT DISTINCT user_id FROM events),
+p AS (SELECT user_id, x, min((event_id, i)) AS f FROM (SELECT user_id, event_id, unnest(['P' || event_id % 3, 'P' || event_id % 5]) AS x, unnest([0, 1]) AS i FROM e WHERE event_type = 'signup') GROUP BY ALL),
+a AS (SELECT user_id, 'T' || event_id % 4 || ':' || event_id % 3 AS x, min(event_id) AS f FROM e WHERE event_type = 'error' GROUP BY ALL),
+s AS (SELECT user_id, coalesce(arg_min('S' || floor(v / 100)::BIGINT, event_id) FILTER (v >= 250), max('Not Found'), 'not asked') AS sponsor FROM (SELECT * FROM e WHERE event_type = 'signup') GROUP BY user_id),
+d AS (SELECT user_id, arg_min(CASE event_type WHEN 'error' THEN event_id % 50 ELSE event_id % 7 END, event_id)::BIGINT AS deaths FROM e WHERE event_type IN ('error', 'view') GROUP BY user_id),
+c AS (SELECT user_id, bool_or(v > 400) FILTER (event_type = 'error') AS serious, CASE WHEN count(*) FILTER (event_type = 'click') > 0 THEN 'Rat' END AS species, CASE WHEN count(*) FILTER (event_type = 'click' AND v < 100) > 0 THEN 'Negative' END AS in_vitro,
+  arg_min(json_extract_string(props, '$.k'), event_id) FILTER (event_type = 'view' AND json_extract_string(props, '$.k') IS NOT NULL) AS other FROM e GROUP BY user_id)
+SELECT u.user_id AS doc_id, coalesce(sponsor, 'not asked') AS sponsor, coalesce((SELECT string_agg(x, ',' ORDER BY f) FROM p WHERE p.user_id = u.user_id), '') AS protocol_ids, coalesce((SELECT string_agg(x, ',' ORDER BY f) FROM a WHERE a.user_id = u.user_id), '') AS adverse_events,
+serious, deaths, species, in_vitro, other FROM u JOIN c USING (user_id) LEFT JOIN s USING (user_id) LEFT JOIN d USING (user_id)"""
+)
+def nested_records(t: Tables) -> DataFrame:
+    """Each event is an answer about a section of its user's record: lists united, flags and first values merged, defaults, and what the schema lacks."""
+    n, v, kind = F.col("event_id"), F.coalesce("value", F.lit(0.0)), F.col("event_type")
+    p = lambda k: F.concat(F.lit("P"), n % k)
+    signup = F.to_json(F.struct(F.when(v < 250, F.lit("Not Found")).otherwise(F.concat(F.lit("S"), F.floor(v / 100))).alias("sponsor"), F.array(p(3), p(5)).alias("protocol_ids")))
+    error = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("T"), n % 4).alias("term"), (n % 3).alias("grade"))).alias("adverse_events"), (v > 400).alias("serious"), (n % 50).alias("deaths")))
+    click = F.to_json(F.struct(F.lit("Rat").alias("species"), F.when(v < 100, F.lit("Negative")).otherwise(F.lit("Not Found")).alias("genotoxicity_in_vitro")))
+    view = F.concat(F.lit('Found this:\n```json\n{"safety_data": {"deaths": '), n % 7, F.lit('}, "props": '), F.coalesce("props", F.lit("null")), F.lit("}\n```"))
+    section = F.when(kind == "signup", "Drug Overview").when(kind == "error", "Safety and Adverse Events").when(kind == "click", "Nonclinical Toxicology").otherwise("Other")
+    answer = F.when(kind == "signup", signup).when(kind == "error", error).when(kind == "click", click).when(kind == "view", view).otherwise("nothing found")
+    got = nested.nested_records(t.events.select(F.col("user_id").alias("doc_id"), n.alias("chunk_index"), section.alias("section"), answer.alias("answer")), _RECORD)
+    r = F.col("record")
+    events = F.transform(r["safety_data"]["adverse_events"], lambda x: F.concat(x["term"], F.lit(":"), x["grade"]))
+    return got.select(
+        "doc_id", r["study_metadata"]["sponsor"].alias("sponsor"), F.array_join(r["study_metadata"]["protocol_ids"], ",").alias("protocol_ids"), F.array_join(events, ",").alias("adverse_events"), r["safety_data"]["serious"].alias("serious"),
+        r["safety_data"]["deaths"].alias("deaths"), r["preclinical_toxicology"]["species"].alias("species"), r["genotoxicity"]["genotoxicity_in_vitro"].alias("in_vitro"), F.col("other")["props.k"].alias("other"),
+    )
