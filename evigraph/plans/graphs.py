@@ -250,3 +250,27 @@ def gated_graph(t: Tables) -> DataFrame:
     edges = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("source_id"), (k % 25).cast("int").alias("target_id"), F.when(k % 3 == 0, "tested_in").otherwise("upregulates").alias("type"))
     allowed = t.spark.createDataFrame([("Drug", "Target", "linked_to"), ("Target", "Drug", "tested_in")][:1], "source_type string, target_type string, type string")
     return G.pairs_allowed(G.gate_edges(edges, nodes), nodes, allowed).select("s_suppkey", "source_id", "target_id", "type", "allowed")
+
+
+_SEEN = ["anemia", "Nausea", "headache and FATIGUE", "nothing", "Vomiting; nausea"]
+_BOUND = ["HDAC1", "egfr", "no target", "VEGF and HDAC6"]
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id % 5 AS e, doc_id % 4 AS b FROM documents), n AS (
+SELECT doc_id, unnest(CASE e WHEN 0 THEN ['Anemia'] WHEN 1 THEN ['Nausea'] WHEN 2 THEN ['Headache', 'Fatigue'] WHEN 4 THEN ['Vomiting', 'Nausea'] ELSE [] END) AS name, 'Adverse Event' AS type, 'ae:' AS k FROM d
+UNION ALL SELECT doc_id, unnest(CASE b WHEN 0 THEN ['HDAC1'] WHEN 1 THEN ['EGFR'] WHEN 3 THEN ['VEGF', 'HDAC6'] ELSE [] END), 'Target', 'target:' FROM d
+UNION ALL SELECT doc_id, 'STAT', 'Target', 'target:' FROM documents WHERE regexp_matches(lower(text), '\\bstat\\b')
+UNION ALL SELECT doc_id, 'Belix', 'Drug', 'drug:' FROM d UNION ALL SELECT doc_id, 'unknown_study', 'Clinical Study', 'study:' FROM d)
+SELECT doc_id, k || lower(name) AS id, name, type, (CASE type WHEN 'Adverse Event' THEN 2 WHEN 'Target' THEN 1 WHEN 'Clinical Study' THEN 1 + count(*) FILTER (type = 'Adverse Event') OVER (PARTITION BY doc_id) ELSE count(*) OVER (PARTITION BY doc_id) - 1 END)::BIGINT AS links FROM n"""
+)
+def document_graph(t: Tables) -> DataFrame:
+    """One run from texts to the graph: whole documents under two headings of findings, with the number of edges at each node."""
+    from evigraph.operators import documents as D
+
+    seen, bound = _pick(_SEEN, F.col("doc_id")), _pick(_BOUND, F.col("doc_id"))
+    text = F.concat(F.lit("# Safety findings\nSeen: "), seen, F.lit(".\n## Mechanism of action\nIt binds "), bound, F.lit(".\n# Remarks\n"), F.coalesce("text", F.lit("")))
+    out = D.to_graph(t.spark, t.documents.select("doc_id", text.alias("text")), "Belix")
+    edges = out["graph.edges"]
+    ends = edges.select("doc_id", F.col("source_id").alias("id")).union(edges.select("doc_id", "target_id")).groupBy("doc_id", "id").agg(F.count("*").alias("links"))
+    return out["graph.nodes"].join(ends, ["doc_id", "id"], "left").select("doc_id", "id", "name", "type", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
