@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigraph.operators import nested
+from evigraph.operators import context, nested
 from evigraph.operators import records as A
 from evigraph.plans.catalogue import Tables, query
 
@@ -136,3 +136,45 @@ def nested_records(t: Tables) -> DataFrame:
         "doc_id", r["study_metadata"]["sponsor"].alias("sponsor"), F.array_join(r["study_metadata"]["protocol_ids"], ",").alias("protocol_ids"), F.array_join(events, ",").alias("adverse_events"), r["safety_data"]["serious"].alias("serious"),
         r["safety_data"]["deaths"].alias("deaths"), r["preclinical_toxicology"]["species"].alias("species"), r["genotoxicity"]["genotoxicity_in_vitro"].alias("in_vitro"), F.col("other")["props.k"].alias("other"),
     )
+
+
+_SAID = """e AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'Safety and Adverse Events' WHEN 'signup' THEN 'Drug Overview' WHEN 'view' THEN 'Dosing Regimen' WHEN 'purchase' THEN 'Efficacy Outcomes' ELSE 'Other' END AS section,
+CASE event_type WHEN 'click' THEN 'adverse_event' WHEN 'signup' THEN 'study_id' WHEN 'view' THEN 'dose_level' WHEN 'purchase' THEN 'orr' END AS field,
+CASE event_type WHEN 'click' THEN 'AE' || event_id % 13 WHEN 'signup' THEN 'S' || event_id % 4 WHEN 'view' THEN event_id % 9 || ' mg' WHEN 'purchase' THEN event_id % 100 || '%' END AS said FROM events),
+l AS (SELECT user_id, field, said, min(event_id) AS since FROM e WHERE field IS NOT NULL GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, field ORDER BY since) AS rn FROM l)"""
+
+
+def _facts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(sections, facts): each event is a section of its user's document, and most say something."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    section = F.when(kind == "click", "Safety and Adverse Events").when(kind == "signup", "Drug Overview").when(kind == "view", "Dosing Regimen").when(kind == "purchase", "Efficacy Outcomes").otherwise("Other")
+    field = F.when(kind == "click", "adverse_event").when(kind == "signup", "study_id").when(kind == "view", "dose_level").when(kind == "purchase", "orr")
+    said = F.when(kind == "click", F.concat(F.lit("AE"), n % 13)).when(kind == "signup", F.concat(F.lit("S"), n % 4)).when(kind == "view", F.concat((n % 9).cast("string"), F.lit(" mg"))).when(kind == "purchase", F.concat((n % 100).cast("string"), F.lit("%")))
+    rows = t.events.select(F.col("user_id").alias("doc_id"), n.alias("at"), section.alias("section"), field.alias("field"), said.alias("value"))
+    return rows.select("doc_id", "at", "section"), rows.where("field IS NOT NULL")
+
+
+@query(
+    f"""WITH {_SAID}, d AS (SELECT user_id, section, min(event_id) AS since FROM e GROUP BY ALL)
+SELECT user_id AS doc_id, event_id AS at, section, 'Drug: Belix (class unknown)' || chr(10) || 'Studies so far: ' || coalesce((SELECT string_agg(said, ', ' ORDER BY since) FROM l WHERE l.user_id = e.user_id AND l.field = 'study_id' AND since < event_id), 'none yet')
+|| CASE WHEN section LIKE 'Safety%' THEN coalesce(chr(10) || 'Adverse events so far: ' || (SELECT string_agg(said, ', ' ORDER BY since) FROM o WHERE o.user_id = e.user_id AND o.field = 'adverse_event' AND since < event_id AND rn <= 10), '') ELSE '' END
+|| CASE WHEN section LIKE 'Safety%' OR section LIKE 'Dosing%' THEN coalesce(chr(10) || 'Confirmed Dose: ' || (SELECT max(said) FROM o WHERE o.user_id = e.user_id AND o.field = 'dose_level' AND rn = 1 AND since < event_id), '') ELSE '' END
+|| CASE WHEN section LIKE 'Efficacy%' THEN coalesce(chr(10) || 'Confirmed Response rate: ' || (SELECT max(said) FROM o WHERE o.user_id = e.user_id AND o.field = 'orr' AND rn = 1 AND since < event_id), '') ELSE '' END
+|| coalesce(chr(10) || 'Sections done: ' || (SELECT string_agg(section, ', ' ORDER BY since) FROM d WHERE d.user_id = e.user_id AND since < event_id), '') AS context FROM e"""
+)
+def running_context(t: Tables) -> DataFrame:
+    """What each section of a document is told of the sections before it."""
+    return context.running_context(*_facts(t), "Belix")
+
+
+@query(
+    f"""WITH {_SAID}, r AS (SELECT user_id, CASE field WHEN 'dose_level' THEN 1 WHEN 'orr' THEN 2 ELSE rn + 2 END AS rank, field = 'adverse_event' AS event, CASE field WHEN 'adverse_event' THEN '"' || said || '"' ELSE '"' || field || '":"' || said || '"' END AS x
+FROM o WHERE field = 'adverse_event' AND rn <= 20 OR field IN ('dose_level', 'orr') AND rn = 1),
+s AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY user_id ORDER BY rank) AS size FROM r QUALIFY size + 22 <= 100),
+g AS (SELECT user_id, string_agg(x, ',' ORDER BY rank) FILTER (NOT event) AS p, string_agg(x, ',' ORDER BY rank) FILTER (event) AS v, count(*)::BIGINT AS n FROM s GROUP BY user_id)
+SELECT u.user_id AS doc_id, CASE WHEN n IS NULL THEN '{{"fallback":true}}' ELSE '{{' || coalesce(p, '') || CASE WHEN p IS NOT NULL AND v IS NOT NULL THEN ',' ELSE '' END || coalesce('"adverse_events":[' || v || ']', '') || '}}' END AS digest, coalesce(n, 0) AS entries
+FROM (SELECT DISTINCT user_id FROM e WHERE field IS NOT NULL) u LEFT JOIN g USING (user_id)"""
+)
+def fact_digests(t: Tables) -> DataFrame:
+    """A document's facts as an object of at most 100 characters."""
+    return context.digests(_facts(t)[1], ["dose_level", "orr"], budget=100)
