@@ -35,6 +35,8 @@ from evigraph.llm.components import star_components
 WIDTH = 5
 PERCENT = 85
 ROWS, BANDS = 5, 30
+#: Bits of the map of wanted keys: 8 MB.
+SPOTS = 1 << 26
 #: Classes of a part of a bucket in the mean, and of the followers of a leader.
 PART = 256
 
@@ -127,6 +129,17 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return stored(every.join(several.select("bucket", "size"), "bucket").groupBy("bucket", "cid").agg(F.min("band").alias("band"), F.min("size").alias("size")))
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key is not wanted, before they are exchanged: by a bitmap of ``SPOTS`` hashed keys, which
+    bounds what is broadcast."""
+    spot = F.pmod(F.xxhash64(key), F.lit(SPOTS))
+    bits = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("_bits"))
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = rows.join(F.broadcast(bits), F.bitmap_bucket_number(spot) == F.col("_bucket"))
+    return near.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, members: DataFrame, salt: int) -> DataFrame:
     """(cid, n, minima, toks): the full sets of the classes that share a bucket, each from its text of the least doc_id."""
 
@@ -140,7 +153,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, members: DataFrame, salt: int) ->
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(r0, len(n)).take(pa.array(keep)), pa.array(n[keep], pa.int64()), sig, toks], ["cid", "n", "minima", "toks"])
 
     known = stored(rows.where("doc_id IS NOT NULL").select("doc_id", "cid").join(members.select("cid").distinct(), "cid").groupBy("cid").agg(F.min("doc_id").alias("rep")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep IS NOT NULL").join(known, "rep").select("cid", "text")
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep IS NOT NULL"), known, "rep").join(known, "rep").select("cid", "text")
     return stored(texts.mapInArrow(run, "cid long, n long, minima binary, toks binary").dropDuplicates(["cid"]))
 
 
