@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from evigraph.llm._spark import shuffle_partitions, stored
 from evigraph.llm._tokens import Encoder, _byte_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 #: Characters that some regular expression takes for white space: never cut behind one.
 SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f" + "".join(map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
