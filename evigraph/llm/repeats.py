@@ -1,6 +1,6 @@
 """Removal of byte strings that an earlier document holds: sampled anchors, and one doubling of the length that is compared.
 
-This is not prefix doubling over all suffixes: all positions of a corpus would need an exchange of some forty times its size. The
+This is not prefix doubling over all suffixes: built so, it went beyond the disk that the check tool allows (README has the figures). The
 suffixes that are sorted here are a sample that no repeat escapes: of each window of ``SPAN`` bytes the ``HALF``-byte strings with
 the least hash are its anchors, so equal windows have equal anchors at equal places. Ranks are hashes (of 48 and 64 bits, whose
 bytes are not compared again), and there is one step of doubling:
