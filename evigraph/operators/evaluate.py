@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigraph.functions import rules
 from evigraph.functions.cleaning import half_up, is_empty, leaves, numeric_equal
+from evigraph.operators.store import kept
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -66,47 +68,139 @@ def tree_diff(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("status", status)
 
 
-def match_tables(truth: DataFrame, found: DataFrame, table: str, row: str, fields: list[str]) -> DataFrame:
-    """Per table: cells_total, cells_correct, rows_total, rows_correct, fp. Each truth row in turn takes the best free found row.
+#: Tables of at most ``WHOLE`` rows a side are matched in one group; of larger ones ``TURN`` truth rows at a time meet ``BLOCK`` found rows.
+WHOLE, TURN, BLOCK = 4_096, 1_024, 8_192
 
-    The choice depends on the order of rows, so a table is one task; tables go to tasks by name.
-    """
 
-    def codes(x: pd.DataFrame, seen: dict[str, int]) -> np.ndarray:
-        """Numbers of the cells' texts and of their digits, -1 for none: equal cells have one of the two in common."""
-        out = np.full((2, len(x), len(fields)), -1)
-        for i, cells in enumerate(x.sort_values(row)[fields].values.tolist()):
-            for k, v in enumerate(cells):
-                s = "" if v is None or (isinstance(v, float) and v != v) else str(v).strip().lower()
-                s = "" if s in rules.EMPTY_TEXTS else s
-                out[0, i, k] = seen.setdefault(s, len(seen))
-                if any(c.isdigit() for c in s):
-                    out[1, i, k] = seen.setdefault("#" + "".join(c for c in s if c.isdigit() or c == "."), len(seen))
-        return out
+def _codes(x: pd.DataFrame, fields: list[str], seen: dict[str, int]) -> np.ndarray:
+    """Numbers of the cells' texts and of their digits, -1 for none: equal cells have one of the two in common."""
+    out = np.full((2, len(x), len(fields)), -1)
+    for i, cells in enumerate(x[fields].values.tolist()):
+        for k, v in enumerate(cells):
+            s = v.strip().lower() if isinstance(v, str) else ""
+            s = "" if s in rules.EMPTY_TEXTS else s
+            out[0, i, k] = seen.setdefault(s, len(seen))
+            if any(c.isdigit() for c in s):
+                out[1, i, k] = seen.setdefault("#" + "".join(c for c in s if c.isdigit() or c == "."), len(seen))
+    return out
+
+
+def _equal_cells(row: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many cells of each other row equal those of one row."""
+    return ((others[0] == row[0]) | ((others[1] == row[1]) & (row[1] >= 0))).sum(axis=1)
+
+
+def _match_whole(truth: DataFrame, found: DataFrame, kind: str, fields: list[str]) -> DataFrame:
+    """(_table, _score) of each pair that is taken; a table is one group."""
 
     def match(key, t: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         seen: dict[str, int] = {}
-        (text, number), (other, others) = codes(t, seen), codes(f, seen)
-        free, cells, rows = np.ones(len(f), bool), 0, 0
-        for own, digits in zip(text, number):
+        own, other = (_codes(x.sort_values("_row" if x["_row"].is_unique else ["_row", *fields]), fields, seen) for x in (t, f))
+        free, scores = np.ones(len(f), bool), []
+        for i in range(len(t)):
             if not free.any():
                 break
-            same = ((other == own) | ((others == digits) & (digits >= 0))).sum(axis=1)
-            same[~free] = -1
+            same = np.where(free, _equal_cells(own[:, i], other), 0)
             at = int(np.argmax(same))
-            best = int(same[at])
-            if best > 0:
+            if same[at]:
                 free[at] = False
-                cells += best
-                rows += best == len(fields) or (len(fields) >= 5 and best / len(fields) >= 0.8)
-        return pd.DataFrame([(key[0], len(t) * len(fields), cells, len(t), rows, int(free.sum()) * len(fields))])
-
-    kind = dict(truth.dtypes)[table]
-    out = truth.groupBy(table).cogroup(found.groupBy(table)).applyInPandas(
-        lambda k, a, b: match(k, a, b).set_axis([table, "cells_total", "cells_correct", "rows_total", "rows_correct", "fp"], axis=1),
-        f"{table} {kind}, cells_total long, cells_correct long, rows_total long, rows_correct long, fp long",
-    )
-    return out
+                scores.append(int(same[at]))
+        return pd.DataFrame({"_table": pd.Series([key[0]] * len(scores), dtype=object), "_score": scores})
+
+    return truth.groupBy("_table").cogroup(found.groupBy("_table")).applyInPandas(match, f"_table {kind}, _score long")
+
+
+def _placed(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``df`` with _at: each row's place in its table, from 0. Places come from range partitions, so no task holds a table."""
+    order = [F.col(c).asc_nulls_last() for c in ("_row", *fields)]
+    parts = kept(df.repartitionByRange(F.col("_table"), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_table", "_part").agg(F.count("*").alias("_size"))
+    earlier = W.partitionBy("_table").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("_table").alias("_t"), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    own = parts.withColumn("_own", F.row_number().over(W.partitionBy("_table", "_part").orderBy(*order)))
+    both = own.join(sizes, F.col("_table").eqNullSafe(F.col("_t")) & (F.col("_part") == F.col("_p")))
+    return both.withColumn("_at", F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_t", "_p", "_before")
+
+
+def _match_in_turns(truth: DataFrame, found: DataFrame, kind: str, fields: list[str], turn: int, block: int) -> DataFrame:
+    """(_table, _score) of each pair that is taken, for tables of any size; both sides carry _n and _m, the rows of their table.
+
+    The next ``turn`` truth rows of every table meet the blocks of found rows at once. The q-th of them can lose at most q - 1 choices to
+    those before it in this turn, so q candidates of each block, and then q of all, are enough; they are settled in order. What earlier
+    turns took is sent to the blocks as marks."""
+
+    def candidates(key, t: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        truths, places, scores = [], [], []
+        f = f[~f["_at"].isin(f.loc[f["_gone"], "_at"])].sort_values("_at")
+        if len(t) and len(f):
+            seen: dict[str, int] = {}
+            own, other, there = _codes(t, fields, seen), _codes(f, fields, seen), f["_at"].to_numpy()
+            for i, at in enumerate(t["_at"]):
+                same = _equal_cells(own[:, i], other)
+                best = np.argsort(-same, kind="stable")[: at % turn + 1]
+                best = best[same[best] > 0]
+                truths += [at] * len(best)
+                places += there[best].tolist()
+                scores += same[best].tolist()
+        return pd.DataFrame({"_table": pd.Series([key[0]] * len(truths), dtype=object), "_truth": truths, "_found": places, "_score": scores})
+
+    def settle(key, c: pd.DataFrame) -> pd.DataFrame:
+        gone, busy, out = set(), None, []
+        for t, f, s in c.sort_values(["_truth", "_score", "_found"], ascending=[True, False, True])[["_truth", "_found", "_score"]].itertuples(index=False):
+            if t != busy and f not in gone:
+                busy = t
+                gone.add(f)
+                out.append((key[0], f, s))
+        return pd.DataFrame(out, columns=["_table", "_at", "_score"])
+
+    rows = kept(_placed(truth, fields))
+    there = kept(_placed(found, fields).select("_table", *fields, "_at", "_n", F.lit(False).alias("_gone")))
+    taken: list[DataFrame] = []
+    for k in range(-(-rows.agg(F.max("_n")).first()[0] // turn)):
+        blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / block))
+        asked = rows.where(F.floor(F.col("_at") / turn) == k).withColumn("_block", F.explode(blocks))
+        free = there.where(F.col("_n") > k * turn).drop("_n")
+        for done in taken:
+            free = free.unionByName(done.select("_table", "_at", F.lit(True).alias("_gone")), allowMissingColumns=True)
+        free = free.withColumn("_block", F.floor(F.col("_at") / block))
+        pairs = asked.groupBy("_table", "_block").cogroup(free.groupBy("_table", "_block")).applyInPandas(candidates, f"_table {kind}, _truth long, _found long, _score long")
+        first = F.row_number().over(W.partitionBy("_table", "_truth").orderBy(F.desc("_score"), "_found"))
+        few = pairs.withColumn("_rn", first).where((F.col("_rn") <= turn) & (F.col("_rn") <= F.col("_truth") % turn + 1))
+        taken.append(kept(few.groupBy("_table").applyInPandas(settle, f"_table {kind}, _at long, _score long")))
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out.select("_table", "_score")
+
+
+def match_tables(truth: DataFrame, found: DataFrame, table: str, row: str, fields: list[str], whole: int = WHOLE, turn: int = TURN, block: int = BLOCK) -> DataFrame:
+    """Per table: cells_total, cells_correct, rows_total, rows_correct, fp. Each truth row in turn takes the best free found row.
+
+    Rows go by ``row`` (null last), equal ones by their cells; of found rows that are equally good the first is taken, one without an
+    equal cell never. Cells are compared as texts without case and space around, all empty ones are equal, and so are those with the same
+    digits. A row is correct if all its cells are, or from five fields on four fifths of them. A null table is a table; one that stands
+    on one side only has nothing correct. Other columns are ignored. Tables of more than ``whole`` rows on a side are settled in turns of
+    bounded groups, with the same result, so no task holds a table whatever its size.
+    """
+    cells, kind = [f"_c{i}" for i in range(len(fields))], truth.schema[table].dataType.simpleString()
+    side = lambda df: df.select(F.col(f"`{table}`").alias("_table"), F.col(f"`{row}`").alias("_row"), *[F.col(f"`{f}`").cast("string").alias(c) for f, c in zip(fields, cells)])
+    t, f = side(truth), side(found)
+    rows = t.groupBy("_table").agg(F.count("*").alias("_n")).withColumn("_m", F.lit(0)).unionByName(f.groupBy("_table").agg(F.count("*").alias("_m")).withColumn("_n", F.lit(0)))
+    sizes = kept(rows.groupBy("_table").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")))
+    large = sizes.where((F.greatest("_n", "_m") > whole) & (F.least("_n", "_m") > 0)).withColumnRenamed("_table", "_l")
+    if large.isEmpty():
+        pairs = _match_whole(t, f, kind, cells)
+    else:
+        same = F.col("_table").eqNullSafe(F.col("_l"))
+        parts = [(x.join(large, same, "left_anti"), x.join(large, same).drop("_l")) for x in (t, f)]
+        pairs = _match_whole(parts[0][0], parts[1][0], kind, cells).unionByName(_match_in_turns(parts[0][1], parts[1][1], kind, cells, turn, block))
+    right = (F.col("_score") == len(fields)) | F.lit(len(fields) >= 5) & (F.col("_score") / len(fields) >= 0.8)
+    taken = pairs.groupBy("_table").agg(F.sum("_score").alias("_cells"), F.count_if(right).alias("_right"), F.count("*").alias("_taken"))
+    both = sizes.unionByName(taken, allowMissingColumns=True).groupBy("_table").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_n", "_m", "_cells", "_right", "_taken")])
+    return both.select(
+        F.col("_table").alias(table), (F.col("_n") * len(fields)).alias("cells_total"), F.col("_cells").alias("cells_correct"), F.col("_n").alias("rows_total"),
+        F.col("_right").alias("rows_correct"), ((F.col("_m") - F.col("_taken")) * len(fields)).alias("fp"),
+    )
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
