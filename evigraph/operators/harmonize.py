@@ -78,7 +78,8 @@ def legacy_properties(info: DataFrame) -> DataFrame:
 def tabular_properties(cells: DataFrame) -> DataFrame:
     """(key, value) of the first row of each sheet: cells (sheet, row, column, value), the first row below its headings."""
     first = G.first_of(cells.where("value IS NOT NULL"), ["sheet", "column"], ["row"]).join(cells.groupBy("sheet").agg(F.min("row").alias("row")), ["sheet", "row"], "left_semi")
-    sheet = F.replace(F.replace(F.element_at(F.split("sheet", r"\. "), -1), F.lit(" "), F.lit("_")), F.lit("&"), F.lit("and"))
+    plain = F.replace(F.element_at(F.split("sheet", r"\. "), -1), F.lit(" "), F.lit("_"))
+    sheet = F.when(F.contains("sheet", F.lit(". ")), F.replace(plain, F.lit("&"), F.lit("and"))).otherwise(plain)  # "&" stays in a name without a number
     key = F.replace(F.replace(F.replace(F.replace(F.concat(sheet, F.lit("_"), "column"), F.lit(" "), F.lit("_")), F.lit("(")), F.lit(")")), F.lit("/"), F.lit("_"))
     return first.select(key.alias("key"), clean_value("value").alias("value"), "row").where("value IS NOT NULL")
 
