@@ -25,9 +25,28 @@ EXPRESSION_HEADERS = [
 ]
 
 
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file, read through Hadoop's file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.getFileStatus(at).isDirectory():
+        files = sorted(f.getPath().toString() for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+        if not files:
+            raise FileNotFoundError(f"no data files in {path}")
+        at = jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def sniff(spark: SparkSession, path: str) -> str:
-    """xlsx, parquet, gzip, json, tsv or csv, from the first bytes of a file (or the first of a folder)."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096)).first()[0])
+    """xlsx, parquet, gzip, json, tsv or csv, from the first bytes of a file (or of the first data file of a folder, by name).
+
+    Four kilobytes are read, however large the file; an empty file is csv, a folder without files an error."""
+    head = _head(spark, path, 4096)
     if head[:2] == b"PK":
         return "xlsx"
     if head[:4] == b"PAR1":
