@@ -38,9 +38,11 @@ DRUG_PROPERTY_WORDS = ["plasma level", "decline", "half-life", "cmax", "auc", "d
 SUMMARY_TERMS = ["all teaes", "all serious", "related teaes", "deaths", "discontinuation"]
 
 # Vocabularies for grounding.
-KNOWN_TARGETS = (
-    "HDAC HDAC1 HDAC2 HDAC3 HDAC6 HDAC10 HDAC11 VEGF EGFR HER2 PD-1 PD-L1 CTLA-4 CD20 CD30 ALK ROS1 BRAF MEK PI3K AKT MTOR BCL-2 JAK STAT BTK FLT3 KIT RET MET FGFR"
-).split()
+KNOWN_TARGETS = [
+    "HDAC", "HDAC1", "HDAC2", "HDAC3", "HDAC6", "HDAC10", "HDAC11", "VEGF", "EGFR", "HER2", "PD-1",
+    "PD-L1", "CTLA-4", "CD20", "CD30", "ALK", "ROS1", "BRAF", "MEK", "PI3K", "AKT", "MTOR",
+    "BCL-2", "JAK", "STAT", "BTK", "FLT3", "KIT", "RET", "MET", "FGFR",
+]
 KNOWN_EVENTS = [
     "anemia", "neutropenia", "thrombocytopenia", "leukopenia", "febrile neutropenia", "pancytopenia", "lymphopenia", "coagulopathy",
     "nausea", "vomiting", "diarrhea", "constipation", "mucositis", "stomatitis", "abdominal pain", "dyspepsia", "gerd", "fecal incontinence",

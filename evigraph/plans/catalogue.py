@@ -671,4 +671,4 @@ def stream_session_frames(t: Tables) -> DataFrame:
 
 
 # The other groups of queries register themselves.
-from evigraph.plans import answers, graphs, reports, snippets, texts  # noqa: E402, F401
+from evigraph.plans import answers, graphs, questions, reports, snippets, texts  # noqa: E402, F401
