@@ -30,12 +30,12 @@ def _map(**kv: Column) -> Column:
 
 
 def _node(df: DataFrame, stage: int, ident: Column, name: Column, kind: str, props: Column, order: Column | None = None) -> DataFrame:
-    seq = F.lit(stage * 1_000_000_000) + (order if order is not None else F.lit(0))
+    seq = F.lit(stage * G.BAND) + (order if order is not None else F.lit(0))
     return df.select("doc_id", ident.alias("id"), F.trim(name).alias("name"), F.lit(kind).alias("type"), props.alias("properties"), seq.cast("long").alias("seq"))
 
 
 def _edge(df: DataFrame, stage: int, source: Column, target: Column, kind: Column | str, props: Column | None = None, order: Column | None = None) -> DataFrame:
-    seq = F.lit(stage * 1_000_000_000) + (order if order is not None else F.lit(0))
+    seq = F.lit(stage * G.BAND) + (order if order is not None else F.lit(0))
     kind = kind if isinstance(kind, Column) else F.lit(kind)
     return df.select("doc_id", source.alias("source_id"), target.alias("target_id"), kind.alias("type"), (props if props is not None else _map()).alias("properties"), F.lit(1.0).alias("confidence"), seq.cast("long").alias("seq"))
 
@@ -123,7 +123,7 @@ def _in_turn(uses: DataFrame, known: DataFrame, guard: bool, stage: int) -> tupl
     """(uses (doc_id, name, at) with id, nodes of the new names)."""
     kind = G.inferred_type(F.col("name"))
     ids, new = resolve_in_turn(uses, known, kind, G.node_id(kind, F.lower("name")), "doc_id", 0.85, guard)
-    seq = (F.lit(stage * 1_000_000_000) + F.col("at")).cast("long").alias("seq")
+    seq = (F.lit(stage * G.BAND) + F.col("at")).cast("long").alias("seq")
     return kept(ids), new.select("doc_id", "id", F.trim("name").alias("name"), F.col("kind").alias("type"), _map(source=F.lit("Inferred_Strict_Schema")).alias("properties"), seq)
 
 
@@ -180,6 +180,6 @@ def enrich_genes(g: G.Graph, drug: str) -> G.Graph:
     every = docs.select("doc_id", F.explode(F.array(*map(F.lit, rules.GENES))).alias("gene"))
     lack = every.join(named, ["doc_id", "gene"], "left_anti").join(dim, "gene")
     tid = F.concat(F.lit("target:"), F.lower("gene"))
-    made = lack.select("doc_id", tid.alias("id"), F.col("gene").alias("name"), F.lit("Target").alias("type"), F.map_concat(_map(source=F.lit("Manual_Enrichment")), place).alias("properties"), F.lit(8_000_000_000).alias("seq"))
+    made = lack.select("doc_id", tid.alias("id"), F.col("gene").alias("name"), F.lit("Target").alias("type"), F.map_concat(_map(source=F.lit("Manual_Enrichment")), place).alias("properties"), F.lit(8 * G.BAND).alias("seq"))
     links = _edge(lack, 8, F.lit(f"drug:{drug.lower()}"), tid, "inhibits", _map(source=F.lit("Inferred_Mechanism"), confidence=F.lit("High")))
     return G.Graph(nodes.unionByName(made), g.edges.unionByName(links))

@@ -88,7 +88,7 @@ def event_graph(safety: DataFrame, drug: str) -> tuple[DataFrame, DataFrame]:
     """Events and ``causes`` edges of rows (term, percent, grade_3_4, sae, teae, row)."""
     rows = safety.withColumn("t", clean_value("term")).where("t IS NOT NULL")
     ident = F.concat(F.lit("AdverseEvent_"), F.replace("t", F.lit(" "), F.lit("_")))
-    seq = F.lit(2_000_000_000) + F.col("row")
+    seq = F.lit(2 * G.BAND) + F.col("row")
     props = _props(frequency=F.col("percent"), grade_3_4_count=F.col("grade_3_4"), is_sae=F.col("sae"), is_teae=F.col("teae"))
     return _node(rows, ident, "AdverseEvent", _props(name=F.col("t")), "consolidated_AE", seq), _edge(rows, F.lit(drug), ident, "causes", seq, props)
 
@@ -106,7 +106,7 @@ def harmonize(default_drug: str, meta: DataFrame | None = None, expression: Data
     nodes, edges = signature_graph(meta) if meta is not None else ([], [])
     drug = main_drug(meta, default_drug) if meta is not None else default_drug
     one = given.sparkSession.range(1)
-    nodes.append(_node(one, F.lit(drug), "Drug", F.create_map(F.lit("name"), F.lit(drug)), "Inferred_Base", F.lit(1_000_000_000)))
+    nodes.append(_node(one, F.lit(drug), "Drug", F.create_map(F.lit("name"), F.lit(drug)), "Inferred_Base", F.lit(G.BAND)))
     if safety is not None:
         n, e = event_graph(safety, drug)
         nodes.append(n)
@@ -114,7 +114,7 @@ def harmonize(default_drug: str, meta: DataFrame | None = None, expression: Data
     known = G.first_of(G.union_sparse(*nodes), ["id"], ["seq"])
     if expression is not None:
         top = top_genes(expression, known.where("type = 'Transcriptomic_Signature'")).where("gene IS NOT NULL")
-        seq = F.lit(3_000_000_000) + F.col("rn")
+        seq = F.lit(3 * G.BAND) + F.col("rn")
         known = G.first_of(known.unionByName(_node(top, F.col("gene"), "Biomarker", _props(gene=F.col("gene"), source=F.lit("signature_top_20")), "", seq)), ["id"], ["seq"])
         edges.append(_edge(top, F.col("sig"), F.col("gene"), "associated_with", seq, F.create_map(F.lit("log_fold_change"), F.col("lfc").cast("string"), F.lit("p_value"), F.col("p").cast("string"))))
     if info is not None:

@@ -94,6 +94,11 @@ def id_except(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("id")).exceptAll(t.orders.select("o_custkey")).distinct()
 
 
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45")
+def id_except_lines(t: Tables) -> DataFrame:
+    return t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")).exceptAll(t.lineitem.where("l_quantity >= 45").select("l_orderkey")).distinct()
+
+
 @query("SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
 def edge_dedup(t: Tables) -> DataFrame:
     return G.first_of(t.lineitem.select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"), ["l_suppkey", "l_partkey"], ["l_orderkey", "l_linenumber"])
@@ -297,6 +302,12 @@ def dim_members_missing(t: Tables) -> DataFrame:
     return G.missing(dim, t.part.where("p_size < 3"), "gene", "p_brand").select("gene", G.node_id("target", F.col("gene")).alias("id"))
 
 
+@query("SELECT c_name AS gene, 'target:' || lower(c_name) AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def dim_members_missing_customers(t: Tables) -> DataFrame:
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return G.missing(t.customer, urgent, "c_custkey", "o_custkey").select(F.col("c_name").alias("gene"), G.node_id("target", F.col("c_name")).alias("id"))
+
+
 @query("SELECT event_id, event_type, value FROM events WHERE value / 1000 < 0.05 AND abs(value - 250) >= 1")
 def significant_rows(t: Tables) -> DataFrame:
     return t.events.where((F.col("value") / 1000 < 0.05) & (F.abs(F.col("value") - 250) >= 1)).select("event_id", "event_type", "value")
