@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from evigraph.functions import rules
 from evigraph.functions.text import cascade, contains_any
 
+#: Room between the orders of two producers: more rows than any of them gives.
+BAND = 10**15
+
 
 @dataclass
 class Graph:
     nodes: DataFrame
     edges: DataFrame
 
-#: Room between the orders of two producers: more rows than any of them gives.
-BAND = 10**15
-
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
