@@ -4,7 +4,7 @@ A word is the sum of hashed embeddings (itself and three prefixes); filters of s
 answer of each is kept (max pooling) and a logistic layer scores them. The first dimension of an embedding starts at the log odds
 of its bucket in toxic documents and the filters of one word start at 1 there, the rest at random; all are trained from there. The
 network is trained on ``PER_CLASS`` labelled documents of each class in the mean (all, where there are fewer), those whose hash of
-doc_id is below a bound; a quarter of them calibrates a threshold for each language, which is guessed from the words of the text. A
+doc_id is below a bound and whose text has at most ``LONGEST`` characters, so the sample has a bounded size; a quarter of them calibrates a threshold for each language, which is guessed from the words of the text. A
 language with fewer than 15 documents of a class in that quarter has the threshold of all of them, and where these are fewer too,
 the network's own. A score is shifted by that threshold, so 0.5 decides in every language.
 
@@ -30,6 +30,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 PREFIXES = (4, 5, 6)
 PER_CLASS = 2000
+#: Characters of a text that may be learned from: the sample of labelled texts is in the driver's memory. Longer ones are scored whole.
+LONGEST = 50_000
 EPOCHS = 4
 #: Words whose windows are in memory at once.
 CHUNK = 1 << 19
@@ -72,11 +74,14 @@ class Network:
         full[place] = answers
         tops, at, col = [], [], 0
         ends = np.append(first[1:], total)
+        # one window without a word counts in each text; those behind it would reach into the next text
+        behind = (first + np.diff(before))[:, None] + np.arange(1, max(WIDTHS))
         for k, w in enumerate(WIDTHS):
             c = full[:total, col : col + FILTERS].copy()
             for o in range(1, w):
                 c += full[o : total + o, col + o * FILTERS : col + (o + 1) * FILTERS]
             c += self.bias[k * FILTERS : (k + 1) * FILTERS]
+            c[behind.ravel()] = -np.inf
             tops.append(np.maximum.reduceat(c, first, axis=0) if len(first) else np.zeros((0, FILTERS), np.float32))
             if self._places:
                 at.append(np.stack([a + c[a:z].argmax(axis=0) for a, z in zip(first, ends)]))
@@ -91,7 +96,8 @@ class Network:
         for k in range(1, rows.shape[1]):
             answers = answers + table[rows[:, k]]
         tops, _ = self._pooled(answers, before)
-        return np.maximum(tops, 0) @ self.out + self.out_bias
+        # by row, so that equal texts have the same sum wherever they stand
+        return (np.maximum(tops, 0) * self.out).sum(axis=1) + self.out_bias
 
     def table(self) -> np.ndarray:
         return (self.embed @ self.filters).astype(np.float32)
@@ -100,8 +106,10 @@ class Network:
         n = len(before) - 1
         if self.lang_log is None or len(self.langs) < 2:
             return np.zeros(n, np.int64)
-        total = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(self.lang_log[rows[:, 0]], axis=0, dtype=np.float64)])
-        return np.argmax(total[before[1:]] - total[before[:-1]], axis=1)
+        log = np.vstack([self.lang_log[rows[:, 0]].astype(np.float64), np.zeros((1, len(self.langs)))])
+        total = np.add.reduceat(log, before[:-1], axis=0) if n else np.zeros((0, len(self.langs)))
+        total[np.diff(before) == 0] = 0.0
+        return np.argmax(total, axis=1)
 
     def scores(self, rows: np.ndarray, before: np.ndarray, table: np.ndarray) -> np.ndarray:
         z = self.logits(rows, before, table) - self.threshold[self.language(rows, before)]
@@ -235,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
     if not taken:
         return None
     ids = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in taken], "_id long, toxic int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", "lang").join(ids, "_id").select("_id", "text", "lang", "toxic").collect()
+    able = docs.where(F.coalesce(F.length("text") <= LONGEST, F.lit(True)))
+    rows = able.select(F.col("doc_id").cast("long").alias("_id"), "text", "lang").join(ids, "_id").select("_id", "text", "lang", "toxic").collect()
     rows = sorted({(r[0], r[1] or "", r[2] or "", r[3]) for r in rows})
     y = np.array([r[3] for r in rows])
     if not 0 < y.sum() < len(y):
