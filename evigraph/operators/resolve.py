@@ -149,6 +149,19 @@ def resolve_in_turn(uses: DataFrame, known: DataFrame, new_kind: Column, new_id:
     return out.withColumn("id", F.coalesce("id", "new")).drop("new"), new
 
 
+def answered_queries(answers: DataFrame, fields: dict[str, str], query: str = "query") -> DataFrame:
+    """``answers`` with field: that of the first asked query (in the order of ``fields``, query -> field) which is the same but for case
+    and white space around; answers to other queries, and null ones, are left out."""
+    plain = lambda c: F.lower(F.trim(c, F.lit(" \t\n\r\x0b\x0c")))
+    first: dict[str, str] = {}
+    for asked, field in fields.items():
+        first.setdefault(asked.strip().lower(), field)
+    if not first:
+        return answers.withColumn("field", F.lit(None).cast("string")).limit(0)
+    names = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
+    return answers.withColumn("field", names[plain(F.col(query))]).where("field IS NOT NULL")
+
+
 def ground(df: DataFrame, term: str, category: str) -> DataFrame:
     """``df`` with grounded and grounding_confidence.
 

@@ -25,6 +25,16 @@ def section_index(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"))
 
 
+def by_section(chunks: DataFrame, section: str) -> DataFrame:
+    """The chunks of a section by its exact name; none for a name that no chunk has."""
+    return chunks.where(F.col("section") == section)
+
+
+def by_index(chunks: DataFrame, index: int) -> DataFrame:
+    """The chunk of each document at an index; documents that end before it, and indexes below 0, give none."""
+    return chunks.where((F.col("chunk_index") == index) & (F.col("chunk_index") >= 0))
+
+
 def summary_text(chunks: DataFrame) -> DataFrame:
     """(doc_id, summary): a line for each section, by first chunk."""
     line = F.format_string("%s: %d chunks (%d-%d)", F.col("section"), F.col("n"), F.col("first"), F.col("last"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.operators import asking
+from evigraph.operators import asking, resolve, retrieval
 from evigraph.operators.records import judge_rates
 from evigraph.plans.catalogue import Tables, query
 
@@ -50,3 +50,19 @@ def judged_documents(t: Tables) -> DataFrame:
     values = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("lang", F.col("lang")), ("source", F.col("source")), ("word", F.get(F.split(F.trim("text"), " "), F.lit(1))))])
     fields = t.documents.select("doc_id", F.col("text").alias("context"), F.explode(values).alias("v")).select("doc_id", "context", "v.*")
     return judge_rates(asking.judge_by_rules(fields, "doc_id", "hallucination").unionByName(asking.judge_by_rules(fields, "doc_id", "faithfulness")), "doc_id")
+
+
+@query("SELECT source, count(*)::BIGINT AS n, min(doc_id) AS first FROM documents WHERE lang = 'en' GROUP BY source")
+def chunks_of_section(t: Tables) -> DataFrame:
+    """Documents as chunks of their source, with the language as section."""
+    chunks = t.documents.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), F.col("lang").alias("section"))
+    return retrieval.by_section(chunks, "en").groupBy(F.col("doc_id").alias("source")).agg(F.count("*").alias("n"), F.min("chunk_index").alias("first"))
+
+
+@query(
+    """SELECT event_id, CASE event_type WHEN 'purchase' THEN 'bought' WHEN 'error' THEN 'failed' END AS field FROM events WHERE event_type IN ('purchase', 'error')"""
+)
+def answered_queries(t: Tables) -> DataFrame:
+    """Events as answers to queries that come back in other case and with white space around."""
+    rows = t.events.select("event_id", F.concat(F.lit(" \t"), F.upper("event_type"), F.lit("\n")).alias("query"))
+    return resolve.answered_queries(rows, {"Purchase ": "bought", " ERROR": "failed", "error": "never"}).select("event_id", "field")

@@ -90,6 +90,18 @@ def glimpse(df: DataFrame, k: int = 3) -> tuple[list[str], int, DataFrame]:
     return df.columns, df.count(), df.limit(k)
 
 
+def glimpses(spark: SparkSession, paths: list[str], schema: str = "file string, method string, columns array<string>, n long, error string") -> DataFrame:
+    """(file, method, columns, n, error): how each of a few files is read and what it holds; one that can't be read has its error."""
+    rows = []
+    for path in paths:
+        try:
+            df = read_flexible(spark, path)
+            rows.append((path, sniff(spark, path), df.columns, df.count(), None))
+        except Exception as e:  # noqa: BLE001  a file that can't be read is a row of the report
+            rows.append((path, None, None, None, type(e).__name__))
+    return spark.createDataFrame(rows, schema)
+
+
 def like_column(df: DataFrame, *words: str) -> str | None:
     """The first column whose name holds all the words."""
     return next((c for c in df.columns if all(w in c.lower() for w in words)), None)
