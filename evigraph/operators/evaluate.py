@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,46 +70,78 @@ def tree_diff(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("status", status)
 
 
-#: Tables of at most ``WHOLE`` rows a side are matched in one group; of larger ones ``TURN`` truth rows at a time meet ``BLOCK`` found rows.
-WHOLE, TURN, BLOCK = 4_096, 1_024, 8_192
-
-
-def _codes(x: pd.DataFrame, fields: list[str], seen: dict[str, int]) -> np.ndarray:
-    """Numbers of the cells' texts and of their digits, -1 for none: equal cells have one of the two in common."""
-    out = np.full((2, len(x), len(fields)), -1)
-    for i, cells in enumerate(x[fields].values.tolist()):
-        for k, v in enumerate(cells):
-            s = v.strip().lower() if isinstance(v, str) else ""
-            s = "" if s in rules.EMPTY_TEXTS else s
-            out[0, i, k] = seen.setdefault(s, len(seen))
-            if any(c.isdigit() for c in s):
-                out[1, i, k] = seen.setdefault("#" + "".join(c for c in s if c.isdigit() or c == "."), len(seen))
-    return out
-
-
-def _equal_cells(row: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """How many cells of each other row equal those of one row."""
-    return ((others[0] == row[0]) | ((others[1] == row[1]) & (row[1] >= 0))).sum(axis=1)
-
-
-def _match_whole(truth: DataFrame, found: DataFrame, kind: str, fields: list[str]) -> DataFrame:
-    """(_table, _score) of each pair that is taken; a table is one group."""
-
-    def match(key, t: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, int] = {}
-        own, other = (_codes(x.sort_values("_row" if x["_row"].is_unique else ["_row", *fields]), fields, seen) for x in (t, f))
-        free, scores = np.ones(len(f), bool), []
-        for i in range(len(t)):
-            if not free.any():
-                break
-            same = np.where(free, _equal_cells(own[:, i], other), 0)
-            at = int(np.argmax(same))
-            if same[at]:
-                free[at] = False
-                scores.append(int(same[at]))
-        return pd.DataFrame({"_table": pd.Series([key[0]] * len(scores), dtype=object), "_score": scores})
-
-    return truth.groupBy("_table").cogroup(found.groupBy("_table")).applyInPandas(match, f"_table {kind}, _score long")
+#: Tables of at most ``WHOLE`` rows a side are matched whole, so many at once that a group has ``GROUP`` rows in the mean; of larger ones
+#: ``TURN`` truth rows at a time meet ``BLOCK`` found rows.
+WHOLE, GROUP, TURN, BLOCK = 4_096, 16_384, 1_024, 8_192
+
+_EMPTY, _NOT_DIGITS = frozenset(rules.EMPTY_TEXTS), {i: None for i in range(128) if chr(i) not in ".0123456789"}
+
+
+def _compared(v: str | None) -> str:
+    """What stands for a cell: its digits and points behind a #, if it has digits (so two such cells are equal where these are), else its text."""
+    s = v.strip().lower() if isinstance(v, str) else ""
+    if s in _EMPTY:
+        return ""
+    digits = s.translate(_NOT_DIGITS) if s.isascii() else "".join(c for c in s if c.isdigit() or c == ".")
+    return "#" + digits if digits.strip(".") else s
+
+
+def _codes(cells: pa.Array) -> np.ndarray:
+    """Numbers of a column's cells: equal cells have equal ones."""
+    seen: dict[str, int] = {}
+    texts = cells.dictionary_encode(null_encoding="encode")
+    numbers = np.array([seen.setdefault(_compared(v), len(seen)) for v in texts.dictionary.to_pylist()], np.int32)
+    return numbers[texts.indices.to_numpy()]
+
+
+def _joined(a: pa.Table, b: pa.Table, column: str) -> pa.Array:
+    return pa.concat_arrays([*a[column].chunks, *b[column].chunks])
+
+
+def _match_whole(truth: DataFrame, found: DataFrame, kind: str, fields: list[str], groups: int) -> DataFrame:
+    """(_table, _score) of each pair that is taken. A group holds many whole tables, whose i-th truth rows choose at once."""
+
+    def match(t: pa.Table, f: pa.Table) -> pa.Table:
+        none = pa.table({"_table": (t if len(t) else f)["_table"].slice(0, 0), "_score": pa.array([], pa.int64())})
+        if not len(t) or not len(f):
+            return none
+        tables, split = _joined(t, f, "_table").dictionary_encode(null_encoding="encode"), len(t)
+        number = tables.indices.to_numpy()
+        n, m = (np.bincount(x, minlength=len(tables.dictionary)) for x in (number[:split], number[split:]))
+        # tables of both sides go first, those with most truth rows before others, so the tables that still have one are always a prefix
+        rank = np.argsort(-np.where(m > 0, n, 0), kind="stable")[: int(((n > 0) & (m > 0)).sum())]
+        if not len(rank):
+            return none
+        place = np.full(len(n), len(rank))
+        place[rank] = np.arange(len(rank))
+        n, m, sides = n[rank], m[rank], []
+        codes = np.stack([_codes(_joined(t, f, c)) for c in fields])
+        for x, own, at, size in ((t, codes[:, :split], place[number[:split]], n.sum()), (f, codes[:, split:], place[number[split:]], m.sum())):
+            keyed = x.append_column("_place", pa.array(at))
+            order = pc.sort_indices(keyed, sort_keys=[(c, "ascending") for c in ("_place", "_row", *fields)], null_placement="at_end")
+            sides.append(own[:, order.to_numpy()[:size]])
+        own, other = sides
+        first, ends = np.cumsum(n) - n, np.cumsum(m)
+        begins, longest = ends - m, int(m.max())
+        # the larger, the earlier in its table: added to a score it decides between equal ones
+        early = longest - 1 - (np.arange(ends[-1]) - np.repeat(begins, m))
+        free, taken, scores = np.ones(ends[-1], bool), [], []
+        for i in range(n[0]):
+            left = int(np.searchsorted(-n, -i))
+            end = ends[left - 1]
+            same = np.zeros(end, np.int64)
+            for a, b in zip(own, other):
+                same += np.repeat(a[first[:left] + i], m[:left]) == b[:end]
+            best = np.maximum.reduceat(same * free[:end] * longest + early[:end], begins[:left])
+            score = best // longest
+            hit = score > 0
+            free[(begins[:left] + longest - 1 - best % longest)[hit]] = False
+            taken.append(np.flatnonzero(hit))
+            scores.append(score[hit])
+        return pa.table({"_table": tables.dictionary.take(pa.array(rank[np.concatenate(taken)])), "_score": pa.array(np.concatenate(scores))})
+
+    dealt = lambda df: df.select("_table", "_row", *fields, F.pmod(F.xxhash64("_table"), F.lit(groups)).alias("_group")).groupBy("_group")
+    return dealt(truth).cogroup(dealt(found)).applyInArrow(match, f"_table {kind}, _score long")
 
 
 def _placed(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -133,10 +167,10 @@ def _match_in_turns(truth: DataFrame, found: DataFrame, kind: str, fields: list[
         truths, places, scores = [], [], []
         f = f[~f["_at"].isin(f.loc[f["_gone"], "_at"])].sort_values("_at")
         if len(t) and len(f):
-            seen: dict[str, int] = {}
-            own, other, there = _codes(t, fields, seen), _codes(f, fields, seen), f["_at"].to_numpy()
+            codes = np.stack([_codes(pa.array([*t[c], *f[c]], pa.string(), from_pandas=True)) for c in fields])
+            own, other, there = codes[:, : len(t)], codes[:, len(t) :], f["_at"].to_numpy()
             for i, at in enumerate(t["_at"]):
-                same = _equal_cells(own[:, i], other)
+                same = (other == own[:, i, None]).sum(axis=0)
                 best = np.argsort(-same, kind="stable")[: at % turn + 1]
                 best = best[same[best] > 0]
                 truths += [at] * len(best)
@@ -188,12 +222,14 @@ def match_tables(truth: DataFrame, found: DataFrame, table: str, row: str, field
     rows = t.groupBy("_table").agg(F.count("*").alias("_n")).withColumn("_m", F.lit(0)).unionByName(f.groupBy("_table").agg(F.count("*").alias("_m")).withColumn("_n", F.lit(0)))
     sizes = kept(rows.groupBy("_table").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")))
     large = sizes.where((F.greatest("_n", "_m") > whole) & (F.least("_n", "_m") > 0)).withColumnRenamed("_table", "_l")
-    if large.isEmpty():
-        pairs = _match_whole(t, f, kind, cells)
+    every, most = sizes.agg(F.coalesce(F.sum(F.col("_n") + F.col("_m")), F.lit(0)), F.max(F.when(F.least("_n", "_m") > 0, F.greatest("_n", "_m")))).first()
+    groups = every // GROUP + 1
+    if (most or 0) <= whole:
+        pairs = _match_whole(t, f, kind, cells, groups)
     else:
         same = F.col("_table").eqNullSafe(F.col("_l"))
         parts = [(x.join(large, same, "left_anti"), x.join(large, same).drop("_l")) for x in (t, f)]
-        pairs = _match_whole(parts[0][0], parts[1][0], kind, cells).unionByName(_match_in_turns(parts[0][1], parts[1][1], kind, cells, turn, block))
+        pairs = _match_whole(parts[0][0], parts[1][0], kind, cells, groups).unionByName(_match_in_turns(parts[0][1], parts[1][1], kind, cells, turn, block))
     right = (F.col("_score") == len(fields)) | F.lit(len(fields) >= 5) & (F.col("_score") / len(fields) >= 0.8)
     taken = pairs.groupBy("_table").agg(F.sum("_score").alias("_cells"), F.count_if(right).alias("_right"), F.count("*").alias("_taken"))
     both = sizes.unionByName(taken, allowMissingColumns=True).groupBy("_table").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_n", "_m", "_cells", "_right", "_taken")])

@@ -75,3 +75,15 @@ def test_columns_whose_names_clash(spark):
     t = spark.createDataFrame([("k", 1, "x", "n", 3)], "_table string, _at long, _n string, _score string, extra int")
     got = evaluate.match_tables(t, t, "_table", "_at", ["_n", "_score"], whole=0).collect()
     assert [tuple(r) for r in got] == [("k", 2, 2, 1, 1, 0)]
+
+
+def test_tables_share_groups(spark, monkeypatch):
+    rng = random.Random(9)
+    truth, found = (rows(rng, [f"t{i}" for i in range(60)] + [None], 700) for _ in range(2))
+    calls = []
+    whole = evaluate._match_whole
+    monkeypatch.setattr(evaluate, "_match_whole", lambda *a: calls.append(a[-1]) or whole(*a))
+    monkeypatch.setattr(evaluate, "GROUP", 300)
+    assert run(spark, truth, found) == plain(truth, found)
+    assert calls == [5]  # 61 tables in five groups, one for each before
+    assert evaluate._compared("1²") == "#1²" and evaluate._compared(" #. ") == "#." and evaluate._compared("[]") == ""
