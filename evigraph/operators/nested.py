@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from evigraph.functions import rules
 from evigraph.functions.cleaning import NOT_FOUND, lenient_json
-from evigraph.operators.merge import distinct_by_key
+from evigraph.operators.store import kept
 
 RELATIONS = "semantic_relationships"
 
@@ -76,17 +76,23 @@ def parts(answers: DataFrame) -> DataFrame:
     read = answers.select("doc_id", F.struct("chunk_index", "section", "answer").alias("at"), "section", F.from_json(lenient_json("answer"), "map<string,variant>").alias("m"))
     own = lambda k: F.when(F.col("section") == "Nonclinical Toxicology", _mapped(k, rules.NONCLINICAL_FIELDS))
     full = F.transform(F.filter(F.map_entries("m"), lambda e: _says(e["value"])), lambda e: own(e["key"]))
-    rows = read.select("doc_id", "at", "section", full.alias("full"), F.explode("m").alias("name", "value")).where(F.col("value").isNotNull() & ~F.is_variant_null("value"))
+    # first of each answer, then of its fields
+    read = read.withColumn("full", F.when(F.col("section") == "Nonclinical Toxicology", full))
+    rows = read.select("doc_id", "at", "section", "full", F.explode("m").alias("name", "value")).where(F.col("value").isNotNull() & ~F.is_variant_null("value"))
     rows = rows.withColumn("own", own(F.col("name"))).where("own IS NULL OR array_contains(full, own)")
     related = F.col("name") == RELATIONS
     part = F.when(related, F.lit(RELATIONS)).otherwise(F.coalesce("own", _mapped(F.col("section"), rules.SECTION_KEYS)))
     # relations come as a list or as an object with one
     listed = F.coalesce(F.try_variant_get("value", "$.relationships", "variant"), F.col("value"))
-    named = rows.select("doc_id", "at", part.alias("part"), F.when(related, F.lit("relationships")).otherwise(F.col("name")).alias("field"), F.when(related, listed).otherwise(F.col("value")).alias("value"))
-    plain = named.where("part IS NULL").select("doc_id", "at", F.col("field").alias("part"), "value", F.try_variant_get("value", "$", "map<string,variant>").alias("m"))
-    whole = plain.where("m IS NULL").select("doc_id", "at", "part", F.lit(None).cast("string").alias("field"), "value")
-    below = plain.where("m IS NOT NULL").select("doc_id", "at", "part", F.explode("m").alias("field", "value")).where(F.col("value").isNotNull() & ~F.is_variant_null("value"))
-    return named.where("part IS NOT NULL").unionByName(whole).unionByName(below)
+    field = F.when(related, F.lit("relationships")).otherwise(F.col("name"))
+    named = rows.select("doc_id", "at", part.alias("part"), field.alias("field"), F.when(related, listed).otherwise(F.col("value")).alias("value"))
+    # what has no part is one itself, an object its fields; all of it in one pass over the answers
+    named = named.withColumn("m", F.when(F.col("part").isNull(), F.try_variant_get("value", "$", "map<string,variant>")))
+    place = lambda p, f, v: F.struct(p.alias("part"), f.alias("field"), v.alias("value"))
+    below = F.transform(F.map_entries("m"), lambda e: place(F.col("field"), e["key"], e["value"]))
+    alone = F.array(place(F.coalesce("part", "field"), F.when(F.col("part").isNotNull(), F.col("field")), F.col("value")))
+    out = named.select("doc_id", "at", F.explode(F.coalesce(below, alone)).alias("p")).select("doc_id", "at", "p.*")
+    return out.where(F.col("value").isNotNull() & ~F.is_variant_null("value"))
 
 
 def _scalar(leaf: Leaf) -> Column:
@@ -95,16 +101,23 @@ def _scalar(leaf: Leaf) -> Column:
     return F.coalesce(got, F.to_json(F.try_variant_get("value", leaf.path, "variant"))) if kind == "string" else got
 
 
+def _any(found: list[Leaf]) -> Column:
+    out = F.lit(False)
+    for x in found:
+        out |= x.here()
+    return out
+
+
 def nested_records(answers: DataFrame, schema: T.StructType) -> DataFrame:
     """(doc_id, record, other): one record of the schema for each document."""
-    found, every = parts(answers), leaves(schema)
+    # read three times below, so the answers are taken apart once
+    found, every = kept(parts(answers)), leaves(schema)
     names = {leaf: f"v{i}" for i, leaf in enumerate(every)}
     lists = [x for x in every if isinstance(x.kind, T.ArrayType)]
     scalars = [x for x in every if not isinstance(x.kind, T.ArrayType)]
-    known = {(x.part, x.field) for x in every}
 
     # values: one aggregate over all fields, combined before the exchange
-    seen = found.select("doc_id", "at", *[F.when(x.here(), _scalar(x)).alias(names[x]) for x in scalars])
+    seen = found.where(_any(scalars)).select("doc_id", "at", *[F.when(x.here(), _scalar(x)).alias(names[x]) for x in scalars])
     aggs = []
     for x in scalars:
         c = F.col(names[x])
@@ -120,26 +133,24 @@ def nested_records(answers: DataFrame, schema: T.StructType) -> DataFrame:
     # lists: entries as JSON, repeats dropped before they are gathered
     if lists:
         wanted = [F.struct(F.lit(x.name).alias("leaf"), F.when(x.here(), F.try_variant_get("value", x.path, "array<variant>")).alias("items")) for x in lists]
-        entries = found.select("doc_id", "at", F.explode(F.filter(F.array(*wanted), lambda x: x["items"].isNotNull())).alias("l")).select("doc_id", "at", "l.leaf", F.posexplode("l.items").alias("pos", "item"))
+        entries = found.where(_any(lists)).select("doc_id", "at", F.explode(F.filter(F.array(*wanted), lambda x: x["items"].isNotNull())).alias("l")).select("doc_id", "at", "l.leaf", F.posexplode("l.items").alias("pos", "item"))
         entries = entries.select("doc_id", "leaf", F.struct("at", "pos").alias("o"), F.coalesce(F.to_json("item"), F.lit("null")).alias("item"))
-        united = distinct_by_key(entries, ["doc_id", "leaf"], "item", "o")
-        out = out.join(united.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "item"))).alias("lists")), "doc_id", "left")
+        first = entries.groupBy("doc_id", "leaf", "item").agg(F.min("o").alias("o"))
+        out = out.join(first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "leaf", "item"))).alias("lists")), "doc_id", "left")
 
     def built(names_: tuple[str, ...], f: T.StructField) -> Column:
         if isinstance(f.dataType, T.StructType):
             return F.struct(*[built((*names_, g.name), g).alias(g.name) for g in f.dataType.fields])
         leaf = next(x for x in every if x.name == ".".join(names_))
         if isinstance(f.dataType, T.ArrayType):
-            text = F.concat(F.lit("["), F.array_join(F.element_at("lists", F.lit(leaf.name)), ","), F.lit("]"))
+            own = F.filter("lists", lambda x: x["leaf"] == leaf.name)
+            text = F.concat(F.lit("["), F.array_join(F.transform(own, lambda x: x["item"]), ","), F.lit("]"))
             return F.coalesce(F.from_json(text, f.dataType), F.array().cast(f.dataType))
         return F.coalesce(F.col(names[leaf]), F.lit(leaf.default).cast(f.dataType))
 
     # what the schema has no place for
-    placed = F.lit(False)
-    for part, field in known:
-        placed |= (F.col("part") == part) & (F.col("field") == field if field else F.col("field").isNull())
     name = F.concat_ws(".", "part", "field")
-    rest = found.where(~F.coalesce(placed, F.lit(False))).groupBy("doc_id", name.alias("name")).agg(F.min_by(F.to_json("value"), "at").alias("text"))
+    rest = found.where(~F.coalesce(_any(every), F.lit(False))).groupBy("doc_id", name.alias("name")).agg(F.min_by(F.to_json("value"), "at").alias("text"))
     rest = rest.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text")))).alias("other"))
     record = F.struct(*[built((f.name,), f).alias(f.name) for f in schema.fields])
     return out.join(rest, "doc_id", "left").select("doc_id", record.alias("record"), F.coalesce("other", F.create_map().cast("map<string,string>")).alias("other"))

@@ -114,3 +114,13 @@ def test_records_of_odd_values(spark):
     assert got[2].asDict(recursive=True) == blank(SCHEMA)
     empty = spark.createDataFrame([], "doc_id long, chunk_index long, section string, answer string")
     assert nested.nested_records(empty, SCHEMA).collect() == []
+
+
+def test_answers_are_taken_apart_once(spark, monkeypatch):
+    calls = []
+    kept = nested.kept
+    monkeypatch.setattr(nested, "kept", lambda df: calls.append(df) or kept(df))
+    rows = [(1, 0, "Other", '{"a": {"x": 1, "y": null, "z": [2]}, "b": 5, "c": null, "d": {}, "e": []}'), (2, 1, "Other", "none")]
+    got = nested.nested_records(spark.createDataFrame(rows, "doc_id long, chunk_index long, section string, answer string"), SCHEMA)
+    assert {r["doc_id"]: r["other"] for r in got.collect()} == {1: {"a.x": "1", "a.z": "[2]", "b": "5", "e": "[]"}, 2: {}}
+    assert len(calls) == 1 and "Union" not in calls[0]._jdf.queryExecution().optimizedPlan().toString()
