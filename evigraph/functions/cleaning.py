@@ -190,9 +190,8 @@ def pretty_header(c: Column | str, names: dict[str, str] | None = None) -> Colum
 
 def lenient_json(c: Column | str) -> Column:
     """The JSON object of an answer, with or without a fence and words around it; null if there is none."""
-    plain = F.regexp_replace(col(c), r"```(?:json)?", "")
-    found = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
-    return F.when(found != "", found)
+    plain = F.when(F.contains(col(c), F.lit("```")), F.regexp_replace(col(c), r"```(?:json)?", "")).otherwise(col(c))
+    return F.nullif(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
 def stable_id(kind: str, *keys: Column | str) -> Column:

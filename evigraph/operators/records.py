@@ -35,22 +35,40 @@ def _parsed(answers: DataFrame) -> DataFrame:
 
 
 def answer_fields(answers: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, key, field, value): where each field of each answer goes in the record. Nonclinical fields of other
-    keys go there if one of that key says something, else nowhere; a section without a key fills the record itself (key '')."""
-    rows = _parsed(answers).where("field <> 'semantic_relationships'")
-    own = F.when(F.col("section") == "Nonclinical Toxicology", _mapped(F.col("field"), rules.NONCLINICAL_FIELDS))
-    rows = rows.withColumn("own", own).withColumn("says", F.col("value") != NOT_FOUND)
-    full = rows.where("own IS NOT NULL AND says").select("doc_id", "chunk_index", "own").distinct().withColumn("full", F.lit(True))
-    rows = rows.join(full, ["doc_id", "chunk_index", "own"], "left").where("own IS NULL OR full")
-    key = F.coalesce("own", _mapped(F.col("section"), rules.SECTION_KEYS), F.lit(""))
-    return rows.select("doc_id", "chunk_index", key.alias("key"), "field", "value")
+    """(doc_id, chunk_index, key, field, silent, value): where each field of each chunk goes in the record. Nonclinical fields of
+    other keys go there if an answer about the chunk says something of that key, else nowhere; a section without a key fills the
+    record itself (key ''). Of several values in a chunk one that says something stays, then the least."""
+    own = lambda f: _mapped(f, rules.NONCLINICAL_FIELDS)
+    nonclinical = F.col("section") == "Nonclinical Toxicology"
+    read = answers.select(
+        "doc_id", "chunk_index", nonclinical.alias("nonclinical"), F.coalesce(_mapped(F.col("section"), rules.SECTION_KEYS), F.lit("")).alias("place"),
+        F.map_entries(F.from_json(lenient_json("answer"), "map<string,string>")).alias("entries"),
+    )
+    full = F.transform(F.filter("entries", lambda e: e["value"] != NOT_FOUND), lambda e: own(e["key"]))
+    read = read.withColumn("full", F.when(F.expr("nonclinical AND doc_id IS NOT NULL AND chunk_index IS NOT NULL"), F.array_compact(full)))
+    # fields of a key of which the answer says something, without a value here: another answer about the chunk may have one
+    named = F.array(*map(F.lit, rules.NONCLINICAL_FIELDS))
+    lacking = F.filter(named, lambda f: F.array_contains("full", own(f)) & ~F.exists("entries", lambda e: e["key"] == f))
+    lacking = F.transform(lacking, lambda f: F.struct(f.alias("key"), F.lit(None).cast("string").alias("value")))
+    entries = F.when(F.size("full") > 0, F.concat("entries", lacking)).otherwise(F.col("entries"))
+    rows = read.select("doc_id", "chunk_index", "nonclinical", "place", "full", F.inline(entries).alias("field", "value")).where("field <> 'semantic_relationships'")
+    rows = rows.withColumn("own", F.when(F.col("nonclinical"), own(F.col("field"))))
+    rows = rows.withColumn("goes", F.col("own").isNull() | F.coalesce(F.array_contains("full", F.col("own")), F.lit(False)))
+    rows = rows.where("value IS NOT NULL OR own IS NOT NULL AND goes")
+    # one exchange by field: a value that its own answer doesn't let in is let in by another one's mark
+    silent = (F.trim("value") == "") | (F.col("value") == NOT_FOUND)
+    said = F.struct(silent.alias("silent"), F.col("value").alias("value"))
+    at = rows.groupBy("doc_id", F.coalesce("own", "place").alias("key"), "field", "chunk_index").agg(
+        F.min(F.when(F.expr("goes AND value IS NOT NULL"), said)).alias("sure"), F.min(F.when(F.expr("NOT goes"), said)).alias("waits"), F.coalesce(F.bool_or(F.expr("goes AND value IS NULL")), F.lit(False)).alias("let_in")
+    )
+    best = F.least("sure", F.when(F.col("let_in"), F.col("waits")))
+    return at.select("doc_id", "chunk_index", "key", "field", best.alias("best")).where("best IS NOT NULL").select("doc_id", "chunk_index", "key", "field", "best.*")
 
 
 def record_fields(answers: DataFrame) -> DataFrame:
     """(doc_id, key, field, value): each field's first value that says something, else its first."""
-    rows = answer_fields(answers)
-    silent = (F.trim("value") == "") | (F.col("value") == NOT_FOUND)
-    return rows.groupBy("doc_id", "key", "field").agg(F.min_by("value", F.struct(silent, "chunk_index", "value")).alias("value"))
+    first = F.min(F.struct("silent", "chunk_index", "value"))
+    return answer_fields(answers).groupBy("doc_id", "key", "field").agg(first.alias("first")).select("doc_id", "key", "field", "first.value")
 
 
 def statements(answers: DataFrame) -> DataFrame:

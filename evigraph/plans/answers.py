@@ -22,7 +22,9 @@ _ANSWERS = [
 
 def _answers(t: Tables) -> DataFrame:
     both = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(a).alias("answer")) for s, a in _ANSWERS])
-    return t.orders.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(both).alias("chunk_index", "a")).select("doc_id", "chunk_index", "a.*")
+    # dealt by document while they are only keys, so what is gathered by document and field later stays where it is
+    docs = t.orders.select(F.col("o_orderkey").alias("doc_id")).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return docs.select("doc_id", F.posexplode(both).alias("chunk_index", "a")).select("doc_id", "chunk_index", "a.*")
 
 
 @query(
