@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import rules
 from evigraph.functions.text import cascade, contains_any
+from evigraph.operators.store import kept
 
 #: Room between the orders of two producers: more rows than any of them gives.
 BAND = 10**15
@@ -171,10 +172,29 @@ def neighbours(edges: DataFrame, start: DataFrame, source: str = "source_id", ta
     return both.join(start.select("id"), "id", "left_semi").where("neighbour <> id").distinct()
 
 
+#: Sources with the same targets are dealt to blocks of so many in the mean; two blocks meet in one row, whose pairs a task may hold at once.
+BLOCK = 512
+
+
 def co_neighbours(edges: DataFrame, source: str = "source_id", target: str = "target_id") -> DataFrame:
-    """(a, b, n): sources that share targets, a before b, with how many. Sources and targets count once each."""
-    e = edges.select(F.col(source).alias("a"), F.col(target).alias("t")).distinct()
-    return e.join(e.withColumnRenamed("a", "b"), "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n): sources that share targets, a before b, with how many. Sources and targets count once each.
+
+    Sources with the same targets (their number and two 64-bit sums of hashes) are one class, and shared targets are counted between
+    classes, so what is exchanged are edges, pairs of classes and pairs of blocks of their members, not the pairs of sources."""
+    e = kept(edges.select(F.col(source).alias("a"), F.col(target).alias("t")).dropna().distinct())
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "t").cast("decimal(38,0)"))
+    same = kept(e.groupBy("a").agg(F.count("*").alias("x"), total("a").alias("y"), total("b").alias("z")))
+    classes = same.groupBy("x", "y", "z").agg(F.min("a").alias("c"), F.count("*").alias("size"))
+    dealt = F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / BLOCK)).alias("k")
+    blocks = kept(same.join(classes, ["x", "y", "z"]).select("a", "c", dealt).groupBy("c", "k").agg(F.collect_list("a").alias("as")))
+
+    # the first of a class stands for it
+    r = e.join(blocks.select(F.col("c").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("c"), "t")
+    pairs = r.join(r.withColumnRenamed("c", "d"), "t").where("c <= d").groupBy("c", "d").agg(F.count("*").alias("n"))
+    met = pairs.join(blocks, "c").join(blocks.select(F.col("c").alias("d"), F.col("k").alias("l"), F.col("as").alias("bs")), "d").where("c < d OR k <= l")
+    spread = met.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c", "k", "d", "l")
+    every = spread.select("n", (F.struct("c", "k") == F.struct("d", "l")).alias("own"), "bs", F.explode("as").alias("x")).select("n", "own", "x", F.explode("bs").alias("y"))
+    return every.where("NOT own OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n")
 
 
 def search(nodes: DataFrame, edges: DataFrame, word: str) -> DataFrame:
