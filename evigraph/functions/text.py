@@ -28,15 +28,20 @@ def cascade(c: Column, choices: list[tuple[Column, str]], default: Column | str
     return out.otherwise(default)
 
 
-def header_section(c: Column | str) -> Column:
-    """The section that a heading names, ``Other`` if none."""
-    t = F.lower(col(c))
+def header_section(c: Column | str, lowered: bool = False) -> Column:
+    """The section that a heading names, ``Other`` if none; ``lowered`` headings are taken as they are."""
+    t = col(c) if lowered else F.lower(col(c))
     return cascade(t, [(F.contains(t, F.lit(w)), s) for w, s in rules.HEADER_RULES], "Other")
 
 
-def content_section(c: Column | str) -> Column:
-    """The section that the first 800 characters suggest, ``Other`` if none."""
-    t = F.substring(F.lower(col(c)), 1, 800)
+def content_head(c: Column | str) -> Column:
+    """The first 800 characters in lower case. Lowering never makes a text shorter, so the rest of a long text is left alone."""
+    return F.substring(F.lower(F.substring(col(c), 1, 800)), 1, 800)
+
+
+def content_section(c: Column | str, lowered: bool = False) -> Column:
+    """The section that the first 800 characters suggest, ``Other`` if none; ``lowered`` is a column of ``content_head``."""
+    t = col(c) if lowered else content_head(c)
     every = []
     for groups, label in rules.CONTENT_RULES:
         cond = F.lit(True)
@@ -175,12 +180,19 @@ def semantic_chunks(df: DataFrame, key: str, order: str, text: str, vector: str,
 
 def found_terms(df: DataFrame, text: str, vocabulary: dict[str, list[str]]) -> DataFrame:
     """``df`` with a map of category to the terms of a vocabulary that the text names, each once, in order of the alphabet."""
-    low = F.lower(F.col(text))
+    low = F.col("_low")
+
+    def named(term: str) -> Column:
+        whole = low.rlike(rf"\b{term.lower()}\b")
+        # most texts don't hold most terms; without signs of a pattern that is seen sooner
+        return whole if set(term) & set(r"\.^$*+?{}[]()|") else F.contains(low, F.lit(term.lower())) & whole
+
     kinds = []
     for kind, terms in vocabulary.items():
-        hits = F.array_compact(F.array(*[F.when(low.rlike(rf"\b{t.lower()}\b"), F.lit(t)) for t in sorted(terms)]))
+        hits = F.array_compact(F.array(*[F.when(named(t), F.lit(t)) for t in sorted(terms)]))
         kinds += [F.lit(kind), hits]
-    return df.withColumn("entities", F.map_filter(F.create_map(*kinds), lambda _, v: F.size(v) > 0))
+    # lowered once, not for each term
+    return df.withColumn("_low", F.lower(F.col(text))).withColumn("entities", F.map_filter(F.create_map(*kinds), lambda _, v: F.size(v) > 0)).drop("_low")
 
 
 def batches(items: Iterator, size: int) -> Iterator[list]:

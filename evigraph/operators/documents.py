@@ -58,8 +58,13 @@ def steps(drug: str, answer: Callable[[DataFrame], DataFrame] = named_in, versio
         every = t["answers"].unionByName(silent.select("doc_id", F.lit(0).alias("chunk_index"), F.lit("Other").alias("section"), F.lit(None).cast("string").alias("answer")))
         return nested.nested_records(every, RECORD).drop("other")
 
+    def blocks(t: dict[str, DataFrame]) -> DataFrame:
+        # a file may be read in fewer tasks than there are, so the texts are dealt once
+        docs = t["documents"]
+        return X.header_blocks(docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id"), "doc_id", "text")
+
     return [
-        Step("blocks", lambda t: X.header_blocks(t["documents"], "doc_id", "text").withColumnRenamed("block", "chunk_index"), ("documents",)),
+        Step("blocks", lambda t: blocks(t).withColumnRenamed("block", "chunk_index"), ("documents",)),
         Step("sections", lambda t: retrieval.classify_blocks(t["blocks"], route), ("blocks",)),
         Step("answers", lambda t: answer(retrieval.worth_asking(t["sections"], 0)).select("doc_id", "chunk_index", "section", "answer"), ("sections",), version),
         Step("records", records, ("documents", "answers")),
